@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it until no column has it, whatever the case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def wider(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df`` with the columns of the DDL ``more`` after it."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def tiles(rows: DataFrame, key: str, spread: str, tile_rows: int) -> DataFrame:
     """Split groups of more than ``tile_rows`` rows into pairs of blocks, so that no task holds a whole large group.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from topicspark.llm import packing, sharding
+from topicspark.llm import packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op4_toxicity": toxicity.query,
+    "op6_quality_rules": quality_rules.query,
     "op7_best_fit_packing": packing.query,
+    "op8_quality_classifier": quality_classifier.query,
 }
 SQL = {"op1_sharding": sharding.SQL}
