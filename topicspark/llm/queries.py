@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from topicspark.llm import packing, quality_classifier, quality_rules, sharding, toxicity
+from topicspark.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_toxicity": toxicity.query,
+    "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_quality_rules": quality_rules.query,
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality_classifier.query,
