@@ -182,3 +182,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins of all the documents, as pack() gives them."""
+    return pack(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicspark.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from topicspark.llm import jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_best_fit_packing": packing.query,
     "op8_quality_classifier": quality_classifier.query,
+    "op9_pii": pii.query,
 }
 SQL = {"op1_sharding": sharding.SQL}
