@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from topicspark.llm import jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, toxicity
+from topicspark.llm import bpe, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_bpe": bpe.query,
     "op4_toxicity": toxicity.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_quality_rules": quality_rules.query,
