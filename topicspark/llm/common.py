@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +86,23 @@ def tiles(rows: DataFrame, key: str, spread: str, tile_rows: int) -> DataFrame:
         .withColumn("tile", F.xxhash64(key, "lo", "hi"))
         .drop("_n", "_g", "_j")
     )
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows, cut where ``key`` changes; the rows come ordered by ``key``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path = np.asarray(batch.column(key))
+        last = int(np.argmax(path == path[-1]))
+        ended = bool(held) and (last > 0 or held[-1].column(key)[-1].as_py() != path[0])
+        if ended or last:
+            ready = [*held, batch.slice(0, last)] if last else held
+            if sum(b.num_rows for b in ready) >= least:
+                yield pa.Table.from_batches(ready).combine_chunks()
+                held = [batch.slice(last)]
+                continue
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

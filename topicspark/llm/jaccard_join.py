@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.llm import textvec as tv
-from topicspark.llm.common import fresh, table, tiles, write_table
+from topicspark.llm.common import fresh, table, tiles, whole_groups, write_table
 from topicspark.llm.components import components
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
@@ -191,32 +191,12 @@ def _splitter(threshold: float):
     return split
 
 
-def _whole_groups(batches, least: int = 20_000):
-    """Tables of at least ``least`` rows (path, node, sketch), cut where the path changes; the rows come ordered by path."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        path = np.asarray(batch.column("path"))
-        last = int(np.argmax(path == path[-1]))
-        ended = bool(held) and (last > 0 or held[-1].column("path")[-1].as_py() != path[0])
-        if ended or last:
-            ready = [*held, batch.slice(0, last)] if last else held
-            if sum(b.num_rows for b in ready) >= least:
-                yield pa.Table.from_batches(ready).combine_chunks()
-                held = [batch.slice(last)]
-                continue
-        held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Distinct ``a, b`` (a < b) of sets (``node, sketch``) that some run brings together and whose sketches agree."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {r}")) for r in range(n_runs(recall)))))
 
     def find(batches):
-        for group in _whole_groups(batches):
+        for group in whole_groups(batches, "path"):
             node = np.asarray(group.column("node"))
             sk = _sketches_of(group.column("sketch").chunk(0))
             a, b = search(np.asarray(group.column("path")).view(U64), sk, threshold)
