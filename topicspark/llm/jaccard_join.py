@@ -63,19 +63,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndar
 
 
 def sketches(row: np.ndarray, gram: np.ndarray, n_rows: int) -> np.ndarray:
-    """T min-hash values of 16 bits for each row; rows without n-grams are 0."""
-    out = np.zeros((n_rows, T), dtype=np.uint16)
+    """T min-hash values of 32 bits for each row; rows without n-grams are 0."""
+    out = np.zeros((n_rows, T), dtype=np.uint32)
     if len(row):
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         gram = tv.mix(gram)
         for i, seed in enumerate(_SEEDS):
             low = np.minimum.reduceat((gram ^ seed) * seed, first)
-            out[row[first], i] = tv.mix(low) >> U64(48)
+            out[row[first], i] = tv.mix(low) >> U64(32)
     return out
 
 
 def sketch_table(docs: DataFrame, n: int = N) -> DataFrame:
-    """``doc_id, k1, k2, sketch``: k1 and k2 name the set. Documents without an id or without words are left out."""
+    """``doc_id, k1, k2, sketch, more``: k1 and k2 name the set. Documents without an id or without words are left out.
+
+    ``sketch`` has the upper 16 bits of each value, enough to compare two sets and to split a bucket; ``more`` has the
+    lower ones, which the first split needs too, or sets would meet by chance once there are more than 16 bits can tell.
+    """
 
     def compute(batches):
         for batch in batches:
@@ -92,10 +96,11 @@ def sketch_table(docs: DataFrame, n: int = N) -> DataFrame:
                         sums[row[first]] = np.add.reduceat(tv.mix(gram + salt), first)
                     names.append(tv.mix(sums).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, rows), *map(pa.array, names), _binary(sk)], names=["doc_id", "k1", "k2", "sketch"]
+                    [batch.column("doc_id").slice(at, rows), *map(pa.array, names), _binary((sk >> 16).astype(np.uint16)), _binary(sk.astype(np.uint16))],
+                    names=["doc_id", "k1", "k2", "sketch", "more"],
                 ).filter(pa.array(have))
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(compute, "doc_id bigint, k1 bigint, k2 bigint, sketch binary")
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(compute, "doc_id bigint, k1 bigint, k2 bigint, sketch binary, more binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -185,14 +190,17 @@ def _splitter(threshold: float):
     def split(batches):
         for batch in batches:
             path = np.asarray(batch.column("path")).view(U64)
-            which, path = children(path, _sketches_of(batch.column("sketch")), threshold)
+            sk = _sketches_of(batch.column("sketch"))
+            if "more" in batch.schema.names:
+                sk = (sk.astype(U64) << U64(16)) | _sketches_of(batch.column("more"))
+            which, path = children(path, sk, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(which))], names=["path", "node"])
 
     return split
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of sets (``node, sketch``) that some run brings together and whose sketches agree."""
+    """Distinct ``a, b`` (a < b) of sets (``node, sketch, more``) that some run brings together and whose sketches agree."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {r}")) for r in range(n_runs(recall)))))
 
     def find(batches):
@@ -207,7 +215,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     total = sets.count()
     found = []
     rows = sets.select("node", roots.alias("path"))
-    big = sets.select("node", "sketch", roots.alias("path")) if total > TASK_SETS else None
+    big = sets.select("node", "sketch", "more", roots.alias("path")) if total > TASK_SETS else None
     level = 0
     while True:
         if level == 0 and big is None:
@@ -218,7 +226,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
             rows = write_table(rows.join(sizes, "path"), "buckets")
             small = rows.where(F.col("m") <= TASK_SETS)
-        inside = small.select("path", "node").join(sets, "node").select("path", "node", "sketch")
+        inside = small.select("path", "node").join(sets.select("node", "sketch"), "node").select("path", "node", "sketch")
         found.append(inside.repartition("path").sortWithinPartitions("path").mapInArrow(find, "a bigint, b bigint"))
         if big is None:
             break
@@ -227,7 +235,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             break
         level += 1
         if level == LEVELS:
-            found.append(_tiled(large.join(sets, "node"), threshold))
+            found.append(_tiled(large.join(sets.select("node", "sketch"), "node"), threshold))
             break
         big = large.join(sets, "node").select("node", "sketch", "path")
     every = found[0]
@@ -348,11 +356,11 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     empty table gives no rows. Other columns are ignored.
     """
     sketched = write_table(sketch_table(docs, n), "sketches")
-    named = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
+    named = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("more").alias("more"))
     sets = write_table(named, "sets")
     copies = sketched.select("k1", "k2", "doc_id").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id <> node")
     copies = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = write_table(candidates(sets.select("node", "sketch"), threshold, recall), "pairs")
+    pairs = write_table(candidates(sets, threshold, recall), "pairs")
     near = verify(docs, pairs, threshold, n)
     every = near.unionByName(copies)
     return every.groupBy(F.col("a").alias("left_id"), F.col("b").alias("right_id")).agg(F.max("jaccard").alias("jaccard"))
