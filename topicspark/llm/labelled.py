@@ -32,10 +32,20 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, features: Features, t
                 [batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "label", "x"]
             )
 
-    got = rows.mapInArrow(compute, "doc_id bigint, label int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    index = [np.frombuffer(b, dtype=np.int32) for b in got["x"]]
-    first = np.concatenate(([0], np.cumsum([len(i) for i in index]))).astype(np.int64)
-    return fm.Sparse(np.concatenate(index) if index else np.zeros(0, np.int32), first), got["label"].to_numpy(float), got["doc_id"].to_numpy()
+    got = rows.mapInArrow(compute, "doc_id bigint, label int, x binary").toArrow()
+    parts = [_indices(c) for c in got.column("x").chunks]
+    whole = stack(parts)
+    ids, y = got.column("doc_id").to_numpy(), got.column("label").to_numpy().astype(float)
+    ids, first = np.unique(ids, return_index=True)
+    return whole.take(first), y[first], ids
+
+
+def _indices(column: pa.Array) -> fm.Sparse:
+    """Rows from binary values of 32-bit indices."""
+    _, off, raw = column.buffers()
+    first = np.frombuffer(off, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    data = np.frombuffer(raw, dtype=np.int32) if raw is not None else np.zeros(0, np.int32)
+    return fm.Sparse(data[first[0] : first[-1]] if len(first) else data, first - first[0])
 
 
 def apply(docs: DataFrame, machine: fm.Machine, features: Features, name: str) -> DataFrame:

@@ -12,7 +12,10 @@ from topicspark.llm import textvec as tv
 from topicspark.llm.common import table
 from topicspark.llm.toxicity import text_terms
 
-CUT = 0.5
+#: Probability of good quality below which a document goes; bytes of the beginnings of words that are features too.
+CUT, PREFIX_BYTES = 0.5, (6,)
+#: Features count if they are this many times (as a logarithm) as frequent with one label as with the other.
+WEAKEST = 1.0
 #: Width of the steps into which each statistic of docstats.NAMES is cut.
 STEPS = np.array([0.05, 0.04, 0.05, 0.03, 0.06, 0.02, 0.1])
 #: Each statistic and each metadata column stands as so many features, so that a long text's words don't drown it.
@@ -26,7 +29,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> fm.Sparse:
     n, k = level.shape
     salt = np.arange(k * WEIGHT, dtype=np.uint64) * np.uint64(1 << 20)
     form = tv.mix(np.repeat(level, WEIGHT, axis=1).astype(np.uint64) + salt + np.uint64(1 << 40)) >> shift
-    words = text_terms(data, offsets)
+    words = text_terms(data, offsets, PREFIX_BYTES)
     row = np.concatenate((words.row(), np.repeat(np.arange(n), k * WEIGHT)))
     row, index = tv.unique_pairs(row, np.concatenate((words.index.astype(np.uint64), form.ravel())))
     return fm.Sparse(index, np.searchsorted(row, np.arange(n + 1)))
@@ -57,7 +60,7 @@ def features(batch: pa.RecordBatch) -> fm.Sparse:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = labelled.TRAIN_ROWS) -> fm.Machine:
     x, y, _ = labelled.gather(docs, labels, "quality", features, train_rows)
-    return fm.train(x, y)
+    return fm.train(x, y, weakest=WEAKEST)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, train_rows: int = labelled.TRAIN_ROWS) -> DataFrame:

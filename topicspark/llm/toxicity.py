@@ -11,16 +11,22 @@ from topicspark.llm import fm, labelled
 from topicspark.llm import textvec as tv
 from topicspark.llm.common import fresh, table
 
-PREFIX_BYTES, CUT = 6, 0.6
+#: Bytes of the beginnings of words that are terms too; probability from which a document goes.
+PREFIX_BYTES, CUT = (4, 5, 6), 0.8
+#: Terms count if they are this many times (as a logarithm) as frequent with one label as with the other.
+WEAKEST = 1.5
 
 
-def text_terms(data: np.ndarray, offsets: np.ndarray) -> fm.Sparse:
+def text_terms(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = PREFIX_BYTES) -> fm.Sparse:
     """The distinct words of each text and the beginnings of its longer words, hashed."""
     w = tv.words(data, offsets)
     shift = np.uint64(64 - fm.D_BITS)
-    long = np.flatnonzero(w.end - w.start > PREFIX_BYTES)
-    begin = tv.mix(w.hashes(PREFIX_BYTES)[long] + np.uint64(1))
-    row, index = tv.unique_pairs(np.concatenate((w.row, w.row[long])), np.concatenate((w.hashes() >> shift, begin >> shift)))
+    rows, terms = [w.row], [w.hashes() >> shift]
+    for k in prefixes:
+        long = np.flatnonzero(w.end - w.start > k)
+        rows.append(w.row[long])
+        terms.append(tv.mix(w.hashes(k)[long] + np.uint64(k)) >> shift)
+    row, index = tv.unique_pairs(np.concatenate(rows), np.concatenate(terms))
     return fm.Sparse(index, np.searchsorted(row, np.arange(w.n_rows + 1)))
 
 
@@ -30,7 +36,7 @@ def features(batch: pa.RecordBatch) -> fm.Sparse:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = labelled.TRAIN_ROWS) -> fm.Machine:
     x, y, _ = labelled.gather(docs.select("doc_id", "text"), labels, "toxic", features, train_rows)
-    return fm.train(x, y)
+    return fm.train(x, y, weakest=WEAKEST)
 
 
 def flag_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, train_rows: int = labelled.TRAIN_ROWS) -> DataFrame:
