@@ -1,6 +1,7 @@
 """Near duplicates among embeddings by a pivot-permutation index.
 
-Some of the vectors are the reference points (pivots). Each vector is described by its PREFIX nearest pivots. The index
+Some of the vectors are the reference points (pivots), none near another, so that a large group of copies doesn't fill its
+own prefixes with themselves; where too few are left, random directions stand in. Each vector is described by its PREFIX nearest pivots. The index
 holds one inverted list for every pair of pivots: two vectors that share at least two pivots of their prefixes, and only
 such, meet in a list. Where they meet, shared pivots are counted and sketches of signs compared; what is left is verified
 on the whole vectors. The number of pivots grows with the square root of the number of vectors, so the lists stay short.
@@ -23,6 +24,8 @@ THRESHOLD = 0.9
 PREFIX, SHARED = 8, 2
 #: Vectors a list has on average; pivots at least.
 LIST_ROWS, LEAST_PIVOTS = 8, 32
+#: Cosine of two pivots at most.
+APART = 0.7
 #: Rows of a list that are compared in one task; vectors that one task verifies.
 TILE, BIN = 2000, 8000
 #: Standard deviations by which the signs' distance may lie above what it is at the threshold.
@@ -32,7 +35,23 @@ U64 = np.uint64
 
 def n_pivots(n: int, prefix: int = PREFIX, list_rows: int = LIST_ROWS) -> int:
     """So many that n vectors with prefix x (prefix - 1) / 2 entries each give lists of ``list_rows`` on average."""
-    return min(n, max(LEAST_PIVOTS, math.ceil(math.sqrt(n * prefix * (prefix - 1) / list_rows))))
+    return max(LEAST_PIVOTS, math.ceil(math.sqrt(n * prefix * (prefix - 1) / list_rows)))
+
+
+def spread_out(x: np.ndarray, total: int, apart: float = APART) -> np.ndarray:
+    """Of unit vectors, those whose cosine with all taken before them is under ``apart``, and random directions up to
+    ``total``."""
+    kept = np.zeros((0, x.shape[1]), dtype=np.float32)
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        part = part[(part @ kept.T).max(axis=1, initial=-1.0) < apart]
+        near, free = part @ part.T >= apart, np.ones(len(part), dtype=bool)
+        for i in range(len(part)):
+            if free[i]:
+                free[i + 1 :] &= ~near[i, i + 1 :]
+        kept = np.concatenate((kept, part[free]))
+    more = np.random.default_rng(13).normal(size=(max(total - len(kept), 0), x.shape[1]))
+    return np.concatenate((kept, more / np.linalg.norm(more, axis=1, keepdims=True))).astype(np.float32)
 
 
 def furthest(threshold: float) -> int:
@@ -238,12 +257,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     n = sets.count()
     # the square root of the number of vectors, times 2.6
     total = n_pivots(n, prefix)
-    chosen = sets.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(max(total, 1)).toArrow()
+    chosen = sets.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(total).toArrow()
     if chosen.num_rows < 2:
         return copies
-    pivots = _matrix(chosen.column("unit"), np.float32).reshape(-1, dim)
+    pivots = spread_out(_matrix(chosen.column("unit"), np.float32).reshape(-1, dim), total)
     posted = write_table(postings(sets, pivots, dim, prefix), "postings")
-    pairs = write_table(candidates(posted, len(pivots), threshold, min(shared, max(len(pivots), 2))), "pairs")
+    pairs = write_table(candidates(posted, len(pivots), threshold, shared), "pairs")
     near = verify(sets, pairs, dim, threshold)
     return near.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("cosine", 6).alias("cosine"), "shared_pivots").unionByName(copies)
 
