@@ -86,7 +86,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     covers = each.groupBy("tok").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("cover")).where(F.col("n") >= least)
     # tokens of the same rows are one item
     items = write_table(covers.groupBy("n", "cover").agg(F.min("tok").alias("tok")).select("tok", "n"), "url-items")
-    known = bad.select(F.monotonically_increasing_id().alias("row"), F.explode("toks").alias("tok")).join(items, "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
+    numbered = bad.select(F.monotonically_increasing_id().alias("row"), "toks")
+    known = numbered.select("row", F.explode("toks").alias("tok")).join(items, "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
     growth = FPGrowth(itemsCol="items", minSupport=max(support * n_bad / max(known.count(), 1), 1e-9), minConfidence=0.0)
     sets = growth.fit(known).freqItemsets.where(F.size("items") <= longest) if n_bad else known.select("items").limit(0)
     # the rarest token of a set is its anchor, the first by name of equals
@@ -118,7 +119,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``url, bad`` of the pages with a label: a page's URL ends in the number of its document, whose label says whether it
     is of low quality or toxic; a host with a word of SEEDS is bad in any case."""
-    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[/.?#]|$)", 1).cast("bigint")
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[/.?#]|$)", 1).try_cast("bigint")
     judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("poor"))
     seeded = F.arrays_overlap(F.split(host(F.col("url")), r"[.\-_]+"), F.array(*map(F.lit, SEEDS)))
     rows = pages.where("url IS NOT NULL").select("url", number.alias("doc_id"), seeded.alias("seeded")).join(judged, "doc_id", "left")
