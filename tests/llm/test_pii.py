@@ -1,0 +1,100 @@
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from topicspark.llm import pii
+
+from .conftest import HARD
+
+
+def redacted(texts):
+    new, found = pii._redact(pa.array(texts), pii.Tagger(pii.field()))
+    return [n if n is not None else t for n, t in zip(new, texts)], found
+
+
+def held_out(seed=99):
+    """The table filled with digits that training didn't see."""
+    rng = np.random.default_rng(seed)
+    lines = [line for line in pii.TABLE for _ in range(3)]
+    return [pii.labelled_words(line, rng) for line in lines]
+
+
+def test_held_out_accuracy():
+    model = pii.field()
+    right = total = found = wrong = 0
+    for words, labels in held_out():
+        keys = [pii.shape_key(w) for w in words]
+        rows = [model.rows(k) for k in keys]
+        emit = np.array([rows[i][0] + (rows[i - 1][1] if i else 0) + (rows[i + 1][2] if i + 1 < len(rows) else 0) for i in range(len(rows))])
+        got = pii.viterbi(emit, np.array([0, len(emit)]), model.start[None], model.end[None], model.transitions)
+        for a, b in zip(got.tolist(), labels):
+            total += b > 0
+            right += b > 0 and a == b
+            wrong += a > 0 and a != b
+            found += a > 0
+    assert right / total > 0.97 and wrong / max(found, 1) < 0.03
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 4):
+        emit, trans = rng.normal(size=(n, pii.L)), rng.normal(size=(pii.L, pii.L))
+        start, end = rng.normal(size=pii.L), rng.normal(size=pii.L)
+        best = max(itertools.product(range(pii.L), repeat=n), key=lambda p: start[p[0]] + end[p[-1]] + sum(emit[i, x] for i, x in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:])))
+        assert pii.viterbi(emit, np.array([0, n]), start[None], end[None], trans).tolist() == list(best)
+
+
+def test_runs_step_together():
+    rng = np.random.default_rng(1)
+    emit, trans = rng.normal(size=(9, pii.L)), rng.normal(size=(pii.L, pii.L))
+    first = np.array([0, 3, 4, 9])
+    opens, closes = rng.normal(size=(3, pii.L)), rng.normal(size=(3, pii.L))
+    got = pii.viterbi(emit, first, opens, closes, trans)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        assert (got[a:b] == pii.viterbi(emit[a:b], np.array([0, b - a]), opens[i : i + 1], closes[i : i + 1], trans)).all()
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("write to bob.smith42@mail7.example.com today", "write to <EMAIL> today"),
+        ("call +1 (555) 123-4567 before noon", "call <PHONE> before noon"),
+        ("host 192.168.10.77 is down", "host <IP> is down"),
+        ("the 4111111111111111, and of", "the <CARD>, and of"),
+        ("Version 2.0 of 1999 has 12 pages", "Version 2.0 of 1999 has 12 pages"),
+        ("no digits at all in here", "no digits at all in here"),
+    ],
+)
+def test_examples(text, want):
+    assert redacted([text])[0] == [want]
+
+
+def test_cutting_into_runs_changes_nothing(spark, data):
+    texts = [r[0] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    raw = pa.array(texts)
+    from topicspark.llm import textvec as tv
+
+    for _, _, d, o in tv.chunks(raw):
+        a, b = (pii.Tagger(pii.field(), everything=e).spans(d, o) for e in (False, True))
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_spans_are_characters(docs):
+    text = "é mail bob.smith42@mail7.example.com ü und call +1 (555) 123-4567 jetzt"
+    row = pii.redact_personal(docs([(1, text)])).first()
+    assert [(s["kind"], text[s["first"] : s["end"]]) for s in row["spans"]] == [("EMAIL", "bob.smith42@mail7.example.com"), ("PHONE", "+1 (555) 123-4567")]
+    assert row["n_found"] == 2
+
+
+def test_hard_rows(docs, spark):
+    clash = ["1 AS spans", "2 AS n_found"]
+    got = pii.redact_personal(docs(HARD, clash)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in HARD)
+    assert {r["doc_id"]: r["text"] for r in got} == {r[0]: r[1] for r in HARD}
+    out = pii.stage(spark, docs(HARD, clash), "")
+    assert out.columns == docs(HARD, clash).columns and out.count() == len(HARD)
+    changed = pii.stage(spark, docs([(1, "host 192.168.10.77 is down")]), "").first()
+    assert changed["n_chars"] == len(changed["text"])
+    assert pii.redact_personal(docs([])).count() == 0
