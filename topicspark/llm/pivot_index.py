@@ -125,12 +125,18 @@ def unit_table(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, in
     return own.mapInArrow(compute, "id bigint, k1 bigint, k2 bigint, unit binary"), dim
 
 
+def _kind(total: int) -> type:
+    """What the numbers of so many pivots are kept as."""
+    return np.uint16 if total <= 1 << 16 else np.uint32
+
+
 def postings(sets: DataFrame, pivots: np.ndarray, dim: int, prefix: int = PREFIX) -> DataFrame:
     """``key, node, row``: a row for each pair of pivots in the prefix of each vector; ``row`` is the signs and the prefix."""
     sent = sets.sparkSession.sparkContext.broadcast(pivots)
 
     def compute(batches):
         pivots = sent.value
+        kind = _kind(len(pivots))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -140,7 +146,7 @@ def postings(sets: DataFrame, pivots: np.ndarray, dim: int, prefix: int = PREFIX
                 if not len(i):
                     continue
                 key = near[:, i] * len(pivots) + near[:, j]
-                row = np.concatenate((signs(unit)[:, None].view(np.uint32), near.astype(np.uint32)), axis=1)
+                row = np.concatenate((signs(unit)[:, None].view(kind), near.astype(kind)), axis=1)
                 each = pa.array(np.repeat(np.arange(len(unit)), len(i)))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("node").take(each), _fixed(row).take(each)], names=["key", "node", "row"])
 
@@ -160,9 +166,10 @@ def meet(lists: pa.Table, total: int, most: int, shared: int) -> tuple[np.ndarra
     """(tile, a, b, shared pivots) of the pairs of the lists of one table that are worth verifying. Each pair counts in
     the lowest of its lists only."""
     tile, key, node = (np.asarray(lists.column(c).combine_chunks()) for c in ("tile", "key", "node"))
-    lo, hi, block = (np.asarray(lists.column(c).combine_chunks()) for c in ("lo", "hi", "block"))
-    row = _matrix(lists.column("row"), np.uint32)
-    sign, near = np.ascontiguousarray(row[:, :2]).view(U64)[:, 0], row[:, 2:]
+    side = np.asarray(lists.column("side").combine_chunks())
+    row = _matrix(lists.column("row"), _kind(total))
+    n_sign = 8 // row.itemsize
+    sign, near = np.ascontiguousarray(row[:, :n_sign]).view(U64)[:, 0], row[:, n_sign:]
     out: list[tuple[np.ndarray, ...]] = []
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
@@ -175,7 +182,7 @@ def meet(lists: pa.Table, total: int, most: int, shared: int) -> tuple[np.ndarra
 
     order = np.argsort(tile, kind="stable")
     _, first, size = np.unique(tile[order], return_index=True, return_counts=True)
-    split = lo[order[first]] != hi[order[first]]
+    split = side[order[first]] > 0
     for m in np.unique(size[~split & (size > 1)]):
         i, j = np.triu_indices(int(m), 1)
         starts = first[~split & (size == m)]
@@ -186,7 +193,7 @@ def meet(lists: pa.Table, total: int, most: int, shared: int) -> tuple[np.ndarra
                 compare(order[(s + i[c : c + (1 << 18)]).ravel()], order[(s + j[c : c + (1 << 18)]).ravel()])
     for f, m in zip(first[split], size[split]):
         own = order[f : f + m]
-        left, right = own[block[own] == lo[own[0]]], own[block[own] == hi[own[0]]]
+        left, right = own[side[own] == 1], own[side[own] == 2]
         step = max(1, (1 << 18) // max(len(right), 1))
         for at in range(0, len(left), step):
             part = left[at : at + step]
@@ -204,7 +211,9 @@ def candidates(posted: DataFrame, total: int, threshold: float, shared: int) ->
     rows = posted.join(long, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.withColumn("lo", F.least("block", "j")).withColumn("hi", F.greatest("block", "j"))
-    rows = rows.select(F.xxhash64("key", "lo", "hi").alias("tile"), "key", "node", "row", "block", "lo", "hi")
+    # 0: all of the tile's rows meet; else those of one block (1) meet those of the other (2)
+    side = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("block") == F.col("lo"), 1).otherwise(2)
+    rows = rows.select(F.xxhash64("key", "lo", "hi").alias("tile"), "key", "node", "row", side.cast("tinyint").alias("side"))
 
     def find(batches):
         for group in whole_groups(batches, "tile"):
