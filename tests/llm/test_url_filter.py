@@ -95,3 +95,13 @@ def test_hard_rows(spark, with_rules):
 def test_seeded_hosts_go(spark, data):
     got = u.query(spark, data).collect()
     assert len(got) == spark.read.parquet(f"{data}/pages.parquet").count()
+
+
+def test_seeded_hosts_go_however_rare(spark):
+    rare = [f"https://www.{h}.example.org/x{i}/{i}" for i, h in enumerate(["cheap-pills", "spam-farm", "escort", "poker.rooms"])]
+    urls = [f"http://casino-{i % 7}.example.com/a/{i + 10}" for i in range(600)] + [f"http://news.example.org/b/{i + 1000}" for i in range(600)] + rare
+    pages = spark.createDataFrame([(i, url, None) for i, url in enumerate(urls)], PAGES)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id bigint, quality int, toxic int")
+    got = {r["url"]: r["keep"] for r in u.filter_urls(pages, u.mine(u.labelled_urls(pages, labels), certain=u.SEEDS)).collect()}
+    assert not any(got[x] for x in rare)
+    assert all(got[x] for x in urls if "news" in x) and not any(got[x] for x in urls if "casino" in x)

@@ -7,6 +7,8 @@ rarest token, so a URL meets only the rules one of whose tokens it has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,15 @@ SUPPORT, LONGEST = 0.01, 3
 CONFIDENCE, Z = 0.6, 1.96
 #: Rules up to here are broadcast, about 200 bytes each; the number depends on SUPPORT, not on the rows.
 SENT_RULES = 200_000
-#: Words in a host that mark a URL as bad whatever its page's label: bets, advertising, sex, pills, piracy.
-SEEDS = "ads adserver adult bet bets betting casino cialis escort gambling lottery poker porn sex slots torrent tracker viagra warez xxx".split()
+#: Words in a host that mark a URL as bad whatever its page's label: bets, advertising, sex, pills, piracy, spam and fraud.
+SEEDS = (
+    "bet bets betting casino casinos gambling jackpot lottery lotto poker roulette slots "
+    "ads adserver adservice adverts doubleclick popup popups tracker "
+    "adult cams escort escorts hentai nsfw porn porno sex sexcam xvideos xxx "
+    "cialis levitra pill pills tramadol valium viagra xanax "
+    "keygen keygens nulled torrent torrents warez "
+    "malware phishing scam scams spam spammer spammers"
+).split()
 
 
 def _words(text: Column, prefix: str, cut: str) -> Column:
@@ -74,18 +83,20 @@ def _sent(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= SENT_RULES else rules
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST, certain: Sequence[str] = ()) -> DataFrame:
     """``anchor, items, n_bad, n_all, confidence`` of the rules learnt from ``labelled`` (``url, bad``), written to the
-    shared folder. Rules that hold a smaller rule are left out. Tokens that always occur together count as one, the first by
-    name. Without bad URLs there are no rules."""
+    shared folder. A word of ``certain`` in a host is a rule however few of the URLs have it, if all of those are bad.
+    Rules that hold a smaller rule are left out. Tokens that always occur together count as one, the first by
+    name, words of ``certain`` before others. Without bad URLs there are no rules."""
     rows = write_table(labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(tokens(F.col("url")).alias("toks"), F.col("bad").cast("int").alias("bad")), "labelled-urls")
     bad = rows.where("bad = 1")
     n_bad = bad.count()
     least = max(1, round(support * n_bad))
     each = bad.select(F.xxhash64("toks").alias("h"), F.explode("toks").alias("tok"))
     covers = each.groupBy("tok").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("cover")).where(F.col("n") >= least)
-    # tokens of the same rows are one item
-    items = write_table(covers.groupBy("n", "cover").agg(F.min("tok").alias("tok")).select("tok", "n"), "url-items")
+    # tokens of the same rows are one item; a word that is bad by itself stands for those it comes with, not the other way round
+    sure = F.col("tok").isin([f"h:{w}" for w in certain])
+    items = write_table(covers.groupBy("n", "cover").agg(F.min(F.struct((~sure).alias("rest"), "tok")).getField("tok").alias("tok")).select("tok", "n"), "url-items")
     numbered = bad.select(F.monotonically_increasing_id().alias("row"), "toks")
     known = numbered.select("row", F.explode("toks").alias("tok")).join(items, "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
     growth = FPGrowth(itemsCol="items", minSupport=max(support * n_bad / max(known.count(), 1), 1e-9), minConfidence=0.0)
@@ -94,7 +105,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     ranked = sets.select(F.sort_array("items").alias("items")).withColumn("tok", F.explode("items")).join(items, "tok")
     anchored = write_table(ranked.groupBy("items").agg(F.min(F.struct("n", "tok")).getField("tok").alias("anchor")), "url-sets")
     counted = hits(rows, _sent(anchored)).groupBy("anchor", "items").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all"))
-    strong = write_table(counted.where((F.col("n_bad") >= least) & (_lower_end(F.col("n_bad"), F.col("n_all")) >= confidence)), "url-strong")
+    strong = counted.where((F.col("n_bad") >= least) & (_lower_end(F.col("n_bad"), F.col("n_all")) >= confidence))
+    if certain:
+        named = rows.select("bad", F.explode("toks").alias("anchor")).where(F.col("anchor").isin([f"h:{w}" for w in certain]))
+        named = named.groupBy("anchor").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all")).where("n_bad = n_all")
+        strong = strong.union(named.select("anchor", F.array("anchor").alias("items"), "n_bad", "n_all")).dropDuplicates(["items"])
+    strong = write_table(strong, "url-strong")
     small = _sent(strong.select(F.col("anchor").alias("a2"), F.col("items").alias("i2")))
     wide = strong.join(small, (F.array_contains("items", F.col("a2"))) & (F.size("i2") < F.size("items")) & _all_in("i2", "items"), "left_anti")
     return write_table(wide.withColumn("confidence", F.round(F.col("n_bad") / F.col("n_all"), 6)), "url-rules")
@@ -128,4 +144,4 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine(labelled_urls(pages, table(spark, sf_dir, "labels"))))
+    return filter_urls(pages, mine(labelled_urls(pages, table(spark, sf_dir, "labels")), certain=SEEDS))
