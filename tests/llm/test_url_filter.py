@@ -105,3 +105,40 @@ def test_seeded_hosts_go_however_rare(spark):
     got = {r["url"]: r["keep"] for r in u.filter_urls(pages, u.mine(u.labelled_urls(pages, labels), certain=u.SEEDS)).collect()}
     assert not any(got[x] for x in rare)
     assert all(got[x] for x in urls if "news" in x) and not any(got[x] for x in urls if "casino" in x)
+
+
+def brute_unmerged(tokens, support, confidence, longest):
+    """All combinations of all tokens; strong ones that hold a smaller strong one are left out."""
+    least, sets, every = max(1, round(support * sum(b for _, b in tokens))), Counter(), Counter()
+    for t, b in tokens:
+        for k in range(1, longest + 1):
+            for s in itertools.combinations(sorted(t), k):
+                every[s] += 1
+                sets[s] += b
+    z, strong = u.Z, {}
+    for s, n in sets.items():
+        p, m = n / every[s], every[s]
+        if n >= least and (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m) >= confidence:
+            strong[s] = (n, m)
+    return {s: v for s, v in strong.items() if not any(set(r) < set(s) for r in strong)}
+
+
+def test_rules_like_unmerged_brute_force(spark):
+    # among bad rows h:cheap, h:zzz and host: are one; many good ones have h:cheap. On shop- only two words together tell
+    rows = [(f"http://cheap-zzz.example.com/a/{i}", True) for i in range(60)] + [(f"http://cheap-{i % 9}x.example.com/b/{i}", False) for i in range(300)]
+    rows += [(f"http://shop-{i % 20}y.example.com/buy/now.html?{i}", True) for i in range(80)]
+    rows += [(f"http://shop-{i % 20}y.example.com/buy/{i}", False) for i in range(100)] + [(f"http://shop-{i % 20}y.example.com/x/now?{i}", False) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = {tuple(r["items"]): (r["n_bad"], r["n_all"]) for r in u.mine(labelled, 0.05).collect()}
+    tokens = [(set(r["t"]), r["bad"]) for r in labelled.select(u.tokens(F.col("url")).alias("t"), "bad").collect()]
+    want = brute_unmerged(tokens, 0.05, u.CONFIDENCE, u.LONGEST)
+    # of tokens of the same rows, the first by name stands for all
+    cover = {x: frozenset(i for i, (t, _) in enumerate(tokens) if x in t) for t, _ in tokens for x in t}
+    first = {}
+    for x in sorted(cover):
+        first.setdefault(cover[x], x)
+    assert got == {s: v for s, v in want.items() if all(first[cover[x]] == x for x in s)}
+    assert any("zzz" in x for s in got for x in s) and ("p:buy", "p:now") in got
+    pages = spark.createDataFrame([(i, url, None) for i, (url, _) in enumerate(rows)], PAGES)
+    keep = {r["page_id"]: r["keep"] for r in u.filter_urls(pages, u.mine(labelled)).collect()}
+    assert [not keep[i] for i in range(len(rows))] == [b for _, b in rows]

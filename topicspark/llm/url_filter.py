@@ -7,8 +7,10 @@ rarest token, so a URL meets only the rules one of whose tokens it has.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,26 +85,53 @@ def _sent(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= SENT_RULES else rules
 
 
+def _told_apart(sets: DataFrame, classes: DataFrame, longest: int) -> DataFrame:
+    """``items`` of all sets of at most ``longest`` members that have one or more of each class of a set of ``sets``."""
+
+    def expand(batches):
+        for batch in batches:
+            out: list[list[str]] = []
+            for members in batch["members"]:
+                owner = {tok: i for i, own in enumerate(members) for tok in own}
+                for k in range(len(members), longest + 1):
+                    for some in itertools.combinations(sorted(owner), k):
+                        if len({owner[tok] for tok in some}) == len(members):
+                            out.append(list(some))
+                        if len(out) >= 10_000:
+                            yield pd.DataFrame({"items": out})
+                            out = []
+            yield pd.DataFrame({"items": out})
+
+    numbered = sets.select(F.sort_array("items").alias("set")).withColumn("tok", F.explode("set")).join(classes, "tok")
+    return numbered.groupBy("set").agg(F.collect_list("members").alias("members")).select("members").mapInPandas(expand, "items array<string>")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST, certain: Sequence[str] = ()) -> DataFrame:
     """``anchor, items, n_bad, n_all, confidence`` of the rules learnt from ``labelled`` (``url, bad``), written to the
     shared folder. A word of ``certain`` in a host is a rule however few of the URLs have it, if all of those are bad.
-    Rules that hold a smaller rule are left out. Tokens that always occur together count as one, the first by
+    Rules that hold a smaller rule are left out. Tokens that always occur together, in good URLs as in bad ones, count as one, the first by
     name, words of ``certain`` before others. Without bad URLs there are no rules."""
     rows = write_table(labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(tokens(F.col("url")).alias("toks"), F.col("bad").cast("int").alias("bad")), "labelled-urls")
     bad = rows.where("bad = 1")
     n_bad = bad.count()
     least = max(1, round(support * n_bad))
-    each = bad.select(F.xxhash64("toks").alias("h"), F.explode("toks").alias("tok"))
-    covers = each.groupBy("tok").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("cover")).where(F.col("n") >= least)
-    # tokens of the same rows are one item; a word that is bad by itself stands for those it comes with, not the other way round
+    h, is_bad = F.xxhash64("toks").cast("decimal(38,0)"), F.col("bad") == 1
+    each = rows.select(h.alias("h"), is_bad.alias("is_bad"), F.explode("toks").alias("tok"))
+    covers = each.groupBy("tok").agg(
+        F.count("*").alias("n"), F.sum("h").alias("cover"), F.count_if("is_bad").alias("in_bad"), F.sum(F.when(F.col("is_bad"), F.col("h"))).alias("bad_cover")
+    ).where(F.col("in_bad") >= least)
+    # tokens of the same rows, good and bad, are one item; a word that is bad by itself stands for those it comes with, not the other way round
     sure = F.col("tok").isin([f"h:{w}" for w in certain])
-    items = write_table(covers.groupBy("n", "cover").agg(F.min(F.struct((~sure).alias("rest"), "tok")).getField("tok").alias("tok")).select("tok", "n"), "url-items")
+    first = F.min(F.struct((~sure).alias("rest"), "tok")).getField("tok").alias("tok")
+    items = write_table(covers.groupBy("n", "cover", "in_bad", "bad_cover").agg(first), "url-items")
+    # items of the same bad rows are mined as one, which is exact, and told apart again afterwards: good rows may part them
+    classes = write_table(items.groupBy("in_bad", "bad_cover").agg(F.min("tok").alias("tok"), F.sort_array(F.collect_list("tok")).alias("members")).select("tok", "members"), "url-classes")
     numbered = bad.select(F.monotonically_increasing_id().alias("row"), "toks")
-    known = numbered.select("row", F.explode("toks").alias("tok")).join(items, "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
+    known = numbered.select("row", F.explode("toks").alias("tok")).join(classes.select("tok"), "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
     growth = FPGrowth(itemsCol="items", minSupport=max(support * n_bad / max(known.count(), 1), 1e-9), minConfidence=0.0)
     sets = growth.fit(known).freqItemsets.where(F.size("items") <= longest) if n_bad else known.select("items").limit(0)
     # the rarest token of a set is its anchor, the first by name of equals
-    ranked = sets.select(F.sort_array("items").alias("items")).withColumn("tok", F.explode("items")).join(items, "tok")
+    ranked = _told_apart(sets, classes, longest).withColumn("tok", F.explode("items")).join(items, "tok")
     anchored = write_table(ranked.groupBy("items").agg(F.min(F.struct("n", "tok")).getField("tok").alias("anchor")), "url-sets")
     counted = hits(rows, _sent(anchored)).groupBy("anchor", "items").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all"))
     strong = counted.where((F.col("n_bad") >= least) & (_lower_end(F.col("n_bad"), F.col("n_all")) >= confidence))
