@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import table
+from topicspark.llm.common import table, write_table
 
 N_SLOTS, N_SHARDS, TOLERANCE = 4096, 64, 2
+#: Setting of the session with the folder where the maps of the query are kept; without it each run starts from the first map.
+MAPS = "topicspark.sharding.maps"
 
 
 def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
@@ -68,24 +73,82 @@ def rebalance(mapped: DataFrame, n_shards: int = N_SHARDS, tolerance: int = TOLE
     )
 
 
+def _files(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def latest_number(spark: SparkSession, maps: str) -> int:
+    """Number of the last map in the folder ``maps``, 0 if there is none."""
+    path, fs = _files(spark, maps)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(m[1]) for n in names if (m := re.fullmatch(r"map-([0-9]+)", n))), default=0)
+
+
+def read_map(spark: SparkSession, maps: str, number: int) -> DataFrame:
+    """``slot, shard, version`` of a stored map."""
+    return spark.read.schema("slot int, shard int, version int").parquet(f"{maps.rstrip('/')}/map-{number:06d}")
+
+
+def write_map(mapped: DataFrame, maps: str, number: int) -> None:
+    """Store a map whole or not at all: it is written aside and renamed, which fails if another run stored this number."""
+    spark, at = mapped.sparkSession, maps.rstrip("/")
+    aside = f"{at}/_writing-{uuid.uuid4().hex}"
+    mapped.select("slot", "shard", "version").coalesce(1).write.parquet(aside)
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    source, fs = _files(spark, aside)
+    target = hadoop.Path(f"{at}/map-{number:06d}")
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(source), fs.makeQualified(target), gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        )
+    finally:
+        fs.delete(source, True)
+
+
+def _next_map(sizes: DataFrame, maps: str, n_slots: int, n_shards: int, tolerance: int) -> DataFrame:
+    """Rebalances the latest stored map, or the first one if none is stored, and stores the result if it is new."""
+    spark = sizes.sparkSession
+    number = latest_number(spark, maps)
+    if number:
+        stored = read_map(spark, maps, number)
+        n, n_known, last, most = stored.agg(F.count("*"), F.count_distinct("slot"), F.max("slot"), F.max("shard")).first()
+        if (n, n_known, last) != (n_slots, n_slots, n_slots - 1) or most >= n_shards:
+            raise ValueError(f"map {number} of {maps} has {n} slots on shards up to {most}; {n_slots} slots on {n_shards} shards were asked for")
+        mapped = sizes.join(F.broadcast(stored), "slot")
+    else:
+        mapped = first_map(sizes, n_slots, n_shards)
+    shards = write_table(rebalance(mapped, n_shards, tolerance), "shards")
+    if not number or not shards.where("shard <> old_shard").isEmpty():
+        write_map(shards, maps, number + 1)
+    return shards
+
+
 def assign_shards(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, n_shards: int = N_SHARDS, tolerance: int = TOLERANCE
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, n_shards: int = N_SHARDS, tolerance: int = TOLERANCE, maps: str | None = None
 ) -> DataFrame:
     """``doc_id, slot, n_bytes, first_shard, shard, version`` of every record.
 
+    ``maps`` is a folder where the slot maps are kept, all of them, numbered: the latest is rebalanced for the bytes of
+    ``docs``, so records stay where they were unless their shard is too full, and the new map is stored. ``first_shard``
+    is the shard before this run. Without ``maps`` the first map is rebalanced and nothing is kept.
     A null text has 0 bytes; repeated keys share a slot; an empty table gives no rows; other columns are ignored.
     """
     slotted = docs.select(
         F.col(key).alias("doc_id"), slot_of(F.col(key), n_slots).alias("slot"), F.coalesce(F.octet_length(text).cast("bigint"), F.lit(0)).alias("n_bytes")
     )
-    shards = rebalance(first_map(slot_bytes(slotted, n_slots), n_slots, n_shards), n_shards, tolerance)
+    sizes = slot_bytes(slotted, n_slots)
+    if maps:
+        shards = _next_map(sizes, maps, n_slots, n_shards, tolerance)
+    else:
+        shards = rebalance(first_map(sizes, n_slots, n_shards), n_shards, tolerance)
     # as many rows as slots, whatever the data
     small = F.broadcast(shards.select("slot", F.col("old_shard").alias("first_shard"), "shard", "version"))
     return slotted.join(small, "slot").select("doc_id", "slot", "n_bytes", "first_shard", "shard", "version")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"))
+    return assign_shards(table(spark, sf_dir, "documents"), maps=spark.conf.get(MAPS, None))
 
 
 SQL = f"""
