@@ -97,3 +97,26 @@ def test_hard_rows(docs, spark):
     assert all(r["keep"] for r in got if r["doc_id"] in (1, 2, 3))
     assert q.stage(spark, docs(HARD, clash), "").columns == docs(HARD, clash).columns
     assert q.reject_outliers(docs([])).count() == 0
+
+
+def test_junk_of_small_languages_goes(docs):
+    rows, junk = corpus()
+    alone = [(2000 + i, text, f"q{i}", "src0") for i, (_, text, *_) in enumerate(junk)]
+    # clean and junk documents of a language of eight rows; a clean one alone in its language
+    few = [(3000 + i, rows[i][1], "zz", "src1") for i in range(6)] + [(3100 + i, junk[0][1] + "!" * i, "zz", "src1") for i in range(2)]
+    got = {r["doc_id"]: r["keep"] for r in q.reject_outliers(docs(rows + alone + few + [(4000, rows[7][1], "yy", None)])).collect()}
+    assert not any(got[i] for i, *_ in alone) and not got[3100] and not got[3101]
+    assert all(got[3000 + i] for i in range(6)) and got[4000]
+    assert sum(got[i] for i, *_ in rows) >= 0.99 * len(rows)
+
+
+def test_languages_that_differ_pool_to_the_whole():
+    rng = np.random.default_rng(4)
+    x, lang = rng.normal(size=(900, q.P)), np.arange(900) % 3
+    x += lang[:, None] * 2.0
+    parts = [x[lang == k] for k in range(3)]
+    import pandas as pd
+
+    frame = pd.DataFrame([{"lang": str(k), "source": "", "n": float(len(p)), "center": q._moments(p)[0], "cov": q._moments(p)[1].ravel()} for k, p in enumerate(parts)])
+    got = q._pool_apart(frame).iloc[0]
+    assert np.allclose(got["center"], x.mean(axis=0)) and np.allclose(np.reshape(got["cov"], (q.P, q.P)), q._moments(x)[1])

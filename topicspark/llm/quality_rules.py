@@ -21,6 +21,8 @@ SUPPORT = 0.7
 CELL_ROWS = 20_000
 #: Estimates of small groups lean on their language, and those of small languages on all, as if by so many rows.
 PRIOR_ROWS = 100.0
+#: Fewer rows can't tell their own outliers (mcd must rest on more than SUPPORT of them): what they lean on decides alone.
+LEAST_ROWS = 20
 #: No statistic counts as steadier than this standard deviation, in the order of docstats.NAMES.
 FLOOR = np.array([0.06, 0.03, 0.03, 0.02, 0.05, 0.03, 0.08])
 #: Squared distance from which a document goes: the chi-squared quantile whose tail is this share.
@@ -159,6 +161,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     # over at most 64 rows a language at the end, however many sources it has
     parts = groups.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(64))).groupBy("lang", "part").applyInPandas(_pool, ESTIMATE)
     langs = parts.groupBy("lang").applyInPandas(_pool, ESTIMATE)
+    # over at most 64 rows at the end, however many languages there are
+    parts = langs.withColumn("part", F.pmod(F.xxhash64("lang"), F.lit(64))).groupBy("part").applyInPandas(_pool_apart, ESTIMATE)
+    everything = parts.groupBy().applyInPandas(_pool_apart, ESTIMATE).select(F.col("center").alias("prior_center"), F.col("cov").alias("prior_cov"))
+    langs = langs.crossJoin(F.broadcast(everything)).mapInPandas(_lean, ESTIMATE)
     prior = langs.select("lang", F.col("center").alias("prior_center"), F.col("cov").alias("prior_cov"))
     return groups.join(prior, "lang").mapInPandas(_lean, ESTIMATE)
 
@@ -168,10 +174,18 @@ def _pool(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.head(1)[["lang", "source"]].assign(n=[n], center=[center.tolist()], cov=[cov.ravel().tolist()])
 
 
+def _pool_apart(langs: pd.DataFrame) -> pd.DataFrame:
+    """Pools languages, or pools of them; how far their centers lie apart counts as covariance, as one may be like any."""
+    n, center, cov = _pooled(langs)
+    away = np.stack(langs["center"]) - center
+    cov = cov + (away * (langs["n"].to_numpy(float) / n)[:, None]).T @ away
+    return pd.DataFrame({"lang": [""], "source": [""], "n": [n], "center": [center.tolist()], "cov": [cov.ravel().tolist()]})
+
+
 def _lean(batches):
-    """Draws the estimate of each group towards that of its language."""
+    """Draws the estimate of each group towards that of its language, or of each language towards that of all."""
     for batch in batches:
-        w = (batch["n"] / (batch["n"] + PRIOR_ROWS)).to_numpy()[:, None]
+        w = (batch["n"] / (batch["n"] + PRIOR_ROWS)).where(batch["n"] >= LEAST_ROWS, 0.0).to_numpy()[:, None]
         if len(batch):
             for own in ("center", "cov"):
                 batch[own] = list(w * np.stack(batch[own]) + (1 - w) * np.stack(batch[f"prior_{own}"]))
@@ -222,7 +236,7 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source, outlier_distance, keep`` of every document.
 
     The statistics of the form of a text (docstats.NAMES) are compared with the robust estimate of its language and
-    source. A null or empty text has typical statistics and stays. Repeated rows are judged alike. Null languages or
+    source, which leans on the language when there are few rows, and that on all languages. A null or empty text has typical statistics and stays. Repeated rows are judged alike. Null languages or
     sources form groups of their own. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text", "lang", "source")
