@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,3 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def all_pairs(pairs: DataFrame, same: Column) -> DataFrame:
+    """The pairs of all rows from ``pairs`` (``left_id, right_id``, ...) in which the smallest id of a group of identical
+    rows stands for the group: ``same`` is true where a row is tied to it. Other columns are those of the pair it comes
+    from. A group of n gives n (n - 1) / 2 pairs."""
+    others = [F.col(f"`{c}`") for c in pairs.columns if c not in ("left_id", "right_id")]
+    tied, near = pairs.where(same), pairs.where(~same)
+    groups = tied.select(F.col("left_id").alias("_node"), F.col("right_id").alias("_id")).union(tied.select("left_id", "left_id").distinct())
+    within = tied.join(groups, (F.col("left_id") == F.col("_node")) & (F.col("_id") < F.col("right_id"))).select(F.col("_id").alias("left_id"), "right_id", *others)
+    for side in ("left_id", "right_id"):
+        near = near.join(groups, F.col(side) == F.col("_node"), "left").withColumn(side, F.coalesce("_id", side)).drop("_node", "_id")
+    ordered = near.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), *others)
+    return ordered.unionByName(within)
