@@ -62,25 +62,70 @@ def test_splitting_across_tasks_finds_the_same(docs, monkeypatch):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
-def test_recall_of_search_at_the_threshold():
-    rng = np.random.default_rng(0)
-    hit = trials = 0
-    base = rng.integers(0, 1 << 32, (300, j.T)).astype(np.uint16)
-    for i in range(300):
-        same = rng.random(j.T) < 0.55
-        other = np.where(same, base[i], rng.integers(0, 1 << 16, j.T)).astype(np.uint16)
-        sk = np.vstack([base, other[None]])
-        if (other == base[i]).mean() < 0.5:
-            continue
-        trials += 1
-        for run in range(j.n_runs()):
-            a, b = j.search(np.full(len(sk), run + 1, dtype=np.uint64), sk, 0.5)
-            if ((np.minimum(a, b) == i) & (np.maximum(a, b) == 300)).any():
-                hit += 1
-                break
-        if trials >= 40:
-            break
-    assert hit / trials >= 0.9
+def test_recall_of_pairs_at_the_threshold(docs):
+    """Pairs at exactly half within families that share a passage, sketches and all: none is left out of the count."""
+    rng, rows, want = random.Random(4), [], set()
+    for family in range(6):
+        passage = [f"p{family}_{i}" for i in range(12)]
+        for k in range(70):
+            own = [f"x{family}_{k}_{i}" for i in range(30)]
+            # 42 words are 40 trigrams; the second shares 2/3 of them: 27 or 26 of 53 are half of all
+            first = passage + own
+            second = first[: 2 + 27] + [f"y{family}_{k}_{i}" for i in range(13)]
+            for w in (first, second):
+                rows.append((len(rows), " ".join(w)))
+            sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (first, second)]
+            assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) == pytest.approx(27 / 53)
+            want.add((len(rows) - 2, len(rows) - 1))
+    rng.shuffle(rows)
+    got = found(j.join_similar(docs(rows), recall=0.95))
+    assert len(want & got) >= 0.93 * len(want)
+
+
+def test_runs_follow_the_measured_chance():
+    rng = np.random.default_rng(1)
+    for chance in (0.1, 0.3, 0.7):
+        times = rng.binomial(6, chance, 20_000)
+        got = j.run_chance({k: int((times == k).sum()) for k in range(1, 7)}, 6)
+        assert got == pytest.approx(chance, abs=0.02)
+        n = j.n_runs(got)
+        assert (1 - (1 - got) ** n) * j.kept_by_sketch() >= 0.95 > (1 - (1 - got) ** (n - 1)) * j.kept_by_sketch()
+    assert j.run_chance({1: 3}, 6) == j.LEAST_CHANCE
+
+
+def links(rows, threshold=0.5):
+    """class and number of links of each id, by brute force over all rows."""
+    sets = {}
+    for i, t in rows:
+        w = [x.lower() for x in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", t or "")]
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    near = {i: {k for k in sets if k != i and sets[i] and len(sets[i] & sets[k]) / len(sets[i] | sets[k]) >= threshold} for i in sets}
+    of = {}
+    for i in sorted(sets):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in of:
+                of[k] = i
+                todo += near[k]
+    return {i: (of[i], len(near[i])) for i in sets}
+
+
+def test_classes_like_brute_force(docs):
+    rows = texts(60, 6)
+    rows += [(100 + i, rows[i % 7][1]) for i in range(30)] + [(200, ""), (201, None), (202, "two words"), (203, "two words")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in j.similar_classes(docs(rows)).collect()}
+    assert got == links(rows)
+
+
+def test_several_texts_under_one_id(docs):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, base), (2, "z " + base), (2, base + " a"), (2, None), (3, "zz yy xx vv uu"), (None, base), (None, base)]
+    assert found(j.join_similar(docs(rows))) == {(1, 2)}
+    kept = j.stage(docs(rows).sparkSession, docs(rows), "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", base), ("3", "zz yy xx vv uu"), ("None", base), ("None", base)]
+    twice = j.stage(docs(rows).sparkSession, docs([(5, "b c d"), (5, "a b c"), (5, "a b c")]), "").collect()
+    assert [(r["doc_id"], r["text"]) for r in twice] == [(5, "a b c")]
 
 
 def test_hard_rows(docs):
@@ -110,7 +155,9 @@ def test_stage_keeps_one_of_each_group(docs, spark):
     assert kept == {i for i in parent if find(i) == i}
     hard = j.stage(spark, docs(HARD), "")
     assert hard.columns == docs(HARD).columns
-    assert sorted(str(r["doc_id"]) for r in hard.collect()) == sorted(str(r[0]) for r in HARD)
+    assert sorted(str(r["doc_id"]) for r in hard.collect()) == sorted({str(r[0]) for r in HARD})
+    clash = ["1 AS gone_id", "2 AS class_id", "3 AS node", "4 AS _repeated"]
+    assert j.stage(spark, docs(HARD, clash), "").columns == docs(HARD, clash).columns
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -55,6 +55,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_row_an_id(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``rows`` with one row for each value of ``key``, that with the smallest text, null last; ties fall to the smallest
+    other columns. Rows without a key all stay. Only keys are shuffled where none is repeated."""
+    many = write_table(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_repeated")).agg(F.count("*").alias("_n")).where("_n > 1").select("_repeated"), "repeated-ids")
+    if not many.take(1):
+        return rows
+    same = rows[key] == many["_repeated"]
+    order = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    every = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    chosen = rows.join(many, same, "left_semi").groupBy(key).agg(F.min_by(every, F.struct(F.col(text).isNull(), text, *order)).alias("_row"))
+    return rows.join(many, same, "left_anti").unionByName(chosen.select("_row.*"))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores after it until no column has it, whatever the case."""
     low = {c.lower() for c in taken}

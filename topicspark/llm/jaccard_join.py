@@ -4,7 +4,8 @@ Each set of n-grams is embedded as T min-hash values. From a root, a bucket of s
 pairs, each place of the sketch being chosen with probability 1 / (threshold x T) by a hash of the path so far, so all
 sets of a bucket choose alike and two sets stay together on a path in proportion to their similarity. Buckets of up to
 LIMIT sets are compared pair by pair; sets that are close to their whole bucket are compared with all of it and leave.
-Independent runs are repeated until the target recall. Candidates are verified on the whole sets.
+Runs are independent: how often the pairs near the threshold were found again gives the chance of one run, and runs are
+repeated until that chance means the target recall. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicspark.llm import textvec as tv
-from topicspark.llm.common import fresh, table, tiles, whole_groups, write_table
-from topicspark.llm.components import components
+from topicspark.llm.common import fresh, one_row_an_id, table, tiles, whole_groups, write_table
+from topicspark.llm.components import components, link_classes
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
 #: Places of a sketch; how far below the threshold a sketch's estimate may lie.
 T, SLACK = 64, 0.12
-#: Chance that one run finds a pair at the threshold, three levels deep: what the number of runs rests on.
-RUN_CHANCE = 0.3
+#: Runs before the chance of one is measured; pairs up to so far above the threshold tell it; runs whose pairs are counted apart.
+FIRST_RUNS, NEAR, BITS = 5, 0.1, 6
+#: Pairs at the threshold on which a measured chance must rest; with fewer, LEAST_CHANCE stands for it.
+LEAST_PAIRS, LEAST_CHANCE = 20, 0.3
 #: Sets of a bucket that are compared at once; sets of a bucket that one task splits; levels that are split across tasks.
 LIMIT, TASK_SETS, LEVELS = 32, 4096, 4
 #: Documents whose whole sets one task holds; candidates up to here are sent to every task, 16 bytes each.
@@ -34,8 +37,30 @@ U64 = np.uint64
 _SEEDS = tv.mix(np.arange(1, T + 1, dtype=U64) * U64(tv.MULT)) | U64(1)
 
 
-def n_runs(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - RUN_CHANCE))
+def kept_by_sketch(threshold: float = THRESHOLD) -> float:
+    """Chance that the sketches of a pair at the threshold agree well enough for it to be verified."""
+    least = math.ceil((threshold - SLACK) * T)
+    return sum(math.comb(T, k) * threshold**k * (1 - threshold) ** (T - k) for k in range(max(least, 0), T + 1))
+
+
+def n_runs(chance: float, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Runs after which a pair at the threshold has been found and kept by its sketch with the chance ``recall``."""
+    miss = 1 - min(recall / kept_by_sketch(threshold), 0.9999)
+    return max(1, math.ceil(math.log(miss) / math.log(1 - min(max(chance, 1e-3), 0.999))))
+
+
+def run_chance(times: dict[int, int], runs: int) -> float:
+    """The chance of one run by how many pairs were found in 1, 2, ... of ``runs`` runs: the likeliest value, given that
+    pairs found in none are not seen."""
+    pairs = sum(times.values())
+    if pairs < LEAST_PAIRS:
+        return LEAST_CHANCE
+    mean = sum(k * n for k, n in times.items()) / pairs
+    lo, hi = 1e-6, 1 - 1e-6
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if runs * mid / (1 - (1 - mid) ** runs) < mean else (lo, mid)
+    return lo
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +100,8 @@ def sketches(row: np.ndarray, gram: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, n: int = N) -> DataFrame:
-    """``doc_id, k1, k2, sketch, more``: k1 and k2 name the set. Documents without an id or without words are left out.
+    """``doc_id, k1, k2, sketch, more``: k1 and k2 name the set, null for documents without words. Rows without an id are
+    left out.
 
     ``sketch`` has the upper 16 bits of each value, enough to compare two sets and to split a bucket; ``more`` has the
     lower ones, which the first split needs too, or sets would meet by chance once there are more than 16 bits can tell.
@@ -96,11 +122,11 @@ def sketch_table(docs: DataFrame, n: int = N) -> DataFrame:
                         sums[row[first]] = np.add.reduceat(tv.mix(gram + salt), first)
                     names.append(tv.mix(sums).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, rows), *map(pa.array, names), _binary((sk >> 16).astype(np.uint16)), _binary(sk.astype(np.uint16))],
+                    [batch.column("doc_id").slice(at, rows), *(pa.array(x, mask=~have) for x in names), _binary((sk >> 16).astype(np.uint16)), _binary(sk.astype(np.uint16))],
                     names=["doc_id", "k1", "k2", "sketch", "more"],
-                ).filter(pa.array(have))
+                )
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(compute, "doc_id bigint, k1 bigint, k2 bigint, sketch binary, more binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(compute, "doc_id bigint, k1 bigint, k2 bigint, sketch binary, more binary")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -131,8 +157,9 @@ def children(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.nda
 def _compare(a: np.ndarray, b: np.ndarray, sk: np.ndarray, least: float, out: list) -> None:
     for at in range(0, len(a), 1 << 15):
         x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
-        near = (sk[x] == sk[y]).sum(axis=1) >= least * T
-        out.append((x[near], y[near]))
+        agree = (sk[x] == sk[y]).sum(axis=1)
+        near = agree >= least * T
+        out.append((x[near], y[near], agree[near]))
 
 
 def _all_pairs(first: np.ndarray, size: np.ndarray, order: np.ndarray, sk: np.ndarray, least: float, out: list) -> None:
@@ -146,10 +173,11 @@ def _all_pairs(first: np.ndarray, size: np.ndarray, order: np.ndarray, sk: np.nd
                 _compare(order[(s + i).ravel()], order[(s + j).ravel()], sk, least, out)
 
 
-def search(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets whose sketches come near the threshold, from the buckets named by ``path`` down."""
+def search(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets whose sketches come near the threshold, from the buckets named by ``path`` down, and in how many
+    places the two agree."""
     least = threshold - SLACK
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     index = np.arange(len(path))
     for _ in range(64):
         order = np.argsort(path, kind="stable")
@@ -182,8 +210,8 @@ def search(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarr
         _, first, size = np.unique(path[order], return_index=True, return_counts=True)
         _all_pairs(first, size, index[order], sk, least, out)
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _splitter(threshold: float):
@@ -193,24 +221,63 @@ def _splitter(threshold: float):
             sk = _sketches_of(batch.column("sketch"))
             if "more" in batch.schema.names:
                 sk = (sk.astype(U64) << U64(16)) | _sketches_of(batch.column("more"))
+            run = path & U64((1 << BITS) - 1)
             which, path = children(path, sk, threshold)
+            path = (path & ~U64((1 << BITS) - 1)) | run[which]
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column("node").take(pa.array(which))], names=["path", "node"])
 
     return split
 
 
+PAIR = "a bigint, b bigint, agree int, runs bigint"
+
+
+def _pairs(node: np.ndarray, path: np.ndarray, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.Table:
+    """Each pair once: the places in which it agrees, and a bit for each run that found it."""
+    run = np.int64(1) << (path[a] & U64((1 << BITS) - 1)).astype(np.int64)
+    low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    order = np.lexsort((high, low))
+    order = order[low[order] < high[order]]
+    low, high, agree, run = low[order], high[order], agree[order], run[order]
+    first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
+    every = np.bitwise_or.reduceat(run, first) if len(low) else run
+    return pa.table({"a": low[first], "b": high[first], "agree": agree[first].astype(np.int32), "runs": every})
+
+
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of sets (``node, sketch, more``) that some run brings together and whose sketches agree."""
-    roots = F.explode(F.array(*(F.xxhash64(F.lit(f"run {r}")) for r in range(n_runs(recall)))))
+    """Distinct ``a, b`` (a < b) of sets (``node, sketch, more``) that some run brings together and whose sketches agree.
+
+    After FIRST_RUNS runs, as many are added as the measured chance of one run asks for, and it is measured again, until
+    the runs made are enough.
+    """
+    made, found = 0, None
+    more = FIRST_RUNS
+    while more > 0:
+        for at in range(made, made + more, 1 << BITS):
+            new = some_runs(sets, range(at, min(at + (1 << BITS), made + more)), threshold)
+            new = new.withColumn("times", F.bit_count("runs")).select("a", "b", "agree", "times")
+            found = new if found is None else found.unionByName(new)
+        made += more
+        found = write_table(found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.sum("times").cast("int").alias("times")), "pairs")
+        near = found.where(F.col("agree").between(math.ceil(threshold * T), math.floor((threshold + NEAR) * T)))
+        # as many rows as runs
+        times = {r["times"]: r["n"] for r in near.groupBy("times").agg(F.count("*").alias("n")).collect()}
+        more = n_runs(run_chance(times, made), recall, threshold) - made
+    return found.select("a", "b")
+
+
+def some_runs(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
+    """``a, b, agree, runs`` of the pairs that the runs of these numbers find, each once."""
+    salt = (1 << BITS) - 1
+    root = [F.xxhash64(F.lit(f"run {r}")).bitwiseAND(F.lit(~salt)).bitwiseOR(F.lit(r & salt)) for r in runs]
+    roots = F.explode(F.array(*root))
 
     def find(batches):
         for group in whole_groups(batches, "path"):
-            node = np.asarray(group.column("node"))
+            path = np.asarray(group.column("path")).view(U64)
             sk = _sketches_of(group.column("sketch").chunk(0))
-            a, b = search(np.asarray(group.column("path")).view(U64), sk, threshold)
-            pair = np.unique(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b])), axis=1), axis=0)
-            pair = pair[pair[:, 0] < pair[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            got = _pairs(np.asarray(group.column("node")), path, *search(path, sk, threshold))
+            yield from got.to_batches()
 
     total = sets.count()
     found = []
@@ -227,7 +294,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             rows = write_table(rows.join(sizes, "path"), "buckets")
             small = rows.where(F.col("m") <= TASK_SETS)
         inside = small.select("path", "node").join(sets.select("node", "sketch"), "node").select("path", "node", "sketch")
-        found.append(inside.repartition("path").sortWithinPartitions("path").mapInArrow(find, "a bigint, b bigint"))
+        found.append(inside.repartition("path").sortWithinPartitions("path").mapInArrow(find, PAIR))
         if big is None:
             break
         large = rows.where(F.col("m") > TASK_SETS).select("path", "node")
@@ -241,7 +308,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.distinct()
+    return every.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.bit_or("runs").alias("runs"))
 
 
 def _tiled(rows: DataFrame, threshold: float) -> DataFrame:
@@ -255,10 +322,10 @@ def _tiled(rows: DataFrame, threshold: float) -> DataFrame:
         for k in left:
             others = right[node[right] > node[k]] if lo == hi else right
             _compare(np.full(len(others), k), others, sk, threshold - SLACK, out)
-        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
-        return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+        a, b, agree = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return _pairs(node, np.asarray(group.column("path")).view(U64), a, b, agree)
 
-    return tiles(rows, "path", "node", TASK_SETS).groupBy("tile").applyInArrow(compare, "a bigint, b bigint").where("a < b")
+    return tiles(rows, "path", "node", TASK_SETS).groupBy("tile").applyInArrow(compare, PAIR)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -342,39 +409,59 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: i
         near = share >= threshold
         return pa.table({"a": a[near], "b": b[near], "jaccard": share[near]})
 
-    near = sets.groupBy("tile").cogroup(there.groupBy("tile")).applyInArrow(exact, "a bigint, b bigint, jaccard double")
-    # an id that stands for several texts may give a pair twice
-    return near.groupBy("a", "b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return sets.groupBy("tile").cogroup(there.groupBy("tile")).applyInArrow(exact, "a bigint, b bigint, jaccard double").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """``id, node`` of every document with an id: the smallest id with the same set stands for it (its own without words);
+    and ``a, b, jaccard`` of the pairs of those whose sets are similar. Both are written to the shared folder."""
+    docs = one_row_an_id(docs.select("doc_id", "text"), "doc_id")
+    sketched = write_table(sketch_table(docs, n), "sketches")
+    named = sketched.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("more").alias("more"))
+    sets = write_table(named, "sets")
+    members = sketched.select("k1", "k2", "doc_id").join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left")
+    members = write_table(members.select(F.col("doc_id").alias("id"), F.coalesce("node", "doc_id").alias("node")), "members")
+    return members, write_table(verify(docs, candidates(sets, threshold, recall), threshold, n), "similar")
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
     """``left_id, right_id, jaccard``: pairs of documents whose sets of word n-grams have at least this Jaccard similarity.
 
     Documents with one and the same set are tied to the smallest of their ids, with similarity 1; that one stands for
-    them in the other pairs, which hold for each of them alike. Texts of fewer than n words are a single n-gram. Null,
-    empty and wordless texts, and rows without an id, pair with nothing. Rows with one id count as one document. An
-    empty table gives no rows. Other columns are ignored.
+    them in the other pairs, which hold for each of them alike (components.all_pairs gives them all). Ids are integers.
+    Texts of fewer than n words are a single n-gram; texts of any length count whole. Null, empty and wordless texts,
+    and rows without an id, pair with nothing. Of several rows with one id the one with the smallest text counts, null
+    last. A tie at the threshold is a pair. An empty table gives no rows. Other columns are ignored.
     """
-    sketched = write_table(sketch_table(docs, n), "sketches")
-    named = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("more").alias("more"))
-    sets = write_table(named, "sets")
-    copies = sketched.select("k1", "k2", "doc_id").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id <> node")
-    copies = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = write_table(candidates(sets, threshold, recall), "pairs")
-    near = verify(docs, pairs, threshold, n)
-    every = near.unionByName(copies)
-    return every.groupBy(F.col("a").alias("left_id"), F.col("b").alias("right_id")).agg(F.max("jaccard").alias("jaccard"))
+    members, near = similar_sets(docs, threshold, n, recall)
+    copies = members.where("id <> node").select(F.col("node").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
+    return near.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "jaccard").unionByName(copies)
+
+
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
+    """``doc_id, class_id, n_links``, a row for each id: the smallest id among the documents that similar pairs connect it
+    with, its own if there are none, and how many other documents it is similar to, copies counted one by one.
+
+    The pairs are those of join_similar, with the same treatment of nulls, short texts and repeated ids.
+    """
+    members, near = similar_sets(docs, threshold, n, recall)
+    return link_classes(members, near).withColumnRenamed("id", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(table(spark, sf_dir, "documents"))
+    return similar_classes(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the copies: of each connected group of similar ones, the one with the smallest id stays."""
-    pairs = join_similar(docs)
-    roots = components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    gone = write_table(roots.where("node <> root").select(F.col("node").alias(fresh("gone_id", docs.columns))), "gone")
+    """The documents without the copies: of each class of similar ones, the one with the smallest id stays.
+
+    Of several rows with one id the one with the smallest text stays, null last. Rows without an id, and null, empty and
+    wordless texts, are no copies and stay. Texts of any length count whole. An empty table gives no rows. All columns
+    are kept, whatever their names.
+    """
+    docs = one_row_an_id(docs, "doc_id")
+    classes = similar_classes(docs)
+    gone = write_table(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(fresh("gone_id", docs.columns))), "gone")
     name = gone.columns[0]
     if gone.count() > SENT:
         return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
