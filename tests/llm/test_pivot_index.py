@@ -67,3 +67,23 @@ def test_prefixes_are_the_nearest():
     x, piv = rng.normal(size=(50, 8)).astype(np.float32), rng.normal(size=(30, 8)).astype(np.float32)
     got = p.prefixes(x, piv, 5)
     assert (got == np.sort(np.argsort(-(x @ piv.T), axis=1)[:, :5], axis=1)).all()
+
+
+def test_classes_like_brute_force(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(base.astype(np.float32))]
+    rows += [(100 + i, (base[i % 5] * (1 + i % 3)).astype(np.float32).tolist()) for i in range(20)]
+    rows += [(200 + i, (base[i] + rng.normal(size=16) * 0.08).astype(np.float32).tolist()) for i in range(10)]
+    pairs = brute([(i, np.float32(v)) for i, v in rows])
+    near = {i: {a + b - i for a, b in pairs if i in (a, b)} for i, _ in rows}
+    of = {}
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in of:
+                of[k] = i
+                todo += near[k]
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in p.near_classes(table(spark, [*rows, (300, None), (301, [0.0] * 16)])).collect()}
+    assert got == {i: (of[i], len(near[i])) for i, _ in rows} | {300: (300, 0), 301: (301, 0)}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from topicspark.llm import textvec as tv
 from topicspark.llm.common import table, whole_groups, write_table
+from topicspark.llm.components import link_classes
 
 THRESHOLD = 0.9
 #: Nearest pivots of a vector, of which two vectors must share SHARED.
@@ -249,32 +250,52 @@ def verify(sets: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> Dat
     return vectors.groupBy("bin").cogroup(own.groupBy("bin")).applyInArrow(exact, "a bigint, b bigint, cosine double, shared_pivots int")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
-    """``left_id, right_id, cosine, shared_pivots``: pairs of vectors whose cosine is at least ``threshold``.
-
-    Vectors equal after scaling to length 1 are tied to the smallest of their ids, with cosine 1 and null shared pivots;
-    that one stands for them in the other pairs. Null, empty and zero vectors, vectors with a null, an infinite or no
-    number in them, vectors of another dimension than most, and rows without an id pair with nothing. Of several vectors
-    under one id, one counts (that with the smallest hash). An empty table gives no rows. Other columns are ignored.
-    """
-    spark = vectors.sparkSession
+def near_vectors(vectors: DataFrame, key: str, vector: str, threshold: float, prefix: int, shared: int) -> tuple[DataFrame, DataFrame]:
+    """``id, node`` of every usable vector: the smallest id with the same direction stands for it; and ``a, b, cosine,
+    shared_pivots`` of the pairs of those that are near. Both are written to the shared folder."""
     units, dim = unit_table(vectors, key, vector)
     one = write_table(units.groupBy("id").agg(F.min(F.struct("k1", "k2", "unit")).alias("s")).select("id", "s.k1", "s.k2", "s.unit"), "units")
     sets = write_table(one.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("unit").alias("unit")), "vectors")
-    copies = one.select("k1", "k2", "id").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).where("id <> node")
-    copies = copies.select(F.col("node").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("cosine"), F.lit(None).cast("int").alias("shared_pivots"))
+    members = write_table(one.select("k1", "k2", "id").join(sets.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"), "members")
     n = sets.count()
     # the square root of the number of vectors, times 2.6
     total = n_pivots(n, prefix)
     chosen = sets.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(total).toArrow()
     if chosen.num_rows < 2:
-        return copies
+        return members, vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double, shared_pivots int")
     pivots = spread_out(_matrix(chosen.column("unit"), np.float32).reshape(-1, dim), total)
     posted = write_table(postings(sets, pivots, dim, prefix), "postings")
     pairs = write_table(candidates(posted, len(pivots), threshold, shared), "pairs")
-    near = verify(sets, pairs, dim, threshold)
+    return members, write_table(verify(sets, pairs, dim, threshold), "near")
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+    """``left_id, right_id, cosine, shared_pivots``: pairs of vectors whose cosine is at least ``threshold``.
+
+    Vectors equal after scaling to length 1 are tied to the smallest of their ids, with cosine 1 and null shared pivots;
+    that one stands for them in the other pairs (components.all_pairs gives them all). Null, empty and zero vectors,
+    vectors with a null, an infinite or no number in them, vectors of another dimension than most, and rows without an id
+    pair with nothing. Of several vectors under one id, one counts (that with the smallest hash). A cosine just at the
+    threshold is a pair; ties among pivots fall to the lower number. Ids are integers. An empty table gives no rows.
+    Other columns are ignored.
+    """
+    members, near = near_vectors(vectors, key, vector, threshold, prefix, shared)
+    copies = members.where("id <> node").select(
+        F.col("node").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("cosine"), F.lit(None).cast("int").alias("shared_pivots")
+    )
     return near.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("cosine", 6).alias("cosine"), "shared_pivots").unionByName(copies)
 
 
+def near_classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
+    """``vec_id, class_id, n_links``, a row for each id: the smallest id among the vectors that near pairs connect it with,
+    its own if there are none, and how many other vectors are near it, those of its direction counted one by one.
+
+    The pairs are those of near_duplicates, with the same treatment of nulls, unusable vectors and repeated ids.
+    """
+    members, near = near_vectors(vectors, key, vector, threshold, prefix, shared)
+    ids = vectors.select(F.col(key).cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
+    return link_classes(ids.join(members, "id", "left").select("id", F.coalesce("node", "id").alias("node")), near).withColumnRenamed("id", key)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_classes(table(spark, sf_dir, "embeddings"))
