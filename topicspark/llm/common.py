@@ -52,7 +52,9 @@ def _remove(spark: SparkSession, at: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The rows of a table, spread over all cores where its files have fewer splits than there are cores."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def one_row_an_id(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -25,6 +25,11 @@ def _share(part: np.ndarray, whole: np.ndarray, typical: float, pseudo: float) -
     return np.arcsin(np.sqrt(np.clip((part + typical * pseudo) / (whole + pseudo), 0, 1)))
 
 
+def typical() -> np.ndarray:
+    """The statistics of a text without words."""
+    return statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0]
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of NAMES for each text: shares on the arc-sine scale, the mean word length as a logarithm, variety as
     log(distinct words) / log(words). A text without words gets the typical value in every place."""
