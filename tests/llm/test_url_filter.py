@@ -32,41 +32,12 @@ def made():
     return rows
 
 
-def brute(tokens, support, confidence, longest):
-    bad = [t for t, b in tokens if b]
-    least = max(1, round(support * len(bad)))
-    cover = {}
-    for i, t in enumerate(bad):
-        for x in t:
-            cover.setdefault(x, set()).add(i)
-    cover = {x: frozenset(s) for x, s in cover.items() if len(s) >= least}
-    first = {}
-    for x in sorted(cover):
-        first.setdefault(cover[x], x)
-    items = set(first.values())
-    sets = Counter()
-    for t in bad:
-        own = sorted(t & items)
-        for k in range(1, longest + 1):
-            sets.update(itertools.combinations(own, k))
-    strong = {}
-    for s, n in sets.items():
-        if n >= least:
-            every = sum(set(s) <= t for t, _ in tokens)
-            p, z = n / every, u.Z
-            low = (p + z * z / (2 * every) - z * (p * (1 - p) / every + z * z / (4 * every * every)) ** 0.5) / (1 + z * z / every)
-            if low >= confidence:
-                strong[s] = (n, every)
-    return {s: v for s, v in strong.items() if not any(set(r) < set(s) for r in strong)}
-
-
 def test_rules_like_brute_force(spark):
     rows = made()
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     got = {tuple(r["items"]): (r["n_bad"], r["n_all"]) for r in u.mine(labelled, 0.05).collect()}
     tokens = [(set(r["t"]), r["bad"]) for r in labelled.select(u.tokens(F.col("url")).alias("t"), "bad").collect()]
-    want = brute(tokens, 0.05, u.CONFIDENCE, u.LONGEST)
-    assert got == want and ("h:win", "p:free") in got
+    assert got == first_of_equals(brute(tokens, 0.05, u.CONFIDENCE), tokens) and ("h:win", "p:free") in got
 
 
 def test_matches_like_brute_force(spark):
@@ -92,26 +63,16 @@ def test_hard_rows(spark, with_rules):
     assert u.filter_urls(pages.limit(0), rules).count() == 0
 
 
-def test_seeded_hosts_go(spark, data):
+def test_query_covers_all_pages(spark, data):
     got = u.query(spark, data).collect()
     assert len(got) == spark.read.parquet(f"{data}/pages.parquet").count()
 
 
-def test_seeded_hosts_go_however_rare(spark):
-    rare = [f"https://www.{h}.example.org/x{i}/{i}" for i, h in enumerate(["cheap-pills", "spam-farm", "escort", "poker.rooms"])]
-    urls = [f"http://casino-{i % 7}.example.com/a/{i + 10}" for i in range(600)] + [f"http://news.example.org/b/{i + 1000}" for i in range(600)] + rare
-    pages = spark.createDataFrame([(i, url, None) for i, url in enumerate(urls)], PAGES)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id bigint, quality int, toxic int")
-    got = {r["url"]: r["keep"] for r in u.filter_urls(pages, u.mine(u.labelled_urls(pages, labels), certain=u.SEEDS)).collect()}
-    assert not any(got[x] for x in rare)
-    assert all(got[x] for x in urls if "news" in x) and not any(got[x] for x in urls if "casino" in x)
-
-
-def brute_unmerged(tokens, support, confidence, longest):
+def brute(tokens, support, confidence):
     """All combinations of all tokens; strong ones that hold a smaller strong one are left out."""
     least, sets, every = max(1, round(support * sum(b for _, b in tokens))), Counter(), Counter()
     for t, b in tokens:
-        for k in range(1, longest + 1):
+        for k in range(1, len(t) + 1):
             for s in itertools.combinations(sorted(t), k):
                 every[s] += 1
                 sets[s] += b
@@ -123,6 +84,34 @@ def brute_unmerged(tokens, support, confidence, longest):
     return {s: v for s, v in strong.items() if not any(set(r) < set(s) for r in strong)}
 
 
+def first_of_equals(rules, tokens):
+    """Of tokens of the same rows, the first by name stands for all."""
+    cover = {x: frozenset(i for i, (t, _) in enumerate(tokens) if x in t) for t, _ in tokens for x in t}
+    first = {}
+    for x in sorted(cover):
+        first.setdefault(cover[x], x)
+    return {s: v for s, v in rules.items() if all(first[cover[x]] == x for x in s)}
+
+
+def test_planted_combinations_of_four_tokens(spark):
+    """Any three of four words are in good URLs as well: the rule is all four."""
+    words = ["win", "free", "now", "cash"]
+    rows = [(f"http://a{i % 9}.example.com/{'/'.join(words)}/{i}", True) for i in range(60)]
+    for k, left in enumerate(words):
+        rows += [(f"http://a{i % 9}.example.com/{'/'.join(w for w in words if w != left)}/{k * 1000 + i}", False) for i in range(80)]
+    rows += [(f"http://b{i % 9}.example.org/{'x' * (1 + i % 5)}/{i}", i % 10 == 0) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = {tuple(r["items"]): (r["n_bad"], r["n_all"]) for r in u.mine(labelled, 0.05).collect()}
+    tokens = [(set(r["t"]), r["bad"]) for r in labelled.select(u.tokens(F.col("url")).alias("t"), "bad").collect()]
+    assert got == first_of_equals(brute(tokens, 0.05, u.CONFIDENCE), tokens)
+    assert got[tuple(sorted(f"p:{w}" for w in words))] == (60, 60)
+
+
+def test_labels_that_say_nothing_of_urls_give_no_rules(spark):
+    rows = [(f"http://{['casino', 'news', 'shop'][i % 3]}.example.com/{i}", i % 7 == 0) for i in range(600)]
+    assert u.mine(spark.createDataFrame(rows, "url string, bad boolean")).count() == 0
+
+
 def test_rules_like_unmerged_brute_force(spark):
     # among bad rows h:cheap, h:zzz and host: are one; many good ones have h:cheap. On shop- only two words together tell
     rows = [(f"http://cheap-zzz.example.com/a/{i}", True) for i in range(60)] + [(f"http://cheap-{i % 9}x.example.com/b/{i}", False) for i in range(300)]
@@ -131,13 +120,7 @@ def test_rules_like_unmerged_brute_force(spark):
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     got = {tuple(r["items"]): (r["n_bad"], r["n_all"]) for r in u.mine(labelled, 0.05).collect()}
     tokens = [(set(r["t"]), r["bad"]) for r in labelled.select(u.tokens(F.col("url")).alias("t"), "bad").collect()]
-    want = brute_unmerged(tokens, 0.05, u.CONFIDENCE, u.LONGEST)
-    # of tokens of the same rows, the first by name stands for all
-    cover = {x: frozenset(i for i, (t, _) in enumerate(tokens) if x in t) for t, _ in tokens for x in t}
-    first = {}
-    for x in sorted(cover):
-        first.setdefault(cover[x], x)
-    assert got == {s: v for s, v in want.items() if all(first[cover[x]] == x for x in s)}
+    assert got == first_of_equals(brute(tokens, 0.05, u.CONFIDENCE), tokens)
     assert any("zzz" in x for s in got for x in s) and ("p:buy", "p:now") in got
     pages = spark.createDataFrame([(i, url, None) for i, (url, _) in enumerate(rows)], PAGES)
     keep = {r["page_id"]: r["keep"] for r in u.filter_urls(pages, u.mine(labelled)).collect()}

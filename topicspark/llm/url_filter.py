@@ -1,14 +1,13 @@
 """URL filters by association rules: FP-growth mines combinations of URL tokens, pruned rules match by an inverted index.
 
-Transactions are the token sets of URLs labelled bad. Frequent combinations are counted over all labelled URLs, good and
-bad; those become rules whose confidence is high enough even at the lower end of its interval. A rule is filed under its
-rarest token, so a URL meets only the rules one of whose tokens it has.
+Transactions are the token sets of URLs labelled bad. Frequent combinations of any length are counted over all labelled
+URLs, good and bad; those become rules whose confidence is high enough even at the lower end of its interval. Nothing but
+the labels says what is bad. A rule is filed under its rarest token, so a URL meets only the rules one of whose tokens it has.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -17,21 +16,12 @@ from pyspark.sql import functions as F
 
 from topicspark.llm.common import table, write_table
 
-#: Share of the bad URLs that a combination must be in; tokens of a combination at most.
-SUPPORT, LONGEST = 0.01, 3
+#: Share of the bad URLs that a combination must be in.
+SUPPORT = 0.01
 #: Least lower end of the confidence, and the standard deviations it lies below the share.
 CONFIDENCE, Z = 0.6, 1.96
 #: Rules up to here are broadcast, about 200 bytes each; the number depends on SUPPORT, not on the rows.
 SENT_RULES = 200_000
-#: Words in a host that mark a URL as bad whatever its page's label: bets, advertising, sex, pills, piracy, spam and fraud.
-SEEDS = (
-    "bet bets betting casino casinos gambling jackpot lottery lotto poker roulette slots "
-    "ads adserver adservice adverts doubleclick popup popups tracker "
-    "adult cams escort escorts hentai nsfw porn porno sex sexcam xvideos xxx "
-    "cialis levitra pill pills tramadol valium viagra xanax "
-    "keygen keygens nulled torrent torrents warez "
-    "malware phishing scam scams spam spammer spammers"
-).split()
 
 
 def _words(text: Column, prefix: str, cut: str) -> Column:
@@ -85,32 +75,34 @@ def _sent(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= SENT_RULES else rules
 
 
-def _told_apart(sets: DataFrame, classes: DataFrame, longest: int) -> DataFrame:
-    """``items`` of all sets of at most ``longest`` members that have one or more of each class of a set of ``sets``."""
+def _one_of_each(batches):
+    """All sets with one member of each class of a set of classes, and all the members."""
+    for batch in batches:
+        out: list[tuple[list[str], list[str]]] = []
+        for members in batch["members"]:
+            every = sorted(tok for own in members for tok in own)
+            for some in itertools.product(*members):
+                out.append((sorted(some), every))
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=["items", "every"])
+                    out = []
+        yield pd.DataFrame(out, columns=["items", "every"])
 
-    def expand(batches):
-        for batch in batches:
-            out: list[list[str]] = []
-            for members in batch["members"]:
-                owner = {tok: i for i, own in enumerate(members) for tok in own}
-                for k in range(len(members), longest + 1):
-                    for some in itertools.combinations(sorted(owner), k):
-                        if len({owner[tok] for tok in some}) == len(members):
-                            out.append(list(some))
-                        if len(out) >= 10_000:
-                            yield pd.DataFrame({"items": out})
-                            out = []
-            yield pd.DataFrame({"items": out})
 
-    numbered = sets.select(F.sort_array("items").alias("set")).withColumn("tok", F.explode("set")).join(classes, "tok")
-    return numbered.groupBy("set").agg(F.collect_list("members").alias("members")).select("members").mapInPandas(expand, "items array<string>")
+def _counted(rows: DataFrame, sets: DataFrame, items: DataFrame, least: int, confidence: float) -> DataFrame:
+    """``anchor, items, n_bad, n_all, strong`` of the sets (``items``), over all rows. The anchor is the rarest token, the first by name of equals."""
+    ranked = sets.withColumn("tok", F.explode("items")).join(items.select("tok", "n"), "tok")
+    anchored = write_table(ranked.groupBy("items").agg(F.min(F.struct("n", "tok")).getField("tok").alias("anchor")), "url-sets")
+    counted = hits(rows, _sent(anchored)).groupBy("anchor", "items").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all"))
+    strong = (F.col("n_bad") >= least) & (_lower_end(F.col("n_bad"), F.col("n_all")) >= confidence)
+    return write_table(counted.withColumn("strong", strong), "url-counts")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST, certain: Sequence[str] = ()) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``anchor, items, n_bad, n_all, confidence`` of the rules learnt from ``labelled`` (``url, bad``), written to the
-    shared folder. A word of ``certain`` in a host is a rule however few of the URLs have it, if all of those are bad.
-    Rules that hold a smaller rule are left out. Tokens that always occur together, in good URLs as in bad ones, count as one, the first by
-    name, words of ``certain`` before others. Without bad URLs there are no rules."""
+    shared folder. Rules that hold a smaller rule are left out. Tokens that always occur together, in good URLs as in bad
+    ones, count as one, the first by name. Null URLs or labels are left out; repeated rows count each; an empty URL has no
+    tokens. Without bad URLs there are no rules."""
     rows = write_table(labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(tokens(F.col("url")).alias("toks"), F.col("bad").cast("int").alias("bad")), "labelled-urls")
     bad = rows.where("bad = 1")
     n_bad = bad.count()
@@ -120,25 +112,31 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     covers = each.groupBy("tok").agg(
         F.count("*").alias("n"), F.sum("h").alias("cover"), F.count_if("is_bad").alias("in_bad"), F.sum(F.when(F.col("is_bad"), F.col("h"))).alias("bad_cover")
     ).where(F.col("in_bad") >= least)
-    # tokens of the same rows, good and bad, are one item; a word that is bad by itself stands for those it comes with, not the other way round
-    sure = F.col("tok").isin([f"h:{w}" for w in certain])
-    first = F.min(F.struct((~sure).alias("rest"), "tok")).getField("tok").alias("tok")
-    items = write_table(covers.groupBy("n", "cover", "in_bad", "bad_cover").agg(first), "url-items")
+    # tokens of the same rows, good and bad, are one item
+    items = write_table(covers.groupBy("n", "cover", "in_bad", "bad_cover").agg(F.min("tok").alias("tok")), "url-items")
     # items of the same bad rows are mined as one, which is exact, and told apart again afterwards: good rows may part them
     classes = write_table(items.groupBy("in_bad", "bad_cover").agg(F.min("tok").alias("tok"), F.sort_array(F.collect_list("tok")).alias("members")).select("tok", "members"), "url-classes")
     numbered = bad.select(F.monotonically_increasing_id().alias("row"), "toks")
     known = numbered.select("row", F.explode("toks").alias("tok")).join(classes.select("tok"), "tok").groupBy("row").agg(F.collect_set("tok").alias("items"))
     growth = FPGrowth(itemsCol="items", minSupport=max(support * n_bad / max(known.count(), 1), 1e-9), minConfidence=0.0)
-    sets = growth.fit(known).freqItemsets.where(F.size("items") <= longest) if n_bad else known.select("items").limit(0)
-    # the rarest token of a set is its anchor, the first by name of equals
-    ranked = _told_apart(sets, classes, longest).withColumn("tok", F.explode("items")).join(items, "tok")
-    anchored = write_table(ranked.groupBy("items").agg(F.min(F.struct("n", "tok")).getField("tok").alias("anchor")), "url-sets")
-    counted = hits(rows, _sent(anchored)).groupBy("anchor", "items").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all"))
-    strong = counted.where((F.col("n_bad") >= least) & (_lower_end(F.col("n_bad"), F.col("n_all")) >= confidence))
-    if certain:
-        named = rows.select("bad", F.explode("toks").alias("anchor")).where(F.col("anchor").isin([f"h:{w}" for w in certain]))
-        named = named.groupBy("anchor").agg(F.sum("bad").alias("n_bad"), F.count("*").alias("n_all")).where("n_bad = n_all")
-        strong = strong.union(named.select("anchor", F.array("anchor").alias("items"), "n_bad", "n_all")).dropDuplicates(["items"])
+    sets = growth.fit(known).freqItemsets if n_bad else known.select("items").limit(0)
+    apart = sets.select(F.sort_array("items").alias("set")).withColumn("tok", F.explode("set")).join(classes, "tok").groupBy("set").agg(F.collect_list("members").alias("members"))
+    apart = write_table(apart.select("members", F.sort_array(F.flatten("members")).alias("items")), "url-closed")
+    # all members together are in the fewest good rows: where even they are no rule, no choice among them is one
+    whole = _counted(rows, apart.select("items"), items, least, confidence)
+    hopeful = apart.join(whole.where("strong").select("items"), "items")
+    front = write_table(hopeful.select("members").mapInPandas(_one_of_each, "items array<string>, every array<string>").distinct(), "url-front")
+    found = []
+    # a set that is no rule yet is tried with one more member of its classes; there are as many rounds as members at most
+    while front.take(1):
+        counted = _counted(rows, front.select("items"), items, least, confidence)
+        found.append(counted.where("strong").drop("strong"))
+        weak = front.join(counted.where("NOT strong").select("items"), "items").where(F.size("items") < F.size("every"))
+        longer = weak.select(F.explode(F.array_except("every", "items")).alias("one"), "items", "every").select(F.sort_array(F.concat("items", F.array("one"))).alias("items"), "every")
+        front = write_table(longer.distinct(), "url-front")
+    strong = found[0] if found else whole.where("strong").drop("strong")
+    for more in found[1:]:
+        strong = strong.unionByName(more)
     strong = write_table(strong, "url-strong")
     small = _sent(strong.select(F.col("anchor").alias("a2"), F.col("items").alias("i2")))
     wide = strong.join(small, (F.array_contains("items", F.col("a2"))) & (F.size("i2") < F.size("items")) & _all_in("i2", "items"), "left_anti")
@@ -163,14 +161,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``url, bad`` of the pages with a label: a page's URL ends in the number of its document, whose label says whether it
-    is of low quality or toxic; a host with a word of SEEDS is bad in any case."""
+    is of low quality or toxic; of several labels the worst counts. Pages without a number or a label are left out."""
     number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[/.?#]|$)", 1).try_cast("bigint")
-    judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("poor"))
-    seeded = F.arrays_overlap(F.split(host(F.col("url")), r"[.\-_]+"), F.array(*map(F.lit, SEEDS)))
-    rows = pages.where("url IS NOT NULL").select("url", number.alias("doc_id"), seeded.alias("seeded")).join(judged, "doc_id", "left")
-    return rows.where("seeded OR poor IS NOT NULL").select("url", (F.col("seeded") | F.coalesce("poor", F.lit(False))).alias("bad"))
+    poor = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    judged = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(poor).alias("bad"))
+    return pages.where("url IS NOT NULL").select("url", number.alias("doc_id")).join(judged, "doc_id").select("url", "bad")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine(labelled_urls(pages, table(spark, sf_dir, "labels")), certain=SEEDS))
+    return filter_urls(pages, mine(labelled_urls(pages, table(spark, sf_dir, "labels"))))
