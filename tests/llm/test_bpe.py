@@ -1,5 +1,7 @@
 import base64
+import itertools
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -52,10 +54,45 @@ def test_speculation_mostly_holds(encoder, spark, data):
     assert 0 < failed < 0.6 * len(words)
 
 
+def test_white_space_of_every_kind(real, encoder):
+    spaces = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "é", "x", "1", "!", "'s", "日"]
+    texts = ["a" + "".join(t) + "b" for k in (1, 2, 3) for t in itertools.product(spaces, repeat=k)]
+    assert split(*encoder.encode(texts)) == [real.encode_ordinary(t) for t in texts]
+
+
+def test_words_of_any_length_are_speculated_on(real, encoder):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in (257, 1000, 5000)] + ["the" * 4000]
+    assert split(*encoder.encode(words)) == [real.encode_ordinary(t) for t in words]
+    _, _, failed = bpe.encode_words(encoder.v, [b"the" * 200])
+    assert failed == 0
+
+
+def test_two_pieces_of_one_hash(real):
+    encoder = bpe.Encoder(bpe.vocabulary())
+    encoder.encode(["one two"])
+    # both pieces now have the tokens of the first
+    encoder.codes.values[encoder.codes.keys != 0] = 0
+    assert split(*encoder.encode(["one two", "one"])) == [real.encode_ordinary("one two"), real.encode_ordinary("one")]
+
+
+def test_numbers_that_are_no_token_are_left_out(spark):
+    df = spark.createDataFrame([(1, [72, None, 10**6, -5, 72]), (2, None), (3, [])], "doc_id bigint, tokens array<int>")
+    v = bpe.vocabulary()
+    got = {r["doc_id"]: r["text"] for r in bpe.decode_tokens(df).collect()}
+    assert got == {1: (v.tokens[72] * 2).decode(), 2: None, 3: ""}
+
+
 def test_long_merges_agree(encoder):
     word = b"the quick brown fox" * 5
     short = bpe._merge_short(word, encoder.v.ranks, 1 << 60)
     assert bpe.merge(word, encoder.v.ranks) == short
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeéth "), rng.integers(1, 30))).encode() for _ in range(3000)] + [b"aaaaaaa", b"abababab", b"x"]
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    at, token = bpe.merge_many(encoder.v, np.frombuffer(b"".join(words), np.uint8), first)
+    got = np.split(token, np.searchsorted(at, np.arange(1, len(words))))
+    assert [g.tolist() for g in got] == [[encoder.v.ranks[t] for t in bpe._merge_short(w, encoder.v.ranks, 1 << 60)] for w in words]
 
 
 def test_query_round_trips(docs, spark, data):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +22,9 @@ from topicspark.llm.common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a task remembers; when there are more it begins anew.
-REMEMBERED = 700_000
-#: Bytes of a word up to which merging scans all pairs, and up to which words are speculated on.
+#: Pieces that a task remembers, and tokens of them; when there are more it begins anew.
+REMEMBERED, REMEMBERED_TOKENS = 700_000, 8_000_000
+#: Bytes of a word up to which merging scans all pairs, and up to which the words of a batch are matched in step.
 SHORT, LONG = 64, 256
 U64 = np.uint64
 NONE = np.int64(1) << np.int64(40)
@@ -98,6 +97,7 @@ class Vocabulary:
     maybe: np.ndarray
     first: np.ndarray
     data: np.ndarray
+    bytes: np.ndarray
     ranks: dict[bytes, int] = field(default_factory=dict)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -145,7 +145,9 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
         raise ValueError("two tokens have one hash")
     maybe = np.zeros(1 << 22, dtype=bool)
     maybe[mixed >> U64(42)] = True
-    return Vocabulary(tokens, left, right, length, raw, mixed[order], order.astype(np.int64), reachable, maybe, first, data, ranks)
+    single = np.zeros(256, dtype=np.int64)
+    single[[t[0] for t in tokens[:256]]] = np.arange(256)
+    return Vocabulary(tokens, left, right, length, raw, mixed[order], order.astype(np.int64), reachable, maybe, first, data, single, ranks)
 
 
 def compatible(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,25 +172,87 @@ def compatible(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _longest(v: Vocabulary, sums: np.ndarray, inv: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, bytes) of the longest match from each place; only tokens that merging can make."""
+    size = np.minimum(end - at, int(v.length.max()))
+    token = np.full(len(at), -1, dtype=np.int64)
+    todo = np.arange(len(at))
+    while len(todo):
+        p, q = at[todo], at[todo] + size[todo]
+        t = v.find(tv.mix((sums[q] - sums[p]) * inv[p]))
+        hit = t >= 0
+        hit[hit] = v.reachable[t[hit]]
+        token[todo[hit]] = t[hit]
+        todo = todo[~hit]
+        size[todo] -= 1
+    return token, size
+
+
+def merge_many(v: Vocabulary, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, token) of exact merging of many short words at once: a step merges one pair in each word that has one."""
+    power, _ = tv._powers(int(v.length.max()) + 1)
+    token, word = v.bytes[data], np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    def ranks(at: np.ndarray) -> np.ndarray:
+        l, r = token[at], token[at + 1]
+        t = v.find(tv.mix(v.raw[l] + v.raw[r] * power[v.length[l]]))
+        return np.where(t < 0, NONE, t)
+
+    rank = np.full(len(token), NONE)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    rank[inner] = ranks(inner)
+    words, tokens = [], []
+    while len(token):
+        begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        size = np.diff(np.append(begin, len(word)))
+        low = np.minimum.reduceat(rank, begin)
+        ended = np.repeat(low == NONE, size)
+        words.append(word[ended])
+        tokens.append(token[ended])
+        hit = np.flatnonzero((rank == np.repeat(low, size)) & ~ended)
+        if not len(hit):
+            break
+        # the leftmost of equals
+        hit = hit[np.concatenate(([True], word[hit][1:] != word[hit][:-1]))]
+        token[hit] = rank[hit]
+        keep = ~ended
+        keep[hit + 1] = False
+        left = rank.copy()
+        left[hit] = NONE
+        now = np.cumsum(keep) - 1
+        token, word, rank, hit = token[keep], word[keep], left[keep], now[hit]
+        before = hit[hit > 0] - 1
+        before = before[word[before] == word[before + 1]]
+        after = hit[hit + 1 < len(word)]
+        after = after[word[after] == word[after + 1]]
+        rank[before], rank[after] = ranks(before), ranks(after)
+    word = np.concatenate(words) if words else np.zeros(0, np.int64)
+    order = np.argsort(word, kind="stable")
+    return word[order], (np.concatenate(tokens) if tokens else np.zeros(0, np.int64))[order]
+
+
 def greedy(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, token) of the longest matches from the left, all words in step; only tokens that merging can make."""
+    """(word, token) of the longest matches from the left. Words of up to LONG bytes go in step; in a longer one the
+    matches from all places are found at once and then followed from the first."""
     sums = _raw_sums(data)
     _, inv = tv._powers(len(data) + 1)
-    longest = int(v.length.max())
     words, tokens = [], []
-    word, at = np.arange(len(start)), start.copy()
+    for i in np.flatnonzero(end - start > LONG):
+        parts = []
+        for a in range(start[i], end[i], 1 << 16):
+            at = np.arange(a, min(a + (1 << 16), end[i]))
+            parts.append(_longest(v, sums, inv, at, np.full(len(at), end[i])))
+        token, size = (np.concatenate(x) for x in zip(*parts))
+        step, at, chain = size.tolist(), 0, []
+        while at < len(step):
+            chain.append(at)
+            at += step[at]
+        words.append(np.full(len(chain), i))
+        tokens.append(token[chain])
+    word = np.flatnonzero(end - start <= LONG)
+    at = start[word]
     while len(word):
-        size = np.minimum(end[word] - at, longest)
-        token = np.full(len(word), -1, dtype=np.int64)
-        todo = np.arange(len(word))
-        while len(todo):
-            p, q = at[todo], at[todo] + size[todo]
-            t = v.find(tv.mix((sums[q] - sums[p]) * inv[p]))
-            hit = t >= 0
-            hit[hit] = v.reachable[t[hit]]
-            token[todo[hit]] = t[hit]
-            todo = todo[~hit]
-            size[todo] -= 1
+        token, size = _longest(v, sums, inv, at, end[word])
         words.append(word)
         tokens.append(token)
         at = at + size
@@ -209,7 +273,7 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     _, inv = tv._powers(len(data) + 1)
     whole = v.find(tv.mix((sums[first[1:]] - sums[first[:-1]]) * inv[first[:-1]]))
     whole[size > v.length.max()] = -1
-    rest = np.flatnonzero((whole < 0) & (size > 0) & (size <= LONG))
+    rest = np.flatnonzero((whole < 0) & (size > 0))
     word, token = greedy(v, data, first[rest], first[rest + 1])
     same = word[1:] == word[:-1]
     pairs = np.unique((token[:-1][same] << np.int64(32)) | token[1:][same])
@@ -219,12 +283,15 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
         bad_pair[same] = ~good[np.searchsorted(pairs, (token[:-1][same] << np.int64(32)) | token[1:][same])]
     bad = np.zeros(len(rest), dtype=bool)
     bad[word[:-1][bad_pair]] = True
-    failed = [*rest[bad].tolist(), *np.flatnonzero((whole < 0) & (size > LONG)).tolist()]
-    merged = [[v.ranks[t] for t in merge(words[i], v.ranks)] for i in failed]
+    failed = rest[bad]
+    long = failed[size[failed] > SHORT].tolist()
+    merged = [[v.ranks[t] for t in merge(words[i], v.ranks)] for i in long]
+    short = failed[size[failed] <= SHORT]
+    short_word, short_token = merge_many(v, data[spread(first[short], size[short])], np.concatenate(([0], np.cumsum(size[short]))))
     ones = np.flatnonzero(whole >= 0)
     keep = ~bad[word]
-    at = np.concatenate((ones, rest[word[keep]], np.repeat(np.array(failed, dtype=np.int64), [len(m) for m in merged])))
-    tokens = np.concatenate((whole[ones], token[keep], np.array([t for m in merged for t in m], dtype=np.int64)))
+    at = np.concatenate((ones, rest[word[keep]], short[short_word], np.repeat(np.array(long, dtype=np.int64), [len(m) for m in merged])))
+    tokens = np.concatenate((whole[ones], token[keep], short_token, np.array([t for m in merged for t in m], dtype=np.int64)))
     order = np.argsort(at, kind="stable")
     return tokens[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(words))))), len(failed)
 
@@ -235,58 +302,146 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(first - total[:-1], size)
 
 
-_PIECES = re.compile(r" ?[^ ]+| ")
-_DOUBLE = re.compile(r"\s\s")
+#: Bytes before which a piece may begin if the next one is no white space, and bytes that are white space or may begin one.
+_CUT, _MAYBE_SPACE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_CUT[[10, 32]] = True
+_MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes that PATTERN cuts alike, apart or in their text.
+
+    A run of white space before a character is cut by PATTERN before its last character, so a piece may begin there.
+    """
+    n = len(data)
+    border = np.zeros(n + 1, dtype=bool)
+    border[1:n] = _CUT[data[:-1]] & ~_MAYBE_SPACE[data[1:]]
+    border[offsets] = False
+    border[:-1] = border[1:]
+    border[offsets] = True
+    start = np.flatnonzero(border[:n])
+    return start, np.append(start[1:], n)[: len(start)]
+
+
+class Codes:
+    """Numbers by 64-bit hash; open addressing."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.n = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        mask = U64(len(self.keys) - 1)
+        out = np.full(len(h), -1, dtype=np.int64)
+        todo, at = np.arange(len(h)), (h >> U64(20)) & mask
+        while len(todo):
+            key = self.keys[at]
+            hit = key == h[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            more = ~hit & (key != 0)
+            todo, at = todo[more], (at[more] + U64(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        if (self.n + len(h)) * 3 > len(self.keys):
+            old = self.keys != 0
+            keys, held = self.keys[old], self.values[old]
+            size = 1 << int((self.n + len(h)) * 6 - 1).bit_length()
+            self.keys, self.values, self.n = np.zeros(size, U64), np.zeros(size, np.int64), 0
+            self._put(keys, held)
+        self._put(h, values)
+
+    def _put(self, h: np.ndarray, values: np.ndarray) -> None:
+        mask = U64(len(self.keys) - 1)
+        self.n += len(h)
+        at = (h >> U64(20)) & mask
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            mine = self.keys[at] == h
+            self.values[at[mine]] = values[mine]
+            h, values, at = h[~mine], values[~mine], (at[~mine] + U64(1)) & mask
 
 
 class Encoder:
-    """Encodes texts; remembers the tokens of the words it has met."""
+    """Encodes texts; remembers the tokens of the pieces it has met."""
 
     def __init__(self, v: Vocabulary, pattern: str = PATTERN):
         self.v, self.pattern = v, regex.compile(pattern)
         self.failed = 0
-        self.letters = pattern == PATTERN
+        self.plain = pattern == PATTERN
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.codes = Codes()
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _words(self, text: str) -> list[str]:
         # letters after a space are one word of the pattern
-        cut = [[p] if self.letters and (p[1:] if p[0] == " " else p).isalpha() else self.pattern.findall(p) for p in pieces]
+        return [text] if self.plain and (text[1:] if text[:1] == " " else text).isalpha() else self.pattern.findall(text)
+
+    def _tokens_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts one after the other, and where each one's begin."""
+        cut = [self._words(t) for t in texts]
         words = list(dict.fromkeys(w for c in cut for w in c))
         at = dict(zip(words, range(len(words))))
         tokens, first, failed = encode_words(self.v, [w.encode("utf-8", "surrogatepass") for w in words])
         self.failed += failed
         which = np.array([at[w] for c in cut for w in c], dtype=np.int64)
         size = first[1:] - first[:-1]
-        own = tokens[spread(first[which], size[which])]
-        n_words = np.array([len(c) for c in cut])
         edge = np.concatenate(([0], np.cumsum(size[which])))
-        upto = np.concatenate(([0], np.cumsum(n_words)))
-        begin, end = edge[upto[:-1]], edge[upto[1:]]
-        self.code.update(zip(pieces, range(len(self.first), len(self.first) + len(pieces))))
-        self.first = np.concatenate((self.first, begin + len(self.tokens)))
-        self.size = np.concatenate((self.size, end - begin))
+        upto = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
+        return tokens[spread(first[which], size[which])], edge[upto]
+
+    def _learn(self, new: list[bytes], h: np.ndarray) -> None:
+        own, edge = self._tokens_of([x.decode("utf-8", "surrogatepass") for x in new])
+        self.codes.add(h, np.arange(len(self.first), len(self.first) + len(new)))
+        self.first = np.concatenate((self.first, edge[:-1] + len(self.tokens)))
+        self.size = np.concatenate((self.size, np.diff(edge)))
         self.tokens = np.concatenate((self.tokens, own))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts one after the other, and where each text's begin."""
-        if len(self.code) > REMEMBERED:
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts (UTF-8, one after the other) one after the other, and where each text's begin. Pieces are
+        known by a hash of 64 bits; the tokens' bytes are compared with the text's, which shows if two share one."""
+        if not self.plain:
+            raw = data.tobytes()
+            return self._tokens_of([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(offsets[:-1], offsets[1:])])
+        if self.codes.n > REMEMBERED or len(self.tokens) > REMEMBERED_TOKENS:
             self._forget()
-        # a text is cut before single spaces, where a word of the pattern always begins, unless white space runs on
-        cut = [self.pattern.findall(t) if _DOUBLE.search(t) else _PIECES.findall(t) for t in texts]
-        pieces = [p for c in cut for p in c]
-        new = set(pieces).difference(self.code)
-        if new:
-            self._learn(sorted(new))
-        code = np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        start, end = pieces(data, offsets)
+        sums = _raw_sums(data)
+        _, inv = tv._powers(len(data) + 1)
+        h = tv.mix((sums[end] - sums[start]) * inv[start]) | U64(1)
+        code = self.codes.find(h)
+        unknown = np.flatnonzero(code < 0)
+        if len(unknown):
+            new, at = np.unique(h[unknown], return_index=True)
+            raw = data.tobytes()
+            self._learn([raw[a:b] for a, b in zip(start[unknown[at]].tolist(), end[unknown[at]].tolist())], new)
+            code[unknown] = self.codes.find(h[unknown])
         size = self.size[code]
-        edge = np.concatenate(([0], np.cumsum(size)))
-        upto = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
-        return self.tokens[spread(self.first[code], size)], edge[upto]
+        tokens = self.tokens[spread(self.first[code], size)]
+        edge = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, offsets)]
+        wrong = self._differ(tokens, edge, data, offsets)
+        if len(wrong):
+            raw = data.tobytes()
+            lists = [tokens[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            for i in wrong:
+                lists[i] = self._tokens_of([raw[offsets[i] : offsets[i + 1]].decode("utf-8", "surrogatepass")])[0]
+            tokens, edge = np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        return tokens, edge
+
+    def _differ(self, tokens: np.ndarray, edge: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        back, begin = decode(self.v, tokens, edge)
+        if len(back) == len(data) and np.array_equal(begin, offsets) and np.array_equal(back, data):
+            return np.zeros(0, np.int64)
+        return np.array([i for i in range(len(offsets) - 1) if not np.array_equal(back[begin[i] : begin[i + 1]], data[offsets[i] : offsets[i + 1]])], dtype=np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
 
 
 def decode(v: Vocabulary, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,23 +451,36 @@ def decode(v: Vocabulary, tokens: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return v.data[spread(v.first[tokens], size)], edge[first]
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(v: Vocabulary, path: str, pattern: str) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has learnt from one task to the next."""
+    key = (path, pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(v, pattern)
+    return _encoders[key]
+
+
 def encode_texts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_tokens, tokens, round_trip`` of every document; round_trip: decoding gives the text again.
 
-    A null text has null tokens, none of them, and no round trip; an empty text has an empty list. Repeated rows are
-    encoded alike. Strings of special tokens are ordinary text. Other columns are ignored.
+    A null text has null tokens, none of them, and no round trip; an empty text has an empty list. Texts and words of any
+    length are encoded whole. Repeated rows are encoded alike; of equal ranks the leftmost pair is merged first. Strings
+    of special tokens are ordinary text. An empty table gives no rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     own = docs.select("doc_id", "text")
 
     def encode(batches):
         v = sent.value
-        encoder = Encoder(v, pattern)
+        encoder = encoder_of(v, path, pattern)
         for batch in batches:
             text = batch.column("text")
             for at, to, data, offsets in tv.chunks(text):
                 part = text.slice(at, to - at)
-                tokens, first = encoder.encode([t or "" for t in part.to_pylist()])
+                tokens, first = encoder.encode_bytes(data, offsets)
                 back, begin = decode(v, tokens, first)
                 if len(back) == len(data) and np.array_equal(begin, offsets) and np.array_equal(back, data):
                     same = np.ones(to - at, dtype=bool)
@@ -329,17 +497,19 @@ def encode_texts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN
 
 
 def decode_tokens(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``doc_id, text`` of rows with a column ``tokens``; null tokens give a null text, bytes that aren't UTF-8 the
-    replacement character."""
+    """``doc_id, text`` of rows with a column ``tokens``; a null list gives a null text, bytes that aren't UTF-8 the
+    replacement character. Null elements and numbers that are no token are left out, as if they weren't in the list."""
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
     own = encoded.select("doc_id", "tokens")
 
     def back(batches):
         for batch in batches:
             lists = batch.column("tokens")
-            flat = np.asarray(lists.flatten()).astype(np.int64)
+            flat = np.asarray(pc.fill_null(lists.flatten(), -1)).astype(np.int64)
             size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            data, begin = decode(sent.value, flat, np.concatenate(([0], np.cumsum(size))))
+            known = (flat >= 0) & (flat < len(sent.value.tokens))
+            upto = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], np.cumsum(size)))]
+            data, begin = decode(sent.value, flat[known], upto)
             raw, null = data.tobytes(), np.asarray(lists.is_null())
             texts = [None if null[i] else raw[begin[i] : begin[i + 1]].decode("utf-8", "replace") for i in range(len(size))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
