@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,7 @@ def _raw_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
+@lru_cache(2)
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     """Tables of a vocabulary whose single bytes have the lowest ranks: each token's two last parts, hashes of all."""
     tokens = read_ranks(path)

@@ -1,4 +1,4 @@
-"""Best-fit packing by exact complements, planned on the histogram of lengths."""
+"""Best-fit packing by exact complements, planned on the histogram of lengths in tokens of the BPE vocabulary."""
 
 from __future__ import annotations
 
@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicspark.llm.common import table, write_table
+from topicspark.llm import bpe
+from topicspark.llm import textvec as tv
+from topicspark.llm.common import table, whole_groups, write_table
 
-CAPACITY, SPREAD = 2048, 64
+CAPACITY = 2048
+#: Pieces of one length that are numbered in one task, about.
+PART_ROWS = 200_000
 
 
 def complement(count: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...] | None:
@@ -113,77 +117,140 @@ def best_fit(items: list[tuple[int, int]], capacity: int) -> list[tuple[tuple[in
     return [x for same in open_.values() for x in same]
 
 
-def segments(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length: the ranks at which a run of places begins, and the bin of the first place of each run."""
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+def segments(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: the ranks at which a run of places begins, the bin of the first place of each run, and where in
+    their bins the places of the run begin."""
+    runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     upto: dict[int, int] = defaultdict(int)
     base = 0
     for pattern, times in bins:
+        at = 0
         for length in pattern:
-            runs[length].append((upto[length], base))
+            runs[length].append((upto[length], base, at))
             upto[length] += times
+            at += length
         base += times
-    return {k: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for k, v in runs.items()}
+    return {k: tuple(np.array(x) for x in zip(*v)) for k, v in runs.items()}
 
 
-def token_count(text: str = "text"):
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint")
+def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str, with_tokens: bool) -> DataFrame:
+    """``uid, doc_id, piece, first_token, n_tokens`` and, if asked for, ``raw``: the tokens as numbers of 16 or 32 bits.
+    Written to the shared folder, so that ``uid`` stays."""
+    v = bpe.vocabulary(path)
+    kind = np.uint16 if len(v.tokens) <= 1 << 16 else np.uint32
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("uid"))
 
+    def cut(batches):
+        encoder = bpe.encoder_of(sent.value, path, bpe.PATTERN)
+        for batch in batches:
+            for at, to, data, offsets in tv.chunks(batch.column("text")):
+                tokens, edge = encoder.encode_bytes(data, offsets)
+                n = np.diff(edge)
+                k = np.maximum(-(-n // capacity), 1)
+                doc = np.repeat(np.arange(to - at), k)
+                piece = bpe.spread(np.zeros(to - at, np.int64), k)
+                first = piece * capacity
+                begin = np.append(edge[doc] + first, len(tokens))
+                columns = [batch.column("uid").slice(at, to - at).take(pa.array(doc)), batch.column("doc_id").slice(at, to - at).take(pa.array(doc))]
+                columns += [pa.array(piece.astype(np.int32)), pa.array(first), pa.array(np.diff(begin).astype(np.int32))]
+                if with_tokens:
+                    width = np.dtype(kind).itemsize
+                    raw = pa.py_buffer(np.ascontiguousarray(tokens.astype(kind)))
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((begin * width).astype(np.int32)), raw]))
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "piece", "first_token", "n_tokens", "raw"][: len(columns)])
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, first_token, n_tokens, bin_id``: every token of every document is in one bin of ``capacity`` tokens.
+    schema = f"uid bigint, doc_id {dict(own.dtypes)['doc_id']}, piece int, first_token bigint, n_tokens int" + (", raw binary" if with_tokens else "")
+    return write_table(own.mapInArrow(cut, schema), "pieces")
 
-    Tokens are runs without white space. A longer document is cut into full pieces and a rest. A null or empty text is
-    one piece of 0 tokens with a null bin. Repeated rows are packed once each. Which of the pieces of equal length takes
-    which place follows a hash and doc_id; all such choices are equally good. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    counted = write_table(docs.select(F.col(key).alias("doc_id"), token_count(text).alias("n")), "lengths")
-    full = F.floor(F.col("n") / capacity).cast("int")
-    last = F.when(F.col("n") == 0, 0).when(F.col("n") % capacity == 0, full - 1).otherwise(full)
-    pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("piece"))
-    first = F.col("piece").cast("bigint") * capacity
-    pieces = pieces.select(
-        "doc_id", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(capacity)).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPREAD)).cast("int").alias("part"),
-    )
-    # capacity x SPREAD rows at most, whatever the data
-    cells = pieces.where("n_tokens > 0").groupBy("n_tokens", "part").agg(F.count("*").alias("c")).toPandas().sort_values(["n_tokens", "part"])
+
+def placed(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` with tokens, without ``uid``, with ``bin_id`` and ``bin_start``: their bin and their place in it."""
+    spark = pieces.sparkSession
+    some = pieces.where("n_tokens > 0")
+    # capacity rows at most, here and broadcast
+    histogram = {int(r["n_tokens"]): int(r["c"]) for r in some.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
+    parts = {k: -(-c // PART_ROWS) for k, c in histogram.items()}
+    table_of_parts = spark.createDataFrame([(k, n) for k, n in parts.items()], "length int, parts int")
+    some = some.join(F.broadcast(table_of_parts), F.col("n_tokens") == F.col("length")).withColumn("part", F.pmod(F.xxhash64("uid", "piece"), F.col("parts")).cast("int"))
+    # a row for each PART_ROWS pieces and each length
+    cells = some.groupBy("n_tokens", "part").agg(F.count("*").alias("c")).toPandas().sort_values(["n_tokens", "part"])
     cells["c"] = cells["c"].astype("int64")
-    histogram = {int(k): int(v) for k, v in cells.groupby("n_tokens")["c"].sum().items()}
-    places = segments(plan(histogram, capacity))
-    before = cells.groupby("n_tokens")["c"].cumsum() - cells["c"]
-    since = np.zeros((capacity + 1, SPREAD), dtype=np.int64)
-    since[cells["n_tokens"].astype(int), cells["part"].astype(int)] = before
-    sent = spark.sparkContext.broadcast((places, since))
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")))
+    base, total = np.zeros(capacity + 2, dtype=np.int64), 0
+    for k in sorted(parts):
+        base[k], total = total, total + parts[k]
+    since = np.zeros(total, dtype=np.int64)
+    since[base[cells["n_tokens"].astype(int)] + cells["part"].astype(int)] = cells.groupby("n_tokens")["c"].cumsum() - cells["c"]
+    sent = spark.sparkContext.broadcast((segments(plan(histogram, capacity)), base, since))
+    carried = [c for c in pieces.columns if c != "uid"]
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("n_tokens", "part").orderBy("uid", "piece"))).select(*carried, "part", "rank")
 
     def place(batches):
-        places, since = sent.value
+        places, base, since = sent.value
         for batch in batches:
             n = np.asarray(batch.column("n_tokens"))
-            rank = np.asarray(batch.column("rank")).astype(np.int64) - 1 + since[n, np.asarray(batch.column("part"))]
-            out = np.zeros(len(n), dtype=np.int64)
+            rank = np.asarray(batch.column("rank")).astype(np.int64) - 1 + since[base[n] + np.asarray(batch.column("part"))]
+            out, start = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int32)
             order = np.argsort(n, kind="stable")
             lengths, at = np.unique(n[order], return_index=True)
             for length, rows in zip(lengths.tolist(), np.split(order, at[1:])):
-                if length:
-                    begin, base = places[length]
-                    k = np.searchsorted(begin, rank[rows], "right") - 1
-                    out[rows] = base[k] + rank[rows] - begin[k]
+                begin, first, inside = places[length]
+                k = np.searchsorted(begin, rank[rows], "right") - 1
+                out[rows] = first[k] + rank[rows] - begin[k]
+                start[rows] = inside[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(out), pa.array(start)], names=[*carried, "bin_id", "bin_start"])
+
+    kinds = dict(pieces.dtypes)
+    return ranked.mapInArrow(place, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", bin_id bigint, bin_start int")
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str = bpe.VOCABULARY) -> DataFrame:
+    """``doc_id, piece, first_token, n_tokens, bin_id, bin_start``: every token of every document is in one bin of
+    ``capacity`` tokens, at a place of its own.
+
+    Tokens are those of op3, whole texts of any length. A longer document is cut into full pieces and a rest. A null or
+    empty text is one piece of 0 tokens with a null bin. Repeated rows are packed once each. Which of the pieces of equal
+    length takes which place is settled by a hash; all such choices are equally good. Keys may be of any type, or null.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    pieces = pieces_table(docs, key, text, capacity, path, False)
+    none = pieces.where("n_tokens = 0").drop("uid").withColumn("bin_id", F.lit(None).cast("bigint")).withColumn("bin_start", F.lit(None).cast("int"))
+    return placed(pieces, capacity).unionByName(none)
+
+
+def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str = bpe.VOCABULARY) -> DataFrame:
+    """``bin_id, n_tokens, tokens, doc_ids, first_tokens, lengths``, a row for each training sequence: the tokens of its
+    pieces one after the other, and of each piece the document, its first token there and its length.
+
+    Packed as by pack(); documents without a token are in no sequence.
+    """
+    pieces = pieces_table(docs, key, text, capacity, path, True)
+    kind = np.uint16 if len(bpe.read_ranks(path)) <= 1 << 16 else np.uint32
+    own = placed(pieces, capacity).drop("piece")
+    own = own.repartition("bin_id").sortWithinPartitions("bin_id", "bin_start")
+
+    def join(batches):
+        for rows in whole_groups(batches, "bin_id", 4_000):
+            bins = np.asarray(rows.column("bin_id").combine_chunks())
+            first = np.append(np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))), len(bins))
+            lengths = np.asarray(rows.column("n_tokens").combine_chunks()).astype(np.int64)
+            edge = np.concatenate(([0], np.cumsum(lengths)))[first]
+            tokens = np.frombuffer(b"".join(rows.column("raw").to_pylist()), dtype=kind).astype(np.int32)
+            at = pa.array(first.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, rows.column(c).combine_chunks()) for c in ("doc_id", "first_token", "n_tokens")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "piece", "first_token", "n_tokens")), pa.array(out, mask=n == 0)],
-                names=["doc_id", "piece", "first_token", "n_tokens", "bin_id"],
+                [pa.array(bins[first[:-1]]), pa.array(np.diff(edge).astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(tokens)), *lists],
+                names=["bin_id", "n_tokens", "tokens", "doc_ids", "first_tokens", "lengths"],
             )
 
-    kind = dict(pieces.dtypes)["doc_id"]
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, first_token bigint, n_tokens bigint, bin_id bigint")
+    schema = f"bin_id bigint, n_tokens int, tokens array<int>, doc_ids array<{dict(pieces.dtypes)['doc_id']}>, first_tokens array<bigint>, lengths array<int>"
+    return own.mapInArrow(join, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return sequences(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of all the documents, as pack() gives them."""
-    return pack(docs)
+    """The training sequences of all the documents, as sequences() gives them."""
+    return sequences(docs)
