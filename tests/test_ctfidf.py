@@ -33,7 +33,7 @@ def test_weights_by_hand(spark):
 
 def test_ngrams_span_documents(spark):
     rows = [(1, "aa bb", 0), (2, "", 0), (3, "cc", 0), (4, "dd ee", 0), (5, "ff gg", 1)]
-    toks = tx.tokens(spark.createDataFrame(rows, DOCS))
+    toks = tx.document_words(spark.createDataFrame(rows, DOCS))
     got = sorted((r["topic"], r["word"]) for r in tx.ngrams(toks, 2, 3).collect())
     words = "aa bb cc dd ee".split()
     want = sorted([(0, " ".join(words[i : i + k])) for k in (2, 3) for i in range(6 - k)] + [(1, "ff gg")])

@@ -33,27 +33,47 @@ def drop_stop_words(toks: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     return toks.where(~F.col("word").isin(*stop_words)) if stop_words else toks
 
 
-def ngrams(toks: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
-    """``topic, word`` with n-grams of low..high words. The texts of a topic count as one, in the order of doc_id, so an
-    n-gram may span two documents.
+def document_words(docs: DataFrame, topic: str = "topic", text: str = "text", key: str = "doc_id", english: bool = True, stop_words: Sequence[str] = ()) -> DataFrame:
+    """``topic, doc_id, w``: the words of each document that has any, in order, without the stop words."""
+    w = words(F.col(text), english)
+    if stop_words:
+        gone = F.array(*map(F.lit, stop_words))
+        w = F.filter(w, lambda x: ~F.array_contains(gone, x))
+    return docs.select(F.col(topic).alias("topic"), F.col(key).alias("doc_id"), w.alias("w")).where(F.size("w") > 0)
 
-    Only each document's first words travel across documents: they are attached to the end of the document before.
+
+def ngrams(by_doc: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
+    """``topic, word`` with n-grams of low..high words from ``topic, doc_id, w``. The texts of a topic count as one, in the
+    order of doc_id, so an n-gram may span documents; each document has a word at least.
+
+    N-grams within a document come from its array of words. Only the first and last words of documents travel.
     """
-    if (low, high) == (1, 1):
-        return toks.select("topic", "word")
-    by_doc = toks.groupBy("topic", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda t: t["word"]).alias("w"))
-    head = by_doc.select("topic", "doc_id", F.slice("w", 1, high - 1).alias("h"))
-    # up to high - 1 words of the documents that follow; each of them has a word at least
-    after = W.partitionBy("topic").orderBy("doc_id").rowsBetween(1, high - 1)
-    tail = head.select("topic", "doc_id", F.slice(F.flatten(F.collect_list("h").over(after)), 1, high - 1).alias("next"))
-    both = by_doc.join(tail, ["topic", "doc_id"]).select("topic", F.size("w").alias("n"), F.concat("w", "next").alias("w"))
-
-    def runs(k: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i + k - 1 <= F.size("w"), F.array_join(F.slice("w", i, k), " ")))
-        return F.filter(each, lambda g: g.isNotNull())
-
-    grams = [runs(k) for k in range(low, high + 1)]
-    return both.select("topic", F.explode(F.concat(*grams)).alias("word"))
+
+    def runs(w: str, n: Column, k: int) -> Column:
+        """The n-grams of k words that begin at the first ``n`` words."""
+        if k == 1:
+            return F.slice(w, 1, n)
+        last = F.least(n, F.size(w) - (k - 1))
+        at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", *(F.element_at(w, i + j) for j in range(k))))
+
+    inside = by_doc.select("topic", F.explode(F.concat(*(runs("w", F.size("w"), k) for k in range(low, high + 1)))).alias("word"))
+    if high == 1:
+        return inside
+    span = high - 1
+    ends = by_doc.select("topic", "doc_id", F.slice("w", 1, span).alias("h"), F.slice("w", -F.least(F.size("w"), F.lit(span)), F.lit(span)).alias("e"))
+    # up to span words of the documents that follow
+    after = W.partitionBy("topic").orderBy("doc_id").rowsBetween(1, span)
+    ends = ends.withColumn("after", F.slice(F.flatten(F.collect_list("h").over(after)), 1, span)).select("topic", F.size("e").alias("n"), F.concat("e", "after").alias("x"))
+
+    def across(k: int) -> Column:
+        """Those that begin in the document and end after it."""
+        first, last = F.greatest(F.col("n") - (k - 2), F.lit(1)), F.least(F.col("n"), F.size("x") - (k - 1))
+        at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", *(F.element_at("x", i + j) for j in range(k))))
+
+    borders = ends.select("topic", F.explode(F.concat(*(across(k) for k in range(max(low, 2), high + 1)))).alias("word"))
+    return inside.unionByName(borders)
 
 
 def truncate_words(text: Column, n: int, unit: str = "whitespace") -> Column:

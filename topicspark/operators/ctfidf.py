@@ -19,8 +19,11 @@ def term_counts(
 ) -> DataFrame:
     """``topic, word, n``. ``min_df`` is the number of topics a word must be in; ``max_features`` keeps the most frequent
     words over all topics, ties by name. A topic without any word has the one word ``emptydoc``."""
-    toks = tx.drop_stop_words(tx.tokens(docs, topic, text, key, english), stop_words)
-    counts = tx.ngrams(toks, *ngram_range).groupBy("topic", "word").agg(F.count("*").alias("n"))
+    if ngram_range == (1, 1):
+        terms = tx.drop_stop_words(tx.tokens(docs, topic, text, key, english), stop_words).select("topic", "word")
+    else:
+        terms = tx.ngrams(tx.document_words(docs, topic, text, key, english, stop_words), *ngram_range)
+    counts = terms.groupBy("topic", "word").agg(F.count("*").alias("n"))
     every = docs.select(F.col(topic).alias("topic")).where(F.col(topic).isNotNull()).distinct()
     empty = every.join(counts.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(EMPTY_WORD).alias("word"), F.lit(1).cast("bigint").alias("n"))
     counts = counts.where(F.col("topic").isNotNull()).unionByName(empty)
@@ -59,11 +62,12 @@ def seed_factors(seed_words: Sequence[str] = (), seed_multiplier: float = 2.0, s
 def weights(counts: DataFrame, bm25: bool = False, reduce_frequent_words: bool = False, seeds: Mapping[str, float] | None = None) -> DataFrame:
     """``topic, word, n, df, weight``: the share of the word in its topic (or the root of it) times its idf.
 
-    The counts are shuffled once, by word; the totals, a row for each topic, are joined to them.
+    The counts of a word are summed before the shuffle and joined back to it, so that a word of very many topics is never
+    one task's alone; the totals, a row for each topic, are joined too.
     """
     totals = counts.groupBy("topic").agg(F.sum("n").alias("s"))
     totals = totals.crossJoin(F.broadcast(totals.agg(F.floor(F.avg("s")).alias("a"))))
-    rows = counts.withColumn("df", F.sum("n").over(W.partitionBy("word"))).join(totals, "topic")
+    rows = counts.join(counts.groupBy("word").agg(F.sum("n").alias("df")), "word").join(totals, "topic")
     tf = F.col("n") / F.col("s")
     tf = F.sqrt(tf) if reduce_frequent_words else tf
     return rows.select("topic", "word", "n", "df", (tf * _idf(F.col("a"), F.col("df"), bm25, seeds)).alias("weight"))

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as tx
+from topicspark.sources.shared import written
 
-#: Numbers (words x topics) that are sent to every task; a larger table is joined to the tokens by word.
-SENT_NUMBERS = 20_000_000
+#: Numbers (words x topics) that are sent to every task, 8 bytes each; a larger table is joined to the tokens by word.
+SENT_NUMBERS = 6_000_000
 EMPTY = np.zeros(0, dtype=np.int64)
 
 
@@ -61,11 +63,20 @@ def shares(words: np.ndarray, gains: np.ndarray, idf: np.ndarray, window: int, s
 
 
 def _gains(weighted: DataFrame, idf: DataFrame) -> DataFrame:
-    """``word, topic, gain, idf`` of the topics but -1; words in none of them have a null topic."""
-    own = weighted.where("topic IS NULL OR cast(topic as string) <> '-1'")
+    """``word, idf, topics, gains``: of each word, the topics but -1 that have it, and idf x weight / length of the topic."""
+    own = weighted.where("topic IS NOT NULL AND cast(topic as string) <> '-1'")
     length = own.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    rows = own.join(length, "topic").where("length > 0").select("word", "topic", (F.col("weight") / F.col("length")).alias("x"))
-    return idf.select("word", "idf").join(rows, "word", "left").select("word", "topic", "idf", (F.col("idf") * F.col("x")).alias("gain"))
+    rows = own.join(length, "topic").where("length > 0").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("topic", (F.col("weight") / F.col("length")).alias("x")))).alias("own"))
+    each = idf.select("word", "idf").join(rows, "word", "left")
+    return each.select("word", "idf", F.transform("own", lambda t: t["topic"]).alias("topics"), F.transform("own", lambda t: t["x"] * F.col("idf")).alias("gains"))
+
+
+def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each element, elements) of a column of lists; null counts as empty."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), lists.flatten()
 
 
 def approximate_distribution(
@@ -80,15 +91,16 @@ def approximate_distribution(
     """
     spark = docs.sparkSession
     kind = dict(weighted.dtypes)["topic"]
-    topics = sorted(r[0] for r in weighted.where("topic IS NOT NULL AND cast(topic as string) <> '-1'").select("topic").distinct().collect())
+    # words x topics numbers at most, computed once
+    gains = written(_gains(weighted, idf), "gains")
+    topics = sorted(r[0] for r in gains.select(F.explode("topics").alias("topic")).distinct().collect())
     number = {t: i for i, t in enumerate(topics)}
     key = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {key}, pos int, token string, topic {kind}, weight double" if by_token else f"doc_id {key}, topic {kind}, weight double"
     names = np.array(topics, dtype=object)
-    gains = _gains(weighted, idf)
     texts = docs.select("doc_id", tx.words(F.col("text"), english).alias("w"))
 
-    def emit(doc: int, tokens: list[str], codes: np.ndarray, g: np.ndarray, i: np.ndarray, out: list[list]) -> None:
+    def emit(doc: int, tokens, codes: np.ndarray, g: np.ndarray, i: np.ndarray, out: list[list]) -> None:
         first, end, s = shares(codes, g, i, window, stride, padding, min_similarity)
         if by_token:
             step = np.zeros((len(tokens) + 1, len(topics)))
@@ -112,29 +124,38 @@ def approximate_distribution(
         return pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in zip(columns, out)], names=columns)
 
     n_columns = 5 if by_token else 3
-    if idf.count() * max(len(topics), 1) <= SENT_NUMBERS:
-        got = gains.toPandas()
-        vocabulary = {w: i for i, w in enumerate(got["word"].unique())}
-        table, each = np.zeros((len(vocabulary) + 1, len(topics))), np.zeros(len(vocabulary) + 1)
-        code = got["word"].map(vocabulary).to_numpy(dtype=np.int64) if len(got) else EMPTY
-        each[code] = got["idf"].to_numpy(float)
-        have = got["topic"].notna().to_numpy()
-        table[code[have], [number[t] for t in got["topic"][have]]] = got["gain"][have].to_numpy(float)
-        sent = spark.sparkContext.broadcast((vocabulary, table, each))
+    if gains.count() * max(len(topics), 1) <= SENT_NUMBERS:
+        got = gains.toArrow()
+        rows, flat = _flat(got.column("topics"))
+        table = np.zeros((got.num_rows + 1, len(topics)))
+        if len(rows):
+            coded = pc.index_in(flat, value_set=pa.array(topics, flat.type))
+            table[rows, np.asarray(coded)] = np.asarray(_flat(got.column("gains"))[1])
+        sent = spark.sparkContext.broadcast((got.column("word").combine_chunks(), table, np.append(got.column("idf").to_numpy(), 0.0)))
 
         def compute(batches):
-            vocabulary, table, each = sent.value
+            words, table, each = sent.value
+            vocabulary = dict(zip(words.to_pylist(), range(len(words))))
             for batch in batches:
                 out: list[list] = [[] for _ in range(n_columns)]
-                for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    codes = np.array([vocabulary.get(w, -1) for w in tokens], dtype=np.int64)
-                    emit(doc, tokens, codes, table[codes], each[codes], out)
+                row, flat = _flat(batch.column(1))
+                if len(row):
+                    # each distinct word of the batch is looked up once
+                    coded = flat.dictionary_encode()
+                    known = np.array([vocabulary.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                    codes = known[np.asarray(coded.indices)]
+                    edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                    tokens = flat.to_pylist() if by_token else None
+                    for doc, a, b in zip(batch.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist()):
+                        if b > a:
+                            own = codes[a:b]
+                            emit(doc, tokens[a:b] if by_token else own, own, table[own], each[own], out)
                 yield frame(out)
 
         return texts.mapInArrow(compute, schema)
 
-    rows = gains.groupBy("word").agg(F.first("idf").alias("idf"), F.map_from_entries(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("topic", "gain")))).alias("g"))
-    placed = texts.select("doc_id", F.posexplode("w").alias("pos", "token")).join(rows.withColumnRenamed("word", "token"), "token", "left")
+    rows = gains.select(F.col("word").alias("token"), "idf", F.map_from_arrays(F.coalesce("topics", F.array().cast(dict(gains.dtypes)["topics"])), F.coalesce("gains", F.array().cast("array<double>"))).alias("g"))
+    placed = texts.select("doc_id", F.posexplode("w").alias("pos", "token")).join(rows, "token", "left")
 
     def compute_group(group: pa.Table) -> pa.Table:
         group = group.sort_by("pos")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicspark.operators import ctfidf
+from topicspark.sources.shared import written
 
 #: Topics whose tree is built at most: the matrix of distances has the square of it.
 MOST = 5000
+#: Topics whose products one task holds, 32 MB; parts that the words are spread over.
+BLOCK, WORD_PARTS = 2000, 64
 HIERARCHY = (
     "parent_id int, parent_name string, topics array<int>, child_left_id int, child_left_name string, child_right_id int, child_right_name string, distance double"
 )
@@ -110,12 +115,50 @@ def topic_distances(rows: DataFrame, topics: list[int]) -> np.ndarray:
 
 
 def ctfidf_similarity(weighted: DataFrame) -> DataFrame:
-    """``topic_a, topic_b, similarity`` of all pairs of topics but -1, joined on the words they share."""
+    """``topic_a, topic_b, similarity`` of all pairs of topics but -1 that share a word.
+
+    Words are spread over the tasks; each multiplies its words x topics matrix, block of topics by block, so a word of
+    many topics costs a row of a matrix and not a row for each pair.
+    """
     own = weighted.where(F.col("topic").cast("string") != "-1")
-    length = own.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("l"))
-    x = own.join(length, "topic").where("l > 0").select("topic", "word", (F.col("weight") / F.col("l")).alias("x"))
-    pairs = x.select(F.col("topic").alias("topic_a"), "word", "x").join(x.select(F.col("topic").alias("topic_b"), "word", F.col("x").alias("y")), "word")
-    return pairs.groupBy("topic_a", "topic_b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    length = written(own.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("l")).where("l > 0"), "lengths")
+    # a row a topic, numbered in blocks: numbers needn't be without gaps
+    n_blocks = max(1, -(-length.count() // BLOCK))
+    rank = F.row_number().over(W.partitionBy("block").orderBy("topic")) - 1
+    numbered = written(length.withColumn("block", F.pmod(F.xxhash64("topic"), F.lit(n_blocks)).cast("int")).withColumn("place", rank), "numbered")
+    x = own.join(numbered, "topic").select("block", "place", "word", (F.col("weight") / F.col("l")).alias("x"))
+    both = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    parts = both.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.pmod(F.xxhash64("word"), F.lit(WORD_PARTS)).alias("part"), "block", "place", "word", "x")
+
+    def multiply(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        word = np.unique(group.column("word").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+        block, place, value = (group.column(c).to_numpy() for c in ("block", "place", "x"))
+        size = [int(place[block == b].max(initial=-1)) + 1 for b in (lo, hi)]
+        total = np.zeros(size)
+        order = np.argsort(word, kind="stable")
+        step = max(1, (1 << 22) // max(*size, 1))
+        for w in range(0, int(word.max()) + 1, step):
+            some = order[np.searchsorted(word[order], w) : np.searchsorted(word[order], w + step)]
+            sides = []
+            for b, n in zip((lo, hi), size):
+                m = np.zeros((step, n))
+                mine = some[block[some] == b]
+                m[word[mine] - w, place[mine]] = value[mine]
+                sides.append(m)
+            total += sides[0].T @ sides[1]
+        i, j = np.nonzero(total)
+        return pa.table({"block_a": pa.array(np.full(len(i), lo), pa.int32()), "place_a": i.astype(np.int32), "block_b": pa.array(np.full(len(i), hi), pa.int32()), "place_b": j.astype(np.int32), "s": total[i, j]})
+
+    keys = ["block_a", "place_a", "block_b", "place_b"]
+    sums = parts.groupBy("lo", "hi", "part").applyInArrow(multiply, ", ".join(f"{k} int" for k in keys) + ", s double").groupBy(*keys).agg(F.sum("s").alias("similarity"))
+    # of two blocks each pair came once
+    turned = sums.where("block_a <> block_b").select(F.col("block_b").alias("block_a"), F.col("place_b").alias("place_a"), F.col("block_a").alias("block_b"), F.col("place_a").alias("place_b"), "similarity")
+    sums = sums.unionByName(turned)
+    for side in ("a", "b"):
+        named = numbered.select(F.col("topic").alias(f"topic_{side}"), F.col("block").alias(f"block_{side}"), F.col("place").alias(f"place_{side}"))
+        sums = sums.join(named, [f"block_{side}", f"place_{side}"])
+    return sums.select("topic_a", "topic_b", "similarity")
 
 
 def hierarchical_topics(counts: DataFrame, idf: DataFrame, similarity: DataFrame, method: str | Linkage = "ward", n_words: int = 5) -> DataFrame:

@@ -56,8 +56,9 @@ def document_info(docs: DataFrame, info: DataFrame, representative: DataFrame, t
 
 
 def sample_per_topic(docs: DataFrame, topic: str, n: int, key: str = "doc_id") -> DataFrame:
-    """Up to ``n`` documents of each topic, those of the lowest ids."""
-    rank = F.row_number().over(W.partitionBy(topic).orderBy(key))
+    """Up to ``n`` documents of each topic, a draw by the MD5 of their ids. Each partition's rows are cut to n a topic before
+    the shuffle."""
+    rank = F.row_number().over(W.partitionBy(topic).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
     return docs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from topicspark.functions import text as tx
 from topicspark.functions import vectors as vx
 from topicspark.operators import assign, charts, cluster, ctfidf, distribution, dynamic, embed, hierarchy, lineage, merge_models, outliers, topics, tuners
-from topicspark.sources.readers import table
+from topicspark.sources.readers import table, texts
+from topicspark.sources.shared import written
 from topicspark.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +38,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _docs(spark: SparkSession, d: str, topic: str = "source") -> DataFrame:
     """``doc_id, text, topic, lang, slot`` with a given column, or a skewed number, as topic."""
-    rows = table(spark, d, "documents")
+    rows = texts(spark, d, "documents")
     of = F.expr(f"cast({NUMBER} as int)") if topic == "number" else F.col(topic)
     return rows.select("doc_id", "text", of.alias("topic"), "lang", (F.col("doc_id") % 10).alias("slot"))
 
 
+def _counts(docs: DataFrame, **options) -> DataFrame:
+    """``topic, word, n``, written: the texts are read once, all that follows comes from the counts."""
+    return written(ctfidf.term_counts(docs, **options), "counts")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """``doc_id, embedding, label`` of the documents that have a vector."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("int").alias("topic"))
@@ -88,22 +94,22 @@ W12 = ", w12 AS (SELECT topic, word, n, round(weight, 12) AS weight FROM w)"
 @query("preprocess_tokens", f"SELECT doc_id, CAST(len({WORDS}) AS INTEGER) AS n_tokens, array_to_string({WORDS}, ' ') AS words FROM documents")
 def preprocess_tokens(spark: SparkSession, d: str) -> DataFrame:
     words = tx.words(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.array_join(words, " ").alias("words"))
+    return texts(spark, d, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.array_join(words, " ").alias("words"))
 
 
 @query("ctfidf_top_words", f"WITH {_cte()}{W12} {_top('w12')}")
 def ctfidf_top_words(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d))))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d))))
 
 
 @query("ctfidf_bm25", f"WITH {_cte()}, v AS (SELECT topic, word, round(n / s * ln(1 + (a - df + 0.5) / (df + 0.5)), 12) AS weight FROM w JOIN tot USING (topic), a) {_top('v')}")
 def ctfidf_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d)), bm25=True))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d)), bm25=True))
 
 
 @query("ctfidf_sqrt", f"WITH {_cte()}, v AS (SELECT topic, word, round(sqrt(n / s) * ln(1 + a / df), 12) AS weight FROM w JOIN tot USING (topic), a) {_top('v')}")
 def ctfidf_sqrt(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d)), reduce_frequent_words=True))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d)), reduce_frequent_words=True))
 
 
 _CASE = "CASE word " + " ".join(f"WHEN '{w}' THEN {x}" for w, x in SEEDS.items()) + " ELSE 1 END"
@@ -111,7 +117,7 @@ _CASE = "CASE word " + " ".join(f"WHEN '{w}' THEN {x}" for w, x in SEEDS.items()
 
 @query("ctfidf_seeded", f"WITH {_cte()}, v AS (SELECT topic, word, round(weight * {_CASE}, 12) AS weight FROM w) {_top('v')}")
 def ctfidf_seeded(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d)), seeds=ctfidf.seed_factors(["the"], 2.0, [["and", "that"]])))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d)), seeds=ctfidf.seed_factors(["the"], 2.0, [["and", "that"]])))
 
 
 def _restricted(keep: str) -> str:
@@ -121,17 +127,17 @@ def _restricted(keep: str) -> str:
 
 @query("ctfidf_min_df", _restricted("SELECT word FROM cnt0 GROUP BY word HAVING count(*) >= 3"))
 def ctfidf_min_df(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d), min_df=3)))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d), min_df=3)))
 
 
 @query("ctfidf_max_features", _restricted("SELECT word FROM (SELECT word, sum(n) AS s FROM cnt0 GROUP BY word ORDER BY s DESC, word LIMIT 500)"))
 def ctfidf_max_features(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d), max_features=500)))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d), max_features=500)))
 
 
 @query("ctfidf_stop_words", f"WITH {_cte(where='WHERE word NOT IN ' + str(STOP_WORDS))}{W12} {_top('w12')}")
 def ctfidf_stop_words(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d), stop_words=STOP_WORDS)))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d), stop_words=STOP_WORDS)))
 
 
 _BI = _cte().replace(
@@ -144,7 +150,7 @@ cnt AS (SELECT topic, word, count(*) AS n FROM grams GROUP BY ALL)""",
 
 @query("ctfidf_bigrams", f"WITH {_BI}{W12} {_top('w12')}")
 def ctfidf_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d), ngram_range=(1, 2))))
+    return _ranked(ctfidf.weights(_counts(_docs(spark, d), ngram_range=(1, 2))))
 
 
 # sizes, labels, information
@@ -155,9 +161,10 @@ _N = f"WITH {_cte('number')}{W12}, top AS ({_top('w12')}), {_SIZES}, lists AS (S
 
 def _described(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs = _docs(spark, d, "number")
-    weighted = ctfidf.weights(ctfidf.term_counts(docs))
-    words = ctfidf.word_lists(_ranked(weighted))
-    return {"docs": docs, "weights": weighted, "words": words, "labels": topics.labels(words), "sizes": topics.sizes(docs)}
+    counts = _counts(docs)
+    weighted = ctfidf.weights(counts)
+    words = written(ctfidf.word_lists(_ranked(weighted)), "words")
+    return {"docs": docs, "counts": counts, "weights": weighted, "words": words, "labels": topics.labels(words), "sizes": topics.sizes(docs)}
 
 
 @query("topic_freq", f"WITH {_SIZES} SELECT topic, count FROM sizes ORDER BY count DESC, topic")
@@ -188,7 +195,7 @@ def custom_labels(spark: SparkSession, d: str) -> DataFrame:
 
 _REPR = f"""WITH {_cte('number')},
 x AS (SELECT doc_id, topic, word, count(*) * any_value(idf) AS x FROM tok JOIN idf USING (word)
-      WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS r FROM d) WHERE r <= 500) GROUP BY ALL),
+      WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY topic ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r FROM d) WHERE r <= 500) GROUP BY ALL),
 l AS (SELECT topic, sqrt(sum(weight * weight)) AS l FROM w GROUP BY 1),
 s AS (SELECT x.doc_id, x.topic, sum(x.x * w.weight) / (sqrt(sum(x.x * x.x)) * any_value(l.l)) AS similarity FROM x JOIN w USING (topic, word) JOIN l USING (topic) GROUP BY ALL),
 rep AS (SELECT topic, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 3)"""
@@ -197,7 +204,7 @@ rep AS (SELECT topic, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM (SE
 @query("representative_docs", f"{_REPR} SELECT topic, rank, doc_id, round(similarity, 8) AS similarity FROM rep")
 def representative_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return topics.representative_docs(docs, ctfidf.weights(counts), ctfidf.idf(counts)).select("topic", "rank", "doc_id", _r("similarity"))
 
 
@@ -206,8 +213,7 @@ SELECT d.doc_id, d.topic, d.topic || '_' || array_to_string(lists.ws[1:4], '_')
 FROM d LEFT JOIN lists USING (topic) LEFT JOIN rep ON rep.doc_id = d.doc_id""")
 def document_info(spark: SparkSession, d: str) -> DataFrame:
     t = _described(spark, d)
-    counts = ctfidf.term_counts(t["docs"])
-    found = topics.representative_docs(t["docs"], t["weights"], ctfidf.idf(counts))
+    found = topics.representative_docs(t["docs"], t["weights"], ctfidf.idf(t["counts"]))
     info = topics.topic_info(t["sizes"], t["words"], t["labels"])
     return topics.document_info(t["docs"].select("doc_id", "topic"), info, found).select("doc_id", "topic", "name", "top_n_words", "representative_document")
 
@@ -365,7 +371,7 @@ def _time_sql(of: str, by: str = "slot", name: str = "timestamp") -> str:
 
 def _over_time(spark: SparkSession, d: str, **options: bool) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "slot", **options)
 
 
@@ -399,7 +405,7 @@ _BINS = """b AS (SELECT doc_id, CASE WHEN k = 0 THEN lo - (hi - lo) * 0.001 ELSE
 @query("topics_over_time_binned", f"WITH {_BINS} SELECT CAST({NUMBER} AS INTEGER) AS topic, round(edge, 9) AS timestamp, count(*) AS frequency FROM documents JOIN b USING (doc_id) GROUP BY ALL")
 def topics_over_time_binned(spark: SparkSession, d: str) -> DataFrame:
     docs = dynamic.equal_bins(_docs(spark, d, "number"), "slot", 4)
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     found = dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "bin", global_tuning=False)
     return found.select("topic", "timestamp", "frequency")
 
@@ -407,14 +413,14 @@ def topics_over_time_binned(spark: SparkSession, d: str) -> DataFrame:
 @query("topics_per_class", _time_sql("mix", "lang", "class"))
 def topics_per_class(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang")
 
 
 @query("topics_per_class_local", _time_sql("raw", "lang", "class"))
 def topics_per_class_local(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang", global_tuning=False)
 
 
@@ -436,7 +442,7 @@ sim AS (SELECT wt.doc_id, wt.i, w.topic, sum(wt.x * w.weight) / (any_value(wl.l)
 
 def _by_language(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _docs(spark, d, "lang")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return docs, ctfidf.weights(counts), ctfidf.idf(counts)
 
 
@@ -466,7 +472,7 @@ xl AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1), tl AS (SELECT to
 sc AS (SELECT x.doc_id, w.topic, sum(x.x * w.weight) / (any_value(xl.l) * any_value(tl.l)) AS s FROM x JOIN w USING (word) JOIN xl ON xl.doc_id = x.doc_id JOIN tl ON tl.topic = w.topic GROUP BY ALL) {_NEW.format(d='d', least=0.1)}""")
 def outliers_ctfidf(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return outliers.by_ctfidf(docs, ctfidf.weights(counts), ctfidf.idf(counts), 0.1)
 
 
@@ -476,7 +482,7 @@ _WIN_NUMBER = _WIN.replace(_cte("lang"), _cte("number")).replace("FROM d WHERE l
 @query("outliers_distributions", f"{_WIN_NUMBER}, sc AS (SELECT doc_id, topic, sum(s) / sum(sum(s)) OVER (PARTITION BY doc_id) AS s FROM sim GROUP BY doc_id, topic) {_NEW.format(d='d', least=0.0)}")
 def outliers_distributions(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return outliers.by_distributions(docs, ctfidf.weights(counts), ctfidf.idf(counts))
 
 
@@ -517,7 +523,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def _numbered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts, idf and weights with the sources as topics 0, 1, ..."""
     docs = _docs(spark, d).withColumn("topic", F.regexp_extract("topic", r"(\d+)$", 1).cast("int"))
-    counts = ctfidf.term_counts(docs)
+    counts = _counts(docs)
     return counts, ctfidf.idf(counts), ctfidf.weights(counts)
 
 
@@ -540,7 +546,7 @@ def reduce_topics(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.topic AS topic_a, b.topic AS topic_b, round(sum(a.weight * b.weight) / (any_value(x.l) * any_value(y.l)), 8) AS similarity
 FROM w a JOIN w b USING (word) JOIN l x ON x.topic = a.topic JOIN l y ON y.topic = b.topic GROUP BY ALL""")
 def ctfidf_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.ctfidf_similarity(ctfidf.weights(ctfidf.term_counts(_docs(spark, d)))).select("topic_a", "topic_b", _r("similarity"))
+    return hierarchy.ctfidf_similarity(ctfidf.weights(_counts(_docs(spark, d)))).select("topic_a", "topic_b", _r("similarity"))
 
 
 @query("kmeans_topics")
@@ -570,21 +576,22 @@ def mmr_words(spark: SparkSession, d: str) -> DataFrame:
     _, _, weighted = _numbered(spark, d)
     ranked = ctfidf.top_words(weighted.withColumn("weight", F.round("weight", 12)), 30)
     used = weighted.join(ranked.select("word").distinct(), "word", "left_semi")
-    vectors = used.groupBy("word").pivot("topic", list(range(20))).agg(F.sum("weight")).fillna(0.0)
-    vectors = vectors.select("word", F.array(*[F.col(str(i)) for i in range(20)]).alias("embedding"))
+    numbers = sorted(r[0] for r in weighted.select("topic").distinct().collect())
+    vectors = used.groupBy("word").pivot("topic", numbers).agg(F.sum("weight")).fillna(0.0)
+    vectors = vectors.select("word", F.array(*[F.col(str(i)) for i in numbers]).alias("embedding"))
     return tuners.maximal_marginal_relevance(ranked, vectors, diversity=0.3)
 
 
 @query("term_rank", f"WITH {_cte('number')}{W12}, top AS ({_top('w12')}) SELECT topic, rank, round(log10(score), 6) AS score FROM top WHERE topic <> -1 AND score > 0")
 def term_rank(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _ranked(ctfidf.weights(ctfidf.term_counts(_docs(spark, d, "number"))))
+    ranked = _ranked(ctfidf.weights(_counts(_docs(spark, d, "number"))))
     return charts.term_rank(ranked, True).select("topic", "rank", _r("score", 6))
 
 
 @query("barchart", f"WITH {_cte('number')}{W12}, {_SIZES}, top AS ({_top('w12')}) SELECT topic, rank, word, score FROM top WHERE rank <= 5 AND topic IN (SELECT topic FROM sizes WHERE topic <> -1 ORDER BY count DESC, topic LIMIT 3)")
 def barchart(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    return charts.barchart(_ranked(ctfidf.weights(ctfidf.term_counts(docs))), topics.sizes(docs), 3)
+    return charts.barchart(_ranked(ctfidf.weights(_counts(docs))), topics.sizes(docs), 3)
 
 
 @query("heatmap", f"WITH {_V} SELECT a.topic AS topic_a, b.topic AS topic_b, 'topic ' || a.topic AS label_a, 'topic ' || b.topic AS label_b, round(list_cosine_similarity(a.c, b.c), 8) AS similarity FROM cen a, cen b")

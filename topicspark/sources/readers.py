@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicspark.sources.shared import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts take time to work through: over all cores even if its files are one split."""
+    return spread(table(spark, folder, name))
+
+
 def documents(spark: SparkSession, path: str, kind: str = "parquet", text: str = "text", key: str | None = "doc_id", **options) -> DataFrame:
     """``doc_id, text`` and the other columns of a file or folder: parquet, json, csv, orc or text (a line a document). Without
     a key column the id is a hash of the text's place in its file, the same at each reading of ``text`` files."""
