@@ -111,6 +111,87 @@ def test_given_and_zero_shot(spark, corpus):
     assert sorted(sizes(z)) == [0, 1, 2, 3]
 
 
+def test_update_topics(spark, corpus):
+    docs, vectors = corpus
+    m = TopicModel(n_clusters=4, n_components=None).fit(docs, vectors)
+    m.delete_topics(docs, [3])
+    moved = m.reduce_outliers(docs, "embeddings", embeddings=vectors)
+    want = {r["doc_id"]: r["new_topic"] for r in moved.collect()}
+    assert sum(r["topic"] == -1 < r["new_topic"] for r in moved.collect()) > 0
+    m.update_topics(docs, moved)
+    assert {r["doc_id"]: r["topic"] for r in m.assignments.collect()} == want
+    # the vectors are those of the new topics
+    assert {r["topic"]: r["size"] for r in m.tables["topic_vectors"].collect()} == {t: list(want.values()).count(t) for t in set(want.values())}
+    assert {r["topic"] for r in m.transform(docs, vectors).select("topic").distinct().collect()} <= set(want.values())
+    m.update_topics(docs, top_n_words=3)
+    assert all(len(r["words"]) == 3 for r in m.get_topic_info().collect())
+    given = TopicModel(method="given").fit(docs, y=docs.select("doc_id", F.col("given").alias("topic")))
+    given.tables["topic_vectors"] = m.tables["topic_vectors"]
+    given.update_topics(docs, docs.select("doc_id", F.lit(0).alias("topic")))
+    assert "topic_vectors" not in given.tables
+
+
+def test_parts_and_probabilities(spark, corpus):
+    docs, vectors = corpus
+    seen = []
+
+    def reducer(rows):
+        seen.append("reducer")
+        return rows.select("doc_id", F.slice("embedding", 1, 4).alias("embedding"))
+
+    def clusterer(rows):
+        first = F.array_position(F.transform("embedding", lambda x: x == F.array_max("embedding")), True) - 1
+        return rows.select("doc_id", first.alias("topic"), F.lit(0.5).alias("probability"))
+
+    def vectorizer(rows):
+        return rows.groupBy("topic", F.substring("text", 1, 3).alias("word")).agg(F.count("*").alias("n"))
+
+    m = TopicModel(reducer=reducer, clusterer=clusterer, vectorizer=vectorizer, weighting=lambda c: c.select("topic", "word", "n", F.col("n").cast("double").alias("weight"))).fit(docs, vectors)
+    assert seen == ["reducer"] and sorted(sizes(m)) == [0, 1, 2, 3]
+    assert {w for r in m.get_topic_info().collect() for w in r["words"]} == {"cat", "dog", "car", "sun"}
+    about = m.get_document_info(docs)
+    assert about.where("probability = 0.5").count() == 120
+    d = TopicModel(method="density", min_topic_size=8, n_components=None).fit(docs, vectors)
+    assert d.get_document_info(docs).where("topic >= 0 AND probability > 0").count() > 60
+
+
+def test_guided_fit(spark, corpus):
+    docs, vectors = corpus
+    names = ("cat", "dog", "car", "sun")
+
+    def encode(texts):
+        return np.array([[1.0 if t.startswith(k) else 0.0 for k in names] + [0.0] * 4 for t in texts])
+
+    got = []
+    TopicModel(embedder=encode, seed_topics=(("cat", "cats"),), n_components=None, reducer=lambda r: got.append(r) or r, n_clusters=4).fit(docs, vectors)
+    moved = {r["doc_id"]: np.array(r["embedding"]) for r in got[0].collect()}
+    before = {r["doc_id"]: np.array(r["embedding"]) for r in vectors.collect()}
+    first = {r["doc_id"]: r["text"].startswith("cat") for r in docs.collect()}
+    seed = np.eye(8)[0]
+    assert all(np.allclose(moved[i], before[i] * 0.75 + seed * 0.25 if first[i] else before[i], atol=1e-6) for i in moved)
+
+
+def test_other_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one text"), (2, "another")], "doc_id bigint, text string")
+    for kind in ("json", "csv", "orc"):
+        rows.write.format(kind).option("header", "true").save(f"{tmp_path}/{kind}")
+        options = {"header": "true"} if kind == "csv" else {}
+        got = readers.documents(spark, f"{tmp_path}/{kind}", kind, **options)
+        assert sorted((int(r["doc_id"]), r["text"]) for r in got.collect()) == [(1, "one text"), (2, "another")]
+    rows.select("text").coalesce(1).write.text(f"{tmp_path}/lines")
+    got = readers.documents(spark, f"{tmp_path}/lines", "text")
+    assert sorted(r["text"] for r in got.collect()) == ["another", "one text"] and got.select("doc_id").distinct().count() == 2
+    with pytest.raises(ValueError):
+        readers.documents(spark, f"{tmp_path}/json", "json", text="body")
+
+
+def test_card(model):
+    from topicspark.sources import store
+
+    text = store.model_card("News", model.get_params(), [r.asDict() for r in model.get_topic_info().collect()])
+    assert text.startswith("# News") and "4 topics" in text and "* n_clusters: 4" in text
+
+
 def test_guards(spark):
     with pytest.raises(TypeError):
         readers.check_documents(["text"])

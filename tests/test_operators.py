@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topicspark.operators import cluster, distribution, hierarchy, lineage, merge_models, outliers, tuners
+from topicspark.plans import queries as plans
 from topicspark.streaming import online
 
 
@@ -22,6 +24,125 @@ def test_density_clusters_recover_blobs(k):
     assert ((strength >= 0) & (strength <= 1)).all()
 
 
+def blob_table(spark, per=150, centers=3, d=5, seed=3):
+    rng = np.random.default_rng(seed)
+    at = rng.normal(size=(centers, d)) * 12
+    x = np.concatenate([at[i] + rng.normal(size=(per, d)) for i in range(centers)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame([*rows, (9999, None)], "doc_id bigint, embedding array<double>"), np.repeat(np.arange(centers), per), at
+
+
+@pytest.mark.parametrize("most", [20_000, 100])
+def test_density_of_rows_and_of_bubbles(spark, monkeypatch, most):
+    df, truth, at = blob_table(spark)
+    monkeypatch.setattr(cluster, "MOST_ROWS", most)
+    model = cluster.density_model(df, 20, bubbles=40)
+    assert model.agg(F.sum("weight")).first()[0] == len(truth)
+    got = {r["doc_id"]: (r["topic"], r["probability"]) for r in cluster.approximate_predict(df, model, known=True).collect()}
+    assert got.keys() == set(range(len(truth)))
+    names = {k: {got[i][0] for i in np.flatnonzero(truth == k) if got[i][0] >= 0} for k in range(3)}
+    assert all(len(v) == 1 for v in names.values()) and len(set.union(*names.values())) == 3
+    assert sum(t >= 0 for t, _ in got.values()) > 0.85 * len(truth)
+    new = spark.createDataFrame([(0, at[0].tolist()), (1, (at[2] + 0.1).tolist()), (2, [500.0] * 5)], "doc_id bigint, embedding array<double>")
+    near = {r["doc_id"]: (r["topic"], r["probability"]) for r in cluster.approximate_predict(new, model).collect()}
+    assert {near[0][0]} == names[0] and {near[1][0]} == names[2] and near[2] == (-1, 0.0) and near[0][1] > 0
+    shares = cluster.membership_vectors(new, model).collect()
+    assert len(shares) == 9 and sum(r["probability"] for r in shares) == pytest.approx(3)
+    best = {i: max((r["probability"], r["topic"]) for r in shares if r["doc_id"] == i)[1] for i in (0, 1)}
+    assert {best[0]} == names[0] and {best[1]} == names[2]
+
+
+def test_principal_components_like_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6)) @ rng.normal(size=(6, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, embedding array<double>")
+    got = np.array([r["reduced"] for r in cluster.reduce_dimensions(df, 3).orderBy("doc_id").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    # the projection is of the vectors as they are; signs are free
+    for own, axis in zip(got.T, axes):
+        assert np.allclose(np.abs(own - own.mean()), np.abs((x - x.mean(axis=0)) @ axis), atol=1e-6)
+
+
+def test_kmeans_rests_at_its_means(spark):
+    df, truth, _ = blob_table(spark, 80)
+    got = {r["doc_id"]: r["topic"] for r in cluster.cluster(df, 3).collect()}
+    x = {r["doc_id"]: np.array(r["embedding"]) for r in df.collect() if r["embedding"]}
+    mean = {t: np.mean([x[i] for i in got if got[i] == t], axis=0) for t in set(got.values())}
+    assert all(min(mean, key=lambda t: np.linalg.norm(x[i] - mean[t])) == got[i] for i in got)
+    assert len({(int(truth[i]), got[i]) for i in got}) == 3
+
+
+def test_classifier_learns_what_is_labelled(spark):
+    df, truth, _ = blob_table(spark, 80)
+    labelled = spark.createDataFrame([(i, int(truth[i]) if i % 4 == 0 else -1) for i in range(len(truth))], "doc_id bigint, topic int")
+    got = {r["doc_id"]: (r["topic"], r["probability"]) for r in cluster.classify(df, labelled).collect()}
+    assert all(got[i][0] == truth[i] and got[i][1] > 0.5 for i in got) and len(got) == len(truth)
+
+
+def brute_average_linkage(d, n_clusters):
+    groups = [{i} for i in range(len(d))]
+    while len(groups) > n_clusters:
+        pairs = [(np.mean([d[i, j] for i in a for j in b]), min(a), min(b), ka, kb) for ka, a in enumerate(groups) for kb, b in enumerate(groups) if ka < kb]
+        low = min(p[0] for p in pairs)
+        _, _, _, ka, kb = min((p for p in pairs if p[0] <= low + 1e-12), key=lambda p: p[1:3])
+        groups[ka] |= groups.pop(kb)
+    return {i: min(g) for g in groups for i in g}
+
+
+def similarities_by_sql(data, words=False):
+    """Cosines of the sources' c-TF-IDF vectors, and their weights, from DuckDB."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    rows = con.sql(plans.SQL["ctfidf_similarity"]).fetchall()
+    number = {t: int(t[len("src") :] if t.startswith("src") else "".join(c for c in t if c.isdigit())) for t in {r[0] for r in rows}}
+    out = np.zeros((len(number), len(number)))
+    order = {t: k for k, t in enumerate(sorted(number, key=number.get))}
+    for a, b, s in rows:
+        out[order[a], order[b]] = s
+    return sorted(number.values()), out
+
+
+def test_reduced_topics_like_brute_force(spark, data):
+    topics, s = similarities_by_sql(data)
+    want = {topics[i]: topics[j] for i, j in brute_average_linkage(1 - s, 8).items()}
+    assert {r["from_topic"]: r["to_topic"] for r in plans.QUERIES["reduce_topics"](spark, data).collect()} == want
+
+
+def test_hierarchy_like_ward_of_all_pairs(spark, data):
+    topics, s = similarities_by_sql(data)
+    rows = sorted(plans.QUERIES["hierarchical_topics"](spark, data).collect(), key=lambda r: r["distance"])
+    d = np.clip(1 - s, 0, None)
+    np.fill_diagonal(d, np.inf)
+    i, j = np.unravel_index(d.argmin(), d.shape)
+    assert rows[0]["topics"] == sorted([topics[i], topics[j]]) and rows[0]["distance"] == pytest.approx(d.min(), abs=1e-7)
+    # Ward's distance of two groups from the distances of their members
+    d2 = np.where(np.isfinite(d), d, 0) ** 2
+    at = {t: k for k, t in enumerate(topics)}
+    by = {r["parent_id"]: [at[t] for t in r["topics"]] for r in rows} | {t: [at[t]] for t in topics}
+    for r in rows:
+        a, b = by[r["child_left_id"]], by[r["child_right_id"]]
+        within = lambda g: d2[np.ix_(g, g)].sum() / (2 * len(g) ** 2)
+        between = d2[np.ix_(a, b)].mean()
+        ward = 2 * len(a) * len(b) / (len(a) + len(b)) * (between - within(a) - within(b))
+        assert r["distance"] == pytest.approx(np.sqrt(max(ward, 0)), abs=1e-5)
+
+
+def test_chosen_words_like_brute_force(spark, data):
+    """Each step of mmr_words takes the word that a plain loop takes."""
+    words = [[1.0, 0.0, 0.2], [0.9, 0.1, 0.2], [0.0, 1.0, 0.1], [0.5, 0.5, 0.5], [0.1, 0.9, 0.3]]
+    ranked = spark.createDataFrame([(0, i + 1, f"w{i}", 1.0 - i / 10) for i in range(5)], tuners.RANKED)
+    vectors = spark.createDataFrame([(f"w{i}", w) for i, w in enumerate(words)], "word string, embedding array<double>")
+    got = [r["word"] for r in tuners.maximal_marginal_relevance(ranked, vectors, diversity=0.3, n=3).orderBy("rank").collect()]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    doc = np.mean([np.array(w) / np.linalg.norm(w) for w in words], axis=0).tolist()
+    chosen = [max(range(5), key=lambda i: cos(words[i], doc))]
+    while len(chosen) < 3:
+        chosen.append(max((i for i in range(5) if i not in chosen), key=lambda i: 0.7 * cos(words[i], doc) - 0.3 * max(cos(words[i], words[j]) for j in chosen)))
+    assert got == [f"w{i}" for i in sorted(chosen)]
+
+
 def test_density_of_few_rows():
     assert cluster.hdbscan(np.zeros((3, 2)), 5)[0].tolist() == [-1, -1, -1]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of topic vectors that are sent to every task; more are compared block by block.
+#: Bytes of topic vectors that are sent to every task; more is an error.
 SENT_BYTES = 256 << 20
 
 
@@ -75,9 +75,23 @@ def similarities(rows: DataFrame, key: str, vector: str, to: np.ndarray, name: s
 
 
 def nearest(rows: DataFrame, key: str, vector: str, labels: list, to: np.ndarray, label: str = "topic", kind: str = "int", tie: float = 1e-12) -> DataFrame:
-    """``key, topic, similarity``: the most similar row of ``to``; the first of equals."""
-    every = similarities(rows, key, vector, to)
-    best = F.array_max("similarities")
-    at = F.array_position(F.transform("similarities", lambda x: x >= best - tie), True)
-    names = F.array(*[F.lit(x).cast(kind) for x in labels])
-    return every.select(key, F.element_at(names, at.cast("int")).alias(label), best.alias("similarity"))
+    """``key, topic, similarity``: the most similar row of ``to`` (of length 1); the first of equals. Rows with a null vector
+    are left out. Only the best leaves the product of a batch."""
+    own = rows.where(F.col(vector).isNotNull()).select(key, vector)
+    schema = T.StructType([own.schema[key], *T.StructType.fromDDL(f"{label} {kind}, similarity double").fields])
+    sent = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(to.T), pa.array(labels, pa.string() if kind == "string" else pa.int64())))
+    if not len(labels):
+        return own.select(key, F.lit(None).cast(kind).alias(label), F.lit(None).cast("double").alias("similarity")).limit(0)
+
+    def compute(batches):
+        to, names = sent.value
+        out = pa.string() if kind == "string" else {"int": pa.int32(), "bigint": pa.int64()}[kind]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                s = unit(rows_of(part.column(1))) @ to
+                best = s.max(axis=1)
+                first = (s >= best[:, None] - tie).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), names.take(pa.array(first)).cast(out), pa.array(best)], names=[key, label, "similarity"])
+
+    return own.mapInArrow(compute, schema)

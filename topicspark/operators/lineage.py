@@ -56,11 +56,12 @@ def composed(lineage: DataFrame, n_steps: int) -> DataFrame:
 
 
 def apply(docs: DataFrame, mapping: Mapping[int, int], topic: str = "topic") -> DataFrame:
-    """The documents under new numbers; a number without an entry stays. The mapping has an entry a topic."""
+    """The documents under new numbers; a number without an entry stays. The mapping has an entry a topic, and is joined."""
     if not mapping:
         return docs
-    names = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return docs.withColumn(topic, F.coalesce(F.element_at(names, F.col(topic)), F.col(topic)).cast("int"))
+    names = docs.sparkSession.createDataFrame([(int(a), int(b)) for a, b in mapping.items()], "_from int, _to int")
+    moved = docs.join(F.broadcast(names), docs[topic] == F.col("_from"), "left")
+    return moved.select(*(F.coalesce("_to", docs[c]).cast("int").alias(c) if c == topic else docs[c] for c in docs.columns))
 
 
 def map_probabilities(probabilities: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def custom_labels(default: DataFrame, given: Mapping[int, str]) -> DataFrame:
     """``topic, label``: the given labels, and the default ones of topics that have none."""
     if not given:
         return default
-    names = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
-    return default.select("topic", F.coalesce(F.element_at(names, F.col("topic")), "label").alias("label"))
+    names = default.sparkSession.createDataFrame(list(given.items()), "topic int, _given string")
+    return default.join(F.broadcast(names), "topic", "left").select("topic", F.coalesce("_given", "label").alias("label"))
 
 
 def topic_info(size: DataFrame, words: DataFrame, label: DataFrame, representative: DataFrame | None = None) -> DataFrame:
@@ -47,7 +47,8 @@ def topic_info(size: DataFrame, words: DataFrame, label: DataFrame, representati
 
 
 def document_info(docs: DataFrame, info: DataFrame, representative: DataFrame, topic: str = "topic") -> DataFrame:
-    """The documents with ``name``, ``top_n_words`` and ``representative_document``. Flags go by doc_id, so copies of a
+    """The documents with ``name``, ``top_n_words`` and ``representative_document``, and what else they came with, such as a
+    ``probability``. Flags go by doc_id, so copies of a
     representative text aren't flagged. Both sides have a row or a few rows for each topic."""
     flags = representative.select("doc_id", F.lit(True).alias("representative_document"))
     about = info.select(F.col("topic").alias(topic), "name", F.array_join("words", " - ").alias("top_n_words"))

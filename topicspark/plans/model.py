@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from topicspark.functions import vectors as vx
 from topicspark.operators import assign, charts, cluster, ctfidf, distribution, dynamic, embed, hierarchy, lineage, merge_models, outliers, topics, tuners
 from topicspark.sources import readers, store
+from topicspark.sources.shared import written
+
+Part = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -42,11 +45,21 @@ class Settings:
 
 class TopicModel:
     """Fits topics to documents (``doc_id, text``) and answers questions about them. Tables that are asked for more than once
-    are written to ``folder`` when it is given, so that no answer computes them again."""
+    are written to ``folder``, or else to the shared folder of the session, so that no answer computes them again.
+
+    Parts can be replaced by functions of DataFrames: ``reducer`` and ``clusterer`` take ``doc_id, embedding`` and give
+    ``doc_id, embedding`` and ``doc_id, topic`` (and ``probability``, if it has one); ``vectorizer`` takes the documents with
+    their ``topic`` and gives ``topic, word, n``; ``weighting`` takes these counts and gives ``topic, word, n, weight``.
+    """
 
-    def __init__(self, settings: Settings | None = None, embedder: Any = None, tuner: Any = None, folder: str | None = None, **options: Any):
+    def __init__(
+        self, settings: Settings | None = None, embedder: Any = None, tuner: Any = None, folder: str | None = None,
+        reducer: Part | None = None, clusterer: Part | None = None, vectorizer: Part | None = None, weighting: Part | None = None, **options: Any,
+    ):
         self.settings = replace(settings or Settings(), **options)
         self.embedder, self.tuner, self.folder = embedder, tuner, folder
+        self.reducer, self.clusterer, self.vectorizer, self.weighting = reducer, clusterer, vectorizer, weighting
+        self.vectors: DataFrame | None = None
         self.assignments: DataFrame | None = None
         self.tables: dict[str, DataFrame] = {}
         self.steps: list[dict[int, int]] = []
@@ -62,9 +75,9 @@ class TopicModel:
     # fitting
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        """``df``, written if there is a folder for it."""
+        """``df``, written to the model's folder or to the shared one."""
         if not self.folder:
-            return df
+            return written(df, name)
         self._writes += 1
         at = f"{self.folder.rstrip('/')}/{name}-{self._writes}"
         df.write.mode("overwrite").parquet(at)
@@ -72,14 +85,15 @@ class TopicModel:
 
     def fit(self, docs: DataFrame, embeddings: DataFrame | None = None, y: DataFrame | None = None) -> TopicModel:
         """``embeddings``: ``doc_id, embedding``; ``y``: ``doc_id, topic``, given topics (with method "given") or the classes a
-        classifier learns (with method "classify")."""
+        classifier learns (with method "classify"). With ``seed_topics`` and vectors, documents near a seed topic move towards
+        it before they are clustered."""
         readers.check_documents(docs)
         s = self.settings
         docs = docs.drop("topic")
         if embeddings is None and s.method != "given":
             embeddings = embed.select_embedder(self.embedder).embed(docs)
         if embeddings is not None:
-            embeddings = self._kept(embeddings, "embeddings")
+            embeddings = self.vectors = self._kept(embeddings, "embeddings")
         self.assignments = self._kept(self._assign(docs, embeddings, y), "assignments")
         if s.method != "given" and not s.zero_shot_topics and s.nr_topics is None:
             self._rank()
@@ -102,19 +116,33 @@ class TopicModel:
             _, x = vx.matrix(embed.select_embedder(self.embedder).embed(names), "doc_id", "embedding")
             fixed = self._kept(assign.zero_shot(vectors, x, s.zero_shot_min_similarity), "zero-shot")
             rows = vectors.join(fixed.where("topic IS NULL").select("doc_id"), "doc_id", "left_semi")
-        if s.n_components:
+        if s.seed_topics and rows is not None:
+            seeds = docs.sparkSession.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(s.seed_topics)], "doc_id bigint, text string")
+            _, x = vx.matrix(embed.select_embedder(self.embedder).embed(seeds), "doc_id", "embedding")
+            rows = assign.guided(rows, x).select("doc_id", "embedding")
+        if self.reducer is not None:
+            rows = self.reducer(rows)
+        elif s.n_components:
             rows = cluster.reduce_dimensions(rows, s.n_components, name="embedding")
-        if s.method == "classify":
+        if self.clusterer is not None:
+            found = self.clusterer(rows)
+        elif s.method == "classify":
             if y is None:
                 raise ValueError("method classify needs y")
-            found = cluster.classify(rows, y).select("doc_id", "topic")
+            found = cluster.classify(rows, y)
         elif s.method == "density":
-            found = cluster.density(rows, s.min_topic_size).select("doc_id", "topic")
+            found = cluster.density(rows, s.min_topic_size)
         else:
-            found = cluster.cluster(rows, s.n_clusters, s.method).select("doc_id", "topic")
+            found = cluster.cluster(rows, s.n_clusters, s.method)
+            if "probabilities" in found.columns:
+                found = found.withColumn("probability", F.array_max("probabilities"))
+        own = F.col("probability").cast("double") if "probability" in found.columns else F.lit(None).cast("double")
+        found = found.select("doc_id", F.col("topic").cast("int").alias("topic"), own.alias("probability"))
         if fixed is None:
             return found
-        return assign.combine_zero_shot(fixed, found, len(s.zero_shot_topics))
+        certain = fixed.where("topic IS NOT NULL").select("doc_id", F.col("similarity").alias("probability"))
+        both = certain.unionByName(found.select("doc_id", "probability"))
+        return assign.combine_zero_shot(fixed, found, len(s.zero_shot_topics)).join(both, "doc_id")
 
     def _with_topics(self, docs: DataFrame) -> DataFrame:
         if self.assignments is None:
@@ -142,11 +170,13 @@ class TopicModel:
     def _represent(self, docs: DataFrame, vectors: DataFrame | None = None) -> None:
         s = self.settings
         rows = self._with_topics(docs)
-        counts = self._kept(ctfidf.term_counts(rows, english=s.english, ngram_range=s.ngram_range, stop_words=s.stop_words, min_df=s.min_df, max_features=s.max_features), "counts")
+        options = {"english": s.english, "ngram_range": s.ngram_range, "stop_words": s.stop_words, "min_df": s.min_df, "max_features": s.max_features}
+        counts = self._kept(self.vectorizer(rows) if self.vectorizer is not None else ctfidf.term_counts(rows, **options), "counts")
         seeds = ctfidf.seed_factors(s.seed_words, s.seed_multiplier, s.seed_topics)
         self.tables["counts"] = counts
         self.tables["idf"] = self._kept(ctfidf.idf(counts, s.bm25, seeds), "idf")
-        self.tables["weights"] = self._kept(ctfidf.weights(counts, s.bm25, s.reduce_frequent_words, seeds), "weights")
+        weighted = self.weighting(counts) if self.weighting is not None else ctfidf.weights(counts, s.bm25, s.reduce_frequent_words, seeds)
+        self.tables["weights"] = self._kept(weighted, "weights")
         ranked = ctfidf.top_words(self.tables["weights"].where("weight > 0"), max(s.top_n_words, 30))
         self.tables["topic_words"] = self._kept(tuners.run(ranked, self.tuner, s.top_n_words), "words")
         self.tables["sizes"] = self._kept(topics.sizes(self.assignments), "sizes")
@@ -194,8 +224,11 @@ class TopicModel:
         return topics.topic_info(self._table("sizes"), self._words(), self.labels(), self._table("representative"))
 
     def get_document_info(self, docs: DataFrame) -> DataFrame:
-        info = self.get_topic_info()
-        return topics.document_info(self._with_topics(docs), info, self._table("representative"))
+        """With the probability of the document's topic where the clusters have one, else null."""
+        info, rows = self.get_topic_info(), self._with_topics(docs)
+        if "probability" in self.assignments.columns:
+            rows = rows.drop("probability").join(self.assignments.select("doc_id", "probability"), "doc_id")
+        return topics.document_info(rows, info, self._table("representative"))
 
     def get_representative_docs(self, topic: int | None = None) -> DataFrame:
         rows = self._table("representative")
@@ -270,11 +303,15 @@ class TopicModel:
     # changing
 
     def update_topics(self, docs: DataFrame, new_topics: DataFrame | None = None, embeddings: DataFrame | None = None, **options: Any) -> None:
-        """Counts and words again, with other settings or under given topics (``doc_id, topic``)."""
+        """Counts and words again, with other settings or under given topics: ``doc_id, topic``, or what reduce_outliers()
+        gives, whose ``new_topic`` counts. Topic vectors follow, from ``embeddings`` or those the model was fitted with;
+        without any there are none."""
         self.settings = replace(self.settings, **options)
         if new_topics is not None:
-            self.assignments = self._kept(new_topics.select("doc_id", "topic"), "assignments")
-        self._represent(docs, embeddings)
+            name = "new_topic" if "new_topic" in new_topics.columns else "topic"
+            self.assignments = self._kept(new_topics.select("doc_id", F.col(name).cast("int").alias("topic")), "assignments")
+            self.tables.pop("topic_vectors", None)
+        self._represent(docs, embeddings if embeddings is not None else self.vectors)
 
     def _change(self, docs: DataFrame, mapping: Mapping[int, int]) -> None:
         old = self.tables.get("topic_vectors")
@@ -328,7 +365,7 @@ class TopicModel:
         known: set[int] = set()
         words, assigned = [], []
         for model, mapping in zip(models, mappings):
-            assigned.append(lineage.apply(model.assignments, mapping))
+            assigned.append(lineage.apply(model.assignments.select("doc_id", "topic"), mapping))
             fresh = {a: b for a, b in mapping.items() if b not in known}
             known |= set(mapping.values())
             words.append(lineage.apply(model.get_topics(None).where(F.col("topic").isin(*fresh)), fresh) if fresh else None)

@@ -342,7 +342,14 @@ def guided_topics(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "topic", F.round(F.col("embedding")[0], 8).alias("first_number"))
 
 
-@query("merge_models")
+@query("merge_models", f"""WITH {_V}, half AS (SELECT doc_id % 2 AS model, topic, i, avg(x) AS x, count(*) AS n FROM long GROUP BY ALL),
+m AS (SELECT model, topic, list(x ORDER BY i) AS c, any_value(n) AS n FROM half GROUP BY ALL),
+s AS (SELECT b.topic, a.topic AS known, list_cosine_similarity(b.c, a.c) AS s FROM m a JOIN m b ON a.model = 0 AND b.model = 1),
+best AS (SELECT topic, known, round(s, 9) >= 0.4 AS same FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(s, 11) DESC, known) AS r FROM s) WHERE r = 1),
+moved AS (SELECT 0 AS model, topic AS f, topic AS t FROM m WHERE model = 0 UNION ALL
+  SELECT 1, topic, CASE WHEN same THEN known ELSE (SELECT max(topic) FROM m WHERE model = 0) + row_number() OVER (PARTITION BY same ORDER BY topic) END FROM best),
+sized AS (SELECT t, sum(n)::DOUBLE AS size FROM moved JOIN m ON m.model = moved.model AND m.topic = moved.f GROUP BY 1)
+SELECT CAST(model AS INTEGER) AS model, CAST(f AS INTEGER) AS from_topic, CAST(t AS INTEGER) AS to_topic, size FROM moved JOIN sized USING (t)""")
 def merge_two_models(spark: SparkSession, d: str) -> DataFrame:
     """Two models of the even and the odd documents; the second one's topics that are unlike all of the first get new numbers."""
     rows = _vectors(spark, d)
