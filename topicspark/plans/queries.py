@@ -54,6 +54,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    # the source takes folders, and of this one the file or folder of the table
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def _r(c: str, n: int = 8) -> Column:
     return F.round(c, n).alias(c)
 
@@ -511,8 +516,8 @@ def online_decay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The windows a stream of the events ends with; here over the table."""
-    found = online.frequency_windows(table(spark, d, "events"), "event_type", "ts")
+    """The windows that a stream of the events ends with."""
+    found = online.settled(online.frequency_windows(_stream(spark, d, "events"), "event_type", "ts"), "windows")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -520,7 +525,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    found = online.session_windows(table(spark, d, "events"), "user_id", "ts")
+    found = online.settled(online.session_windows(_stream(spark, d, "events"), "user_id", "ts"), "sessions")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 

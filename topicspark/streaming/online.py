@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicspark.functions import vectors as vx
 from topicspark.operators import ctfidf
+from topicspark.sources.shared import shared_dir
 
 
 def merge_counts(state: DataFrame | None, batch: DataFrame, decay: float = 0.0, delete_min_df: float | None = None) -> DataFrame:
@@ -145,6 +147,22 @@ def to_memory(df: DataFrame, name: str, mode: str = "complete", before: Callable
     return (before(df) if before else df).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
 
 
+def settled(stream: DataFrame, what: str) -> DataFrame:
+    """All there is of a stream of totals run through: each micro-batch's totals are written to the shared folder, and the
+    last ones read."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/topicspark-{what}-{uuid.uuid4().hex}"
+    numbers: list[int] = []
+
+    def write(totals: DataFrame, number: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{at}/b{number}")
+        numbers.append(number)
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/b{max(numbers)}") if numbers else spark.createDataFrame([], stream.schema)
+
+
 def bucket(time: Column, width_seconds: int) -> Column:
     """The beginning of the window of a time, as seconds."""
     return (F.floor(F.unix_timestamp(time) / width_seconds) * width_seconds).cast("bigint")
