@@ -116,7 +116,7 @@ def check(got, rows, capacity, encoder):
 
 
 def test_every_token_is_in_one_sequence(docs, encoder, monkeypatch):
-    monkeypatch.setattr(p, "PART_ROWS", 3)
+    monkeypatch.setattr(p, "PART_TOKENS", 150)
     rng = np.random.default_rng(1)
     rows = [(i, "word " * int(rng.integers(1, 150))) for i in range(300)]
     assert check(p.sequences(docs(rows), capacity=64).collect(), rows, 64, encoder) > 0.98

@@ -24,7 +24,7 @@ from topicspark.llm.common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a task remembers, and tokens of them; when there are more it begins anew.
-REMEMBERED, REMEMBERED_TOKENS = 700_000, 8_000_000
+REMEMBERED, REMEMBERED_TOKENS = 500_000, 8_000_000
 #: Bytes of a word up to which merging scans all pairs, and up to which the words of a batch are matched in step.
 SHORT, LONG = 64, 256
 U64 = np.uint64
@@ -326,10 +326,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Codes:
-    """Numbers by 64-bit hash; open addressing."""
+    """Numbers by 64-bit hash; open addressing, half full at most."""
 
     def __init__(self) -> None:
-        self.keys, self.values, self.n = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64), 0
+        self.keys, self.values, self.n = np.zeros(1 << 12, U64), np.zeros(1 << 12, np.int32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash, or -1."""
@@ -346,11 +346,11 @@ class Codes:
 
     def add(self, h: np.ndarray, values: np.ndarray) -> None:
         """Distinct hashes that are not there yet."""
-        if (self.n + len(h)) * 3 > len(self.keys):
+        if (self.n + len(h)) * 2 > len(self.keys):
             old = self.keys != 0
             keys, held = self.keys[old], self.values[old]
-            size = 1 << int((self.n + len(h)) * 6 - 1).bit_length()
-            self.keys, self.values, self.n = np.zeros(size, U64), np.zeros(size, np.int64), 0
+            size = 1 << int((self.n + len(h)) * 2).bit_length()
+            self.keys, self.values, self.n = np.zeros(size, U64), np.zeros(size, np.int32), 0
             self._put(keys, held)
         self._put(h, values)
 
@@ -377,8 +377,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes = Codes()
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.tokens = np.zeros(0, np.int32)
+        self.first, self.size, self.tokens = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _words(self, text: str) -> list[str]:
         # letters after a space are one word of the pattern
@@ -400,8 +399,8 @@ class Encoder:
     def _learn(self, new: list[bytes], h: np.ndarray) -> None:
         own, edge = self._tokens_of([x.decode("utf-8", "surrogatepass") for x in new])
         self.codes.add(h, np.arange(len(self.first), len(self.first) + len(new)))
-        self.first = np.concatenate((self.first, edge[:-1] + len(self.tokens)))
-        self.size = np.concatenate((self.size, np.diff(edge)))
+        self.first = np.concatenate((self.first, (edge[:-1] + len(self.tokens)).astype(np.int32)))
+        self.size = np.concatenate((self.size, np.diff(edge).astype(np.int32)))
         self.tokens = np.concatenate((self.tokens, own))
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,7 +422,7 @@ class Encoder:
             raw = data.tobytes()
             self._learn([raw[a:b] for a, b in zip(start[unknown[at]].tolist(), end[unknown[at]].tolist())], new)
             code[unknown] = self.codes.find(h[unknown])
-        size = self.size[code]
+        size = self.size[code].astype(np.int64)
         tokens = self.tokens[spread(self.first[code], size)]
         edge = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, offsets)]
         wrong = self._differ(tokens, edge, data, offsets)

@@ -16,8 +16,8 @@ from topicspark.llm import textvec as tv
 from topicspark.llm.common import table, whole_groups, write_table
 
 CAPACITY = 2048
-#: Pieces of one length that are numbered in one task, about.
-PART_ROWS = 200_000
+#: Tokens of the pieces of one length that are numbered in one task, about.
+PART_TOKENS = 16_000_000
 
 
 def complement(count: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...] | None:
@@ -133,16 +133,20 @@ def segments(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
     return {k: tuple(np.array(x) for x in zip(*v)) for k, v in runs.items()}
 
 
+def _kind(n_tokens: int) -> type:
+    return np.uint16 if n_tokens <= 1 << 16 else np.uint32
+
+
 def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str, with_tokens: bool) -> DataFrame:
-    """``uid, doc_id, piece, first_token, n_tokens`` and, if asked for, ``raw``: the tokens as numbers of 16 or 32 bits.
-    Written to the shared folder, so that ``uid`` stays."""
+    """``uid, doc_id, piece, first_token, n_tokens`` and, if asked for, ``raw``: the tokens as numbers of 16 or 32 bits,
+    compressed piece by piece, as they are shuffled twice. Written to the shared folder, so that ``uid`` stays."""
     v = bpe.vocabulary(path)
-    kind = np.uint16 if len(v.tokens) <= 1 << 16 else np.uint32
+    kind = _kind(len(v.tokens))
     sent = docs.sparkSession.sparkContext.broadcast(v)
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("uid"))
 
     def cut(batches):
-        encoder = bpe.encoder_of(sent.value, path, bpe.PATTERN)
+        encoder, codec = bpe.encoder_of(sent.value, path, bpe.PATTERN), pa.Codec("zstd", 1)
         for batch in batches:
             for at, to, data, offsets in tv.chunks(batch.column("text")):
                 tokens, edge = encoder.encode_bytes(data, offsets)
@@ -155,9 +159,8 @@ def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str,
                 columns = [batch.column("uid").slice(at, to - at).take(pa.array(doc)), batch.column("doc_id").slice(at, to - at).take(pa.array(doc))]
                 columns += [pa.array(piece.astype(np.int32)), pa.array(first), pa.array(np.diff(begin).astype(np.int32))]
                 if with_tokens:
-                    width = np.dtype(kind).itemsize
-                    raw = pa.py_buffer(np.ascontiguousarray(tokens.astype(kind)))
-                    columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((begin * width).astype(np.int32)), raw]))
+                    raw = tokens.astype(kind)
+                    columns.append(pa.array([codec.compress(raw[a:b], asbytes=True) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "piece", "first_token", "n_tokens", "raw"][: len(columns)])
 
     schema = f"uid bigint, doc_id {dict(own.dtypes)['doc_id']}, piece int, first_token bigint, n_tokens int" + (", raw binary" if with_tokens else "")
@@ -170,10 +173,10 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
     some = pieces.where("n_tokens > 0")
     # capacity rows at most, here and broadcast
     histogram = {int(r["n_tokens"]): int(r["c"]) for r in some.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
-    parts = {k: -(-c // PART_ROWS) for k, c in histogram.items()}
+    parts = {k: -(-c * k // PART_TOKENS) for k, c in histogram.items()}
     table_of_parts = spark.createDataFrame([(k, n) for k, n in parts.items()], "length int, parts int")
     some = some.join(F.broadcast(table_of_parts), F.col("n_tokens") == F.col("length")).withColumn("part", F.pmod(F.xxhash64("uid", "piece"), F.col("parts")).cast("int"))
-    # a row for each PART_ROWS pieces and each length
+    # a row for each PART_TOKENS tokens and each length
     cells = some.groupBy("n_tokens", "part").agg(F.count("*").alias("c")).toPandas().sort_values(["n_tokens", "part"])
     cells["c"] = cells["c"].astype("int64")
     base, total = np.zeros(capacity + 2, dtype=np.int64), 0
@@ -225,17 +228,19 @@ def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity
     Packed as by pack(); documents without a token are in no sequence.
     """
     pieces = pieces_table(docs, key, text, capacity, path, True)
-    kind = np.uint16 if len(bpe.read_ranks(path)) <= 1 << 16 else np.uint32
+    kind = _kind(len(bpe.vocabulary(path).tokens))
     own = placed(pieces, capacity).drop("piece")
     own = own.repartition("bin_id").sortWithinPartitions("bin_id", "bin_start")
 
     def join(batches):
+        codec, width = pa.Codec("zstd"), np.dtype(kind).itemsize
         for rows in whole_groups(batches, "bin_id", 4_000):
             bins = np.asarray(rows.column("bin_id").combine_chunks())
             first = np.append(np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))), len(bins))
             lengths = np.asarray(rows.column("n_tokens").combine_chunks()).astype(np.int64)
             edge = np.concatenate(([0], np.cumsum(lengths)))[first]
-            tokens = np.frombuffer(b"".join(rows.column("raw").to_pylist()), dtype=kind).astype(np.int32)
+            raw = [codec.decompress(x, n * width, asbytes=True) for x, n in zip(rows.column("raw").to_pylist(), lengths.tolist())]
+            tokens = np.frombuffer(b"".join(raw), dtype=kind).astype(np.int32)
             at = pa.array(first.astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, rows.column(c).combine_chunks()) for c in ("doc_id", "first_token", "n_tokens")]
             yield pa.RecordBatch.from_arrays(
