@@ -21,7 +21,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result written as Parquet and read again."""
+    """The stages one after the other, each result written as Parquet and read again; the training sequences of what is left.
+
+    Null and empty texts pass the filters and are in no sequence, as they have no tokens; texts of any length are worked on
+    whole. Of several rows with one id one stays, rows without an id all do. An empty table gives no rows. Other columns
+    pass through the stages.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from topicspark.llm import fm, quality_classifier, toxicity
+from topicspark.llm import fm, labelled, quality_classifier, toxicity
 
 from .conftest import HARD
 
@@ -77,6 +77,22 @@ def corpus(n=600, seed=2):
     return rows, labels
 
 
+def test_of_two_labels_the_worse_counts(docs, spark):
+    known = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0), (None, 0, 1), (3, 7, None)], LABELS)
+    rows = docs([(1, "some words"), (2, "other words"), (3, "more words")])
+    _, toxic, ids = labelled.gather(rows, known, "toxic", toxicity.features)
+    assert dict(zip(ids.tolist(), toxic.tolist())) == {1: 1.0, 2: 0.0}
+    _, good, ids = labelled.gather(rows, known, "quality", quality_classifier.features, worst=0)
+    assert dict(zip(ids.tolist(), good.tolist())) == {1: 0.0, 2: 1.0}
+
+
+def test_stage_keeps_columns_of_clashing_names(docs, spark, tmp_path):
+    rows, labels = corpus(60)
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    df = docs(rows, ["1 AS toxicity", "2 AS label", "3 AS _labelled"])
+    assert toxicity.stage(spark, df, str(tmp_path)).columns == df.columns
+
+
 @pytest.mark.parametrize("held", [0, 1])
 def test_held_out(docs, spark, held):
     rows, labels = corpus()

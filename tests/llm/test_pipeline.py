@@ -32,7 +32,7 @@ def test_stage_by_stage_equals_run(spark, data):
 
 
 def test_hard_rows(docs, spark, data):
-    rows = docs(HARD)
+    rows = docs(HARD, ["1 AS node", "2 AS toxicity", "3 AS outlier", "4 AS spans", "5 AS uid", "6 AS bin_id"])
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, data)
     assert rows.count() > 0

@@ -1,11 +1,7 @@
-"""What the operators of this subpackage share: the shared folder, written tables, tiles."""
+"""What the operators of this subpackage share: tables, single rows of an id, tiles."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,47 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicspark.sources.shared import shared_dir, spread
+from topicspark.sources.shared import written as write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own; a cluster without it is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = tempfile.mkdtemp(prefix="topicspark-")
-    atexit.register(shutil.rmtree, at, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{at}")
-    return f"file://{at}"
-
-
-def write_table(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: a cut of the lineage that outlives executors.
-
-    The folder is removed when the Python process ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/topicspark-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended already
-        pass
+__all__ = ["fresh", "one_row_an_id", "shared_dir", "table", "tiles", "whole_groups", "wider", "write_table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The rows of a table, spread over all cores where its files have fewer splits than there are cores."""
-    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """The rows of a table, over all cores even if its files are one split."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def one_row_an_id(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

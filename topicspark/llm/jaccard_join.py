@@ -452,6 +452,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
 
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z_\\x{{80}}-\\x{{10ffff}}]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {N - 1}], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {N - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE p.c >= {THRESHOLD} * (x.n + y.n - p.c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT c.a AS doc_id, c.class_id, coalesce(l.n, 0) AS n_links FROM (SELECT a, min(b) AS class_id FROM r GROUP BY 1) c LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) l USING (a)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the copies: of each class of similar ones, the one with the smallest id stays.
 

@@ -17,9 +17,11 @@ Features = Callable[[pa.RecordBatch], fm.Sparse]
 TRAIN_ROWS = 24_000
 
 
-def gather(docs: DataFrame, labels: DataFrame, label: str, features: Features, train_rows: int = TRAIN_ROWS) -> tuple[fm.Sparse, np.ndarray, np.ndarray]:
-    """Features, labels and doc_ids of up to ``train_rows`` labelled documents. Rows with a null id or label are left out."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+def gather(docs: DataFrame, labels: DataFrame, label: str, features: Features, train_rows: int = TRAIN_ROWS, worst: int = 1) -> tuple[fm.Sparse, np.ndarray, np.ndarray]:
+    """Features, labels and doc_ids (integers) of up to ``train_rows`` labelled documents. Rows with a null id, and labels
+    other than 0 and 1, are left out; of several labels of a document the one that is ``worst`` counts."""
+    best = F.max(label) if worst else F.min(label)
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(best.alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # the broadcast side has train_rows rows at most
     rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_labelled")), F.col("doc_id") == F.col("_labelled"))

@@ -299,3 +299,11 @@ def near_classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= {THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT c.a AS vec_id, c.class_id, coalesce(l.n, 0) AS n_links FROM (SELECT a, min(b) AS class_id FROM r GROUP BY 1) c LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) l USING (a)
+"""

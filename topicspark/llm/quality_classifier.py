@@ -59,16 +59,18 @@ def features(batch: pa.RecordBatch) -> fm.Sparse:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = labelled.TRAIN_ROWS) -> fm.Machine:
-    x, y, _ = labelled.gather(docs, labels, "quality", features, train_rows)
+    x, y, _ = labelled.gather(docs, labels, "quality", features, train_rows, worst=0)
     return fm.train(x, y, weakest=WEAKEST)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, train_rows: int = labelled.TRAIN_ROWS) -> DataFrame:
     """``doc_id, quality, keep`` of every document; kept where the probability of good quality is at least ``cut``.
 
-    The machine is fitted to at most ``train_rows`` labelled documents. A null or empty text is judged by its form and
-    metadata; a null language or source is a value of its own. Repeated rows are judged alike. Without labels every
-    document has the probability one half, and stays. Other columns are ignored.
+    The machine is fitted to at most ``train_rows`` labelled documents, those of the smallest hash, ties by id; ids are
+    integers, and of several labels of a document the worse counts. A null or empty text is judged by its form and
+    metadata, a text of any length whole; a null language or source is a value of its own. Repeated rows are judged alike.
+    A probability just at ``cut`` is kept. Without labels every document has the probability one half, and stays. An empty
+    table gives no rows. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     scored = labelled.apply(docs, fit(docs, labels, train_rows), features, "quality")

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_url_filters": url_filter.query,
 }
-SQL = {"op1_sharding": sharding.SQL}
+SQL = {"op1_sharding": sharding.SQL, "op2_embedding_near_dedup": pivot_index.SQL, "op5_ngram_jaccard_join": jaccard_join.SQL}

@@ -132,7 +132,9 @@ def assign_shards(
     ``maps`` is a folder where the slot maps are kept, all of them, numbered: the latest is rebalanced for the bytes of
     ``docs``, so records stay where they were unless their shard is too full, and the new map is stored. ``first_shard``
     is the shard before this run. Without ``maps`` the first map is rebalanced and nothing is kept.
-    A null text has 0 bytes; repeated keys share a slot; an empty table gives no rows; other columns are ignored.
+    A null or empty text has 0 bytes, a text of any length all of its; keys may be of any type, a null one counts as empty;
+    repeated keys share a slot; slots of equal bytes go by their number; an empty table gives no rows; other columns are
+    ignored.
     """
     slotted = docs.select(
         F.col(key).alias("doc_id"), slot_of(F.col(key), n_slots).alias("slot"), F.coalesce(F.octet_length(text).cast("bigint"), F.lit(0)).alias("n_bytes")

@@ -42,8 +42,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = labelled.TRAIN_ROW
 def flag_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, train_rows: int = labelled.TRAIN_ROWS) -> DataFrame:
     """``doc_id, toxicity, toxic`` of every document; toxic where the probability is at least ``cut``.
 
-    The machine is fitted to at most ``train_rows`` labelled documents. A null or empty text has the probability of the
-    bias alone. Repeated rows are judged alike. Without labels nothing is toxic. Other columns are ignored.
+    The machine is fitted to at most ``train_rows`` labelled documents, those of the smallest hash, ties by id; ids are
+    integers, and of several labels of a document the worse counts. A null or empty text has the probability of the bias
+    alone; a text of any length is read whole. Repeated rows are judged alike; a probability just at ``cut`` is toxic.
+    Without labels nothing is toxic. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     scored = labelled.apply(docs, fit(docs, labels, train_rows), features, "toxicity")
@@ -55,7 +57,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not toxic, with the columns they came with."""
+    """The documents that are not toxic, with the columns they came with, whatever their names. Null and empty texts have the
+    probability of the bias and stay; long texts, repeated rows, ties and an empty table are treated as by flag_toxic."""
     name = fresh("toxicity", docs.columns)
     scored = labelled.apply(docs, fit(docs, table(spark, sf_dir, "labels")), features, name)
     return scored.where(F.col(name) < CUT).select(*(F.col(f"`{c}`") for c in docs.columns))

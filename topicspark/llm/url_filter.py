@@ -147,8 +147,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id, url, n_rules, confidence, rule, keep`` of every page: how many rules match, the highest confidence among
     them, the rule that has it (the first by name of equals), and whether none matches.
 
-    A null, empty or unparsable URL matches nothing and stays. Repeated URLs are judged once and alike; each row stays a
-    row. An empty table gives no rows. Other columns are ignored.
+    A null, empty or unparsable URL matches nothing and stays; a URL of any length is read whole. Repeated URLs are judged
+    once and alike; each row stays a row. Of rules of equal confidence the first by name is given. An empty table gives no
+    rows. Other columns are ignored.
     """
     urls = pages.where("url IS NOT NULL").select("url").distinct().withColumn("toks", tokens(F.col("url")))
     found = hits(urls, _sent(rules)).groupBy("url").agg(
