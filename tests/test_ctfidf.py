@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -40,6 +41,23 @@ def test_ngrams_span_documents(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", ["1", "5"])
+def test_ngrams_across_parts(spark, parts):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(rng.randrange(0, 4))), rng.randrange(2)) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted((r["topic"], r["word"]) for r in tx.ngrams(tx.document_words(spark.createDataFrame(rows, DOCS)), 1, 3).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = []
+    for t in (0, 1):
+        words = " ".join(text for _, text, topic in rows if topic == t).split()
+        want += [(t, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+    assert got == sorted(want)
+
+
 def test_ties_go_by_name(spark):
     df = spark.createDataFrame([(0, w, 1.0) for w in "delta alpha charlie bravo".split()], "topic int, word string, weight double")
     assert [r["word"] for r in ctfidf.top_words(df, 3).orderBy("rank").collect()] == ["alpha", "bravo", "charlie"]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from topicspark.sources.shared import written
+
 #: A word has two characters or more; in English mode only ASCII letters and digits are left by then.
 WORD, ENGLISH_WORD = r"(?U)\b\w\w+\b", "[a-z0-9]{2,}"
 
@@ -62,9 +64,17 @@ def ngrams(by_doc: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
         return inside
     span = high - 1
     ends = by_doc.select("topic", "doc_id", F.slice("w", 1, span).alias("h"), F.slice("w", -F.least(F.size("w"), F.lit(span)), F.lit(span)).alias("e"))
-    # up to span words of the documents that follow
-    after = W.partitionBy("topic").orderBy("doc_id").rowsBetween(1, span)
-    ends = ends.withColumn("after", F.slice(F.flatten(F.collect_list("h").over(after)), 1, span)).select("topic", F.size("e").alias("n"), F.concat("e", "after").alias("x"))
+    # parts of neighbouring documents, so that no task has a whole topic
+    ends = written(ends.repartitionByRange("topic", "doc_id").withColumn("part", F.spark_partition_id()), "ends")
+    inner = W.partitionBy("topic", "part").orderBy("doc_id")
+    first = ends.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= span).groupBy("topic", "part")
+    first = first.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("r", "h"))), lambda x: x["h"])).alias("own"))
+    # the first words of the parts that follow: a topic has no more parts than there are partitions
+    follow = W.partitionBy("topic").orderBy("part").rowsBetween(1, span)
+    beyond = first.select("topic", "part", F.slice(F.flatten(F.collect_list("own").over(follow)), 1, span).alias("beyond"))
+    inside_part = F.flatten(F.collect_list("h").over(inner.rowsBetween(1, span)))
+    ends = ends.withColumn("near", inside_part).join(beyond, ["topic", "part"])
+    ends = ends.select("topic", F.size("e").alias("n"), F.concat("e", F.slice(F.concat("near", "beyond"), 1, span)).alias("x"))
 
     def across(k: int) -> Column:
         """Those that begin in the document and end after it."""
