@@ -28,8 +28,14 @@ class Sparse:
     def take(self, rows: np.ndarray) -> Sparse:
         n = np.diff(self.first)[rows]
         first = np.concatenate(([0], np.cumsum(n)))
-        at = np.arange(first[-1]) + np.repeat(self.first[:-1][rows] - first[:-1], n)
-        return Sparse(self.index[at], first)
+        out = np.empty(first[-1], dtype=self.index.dtype)
+        # some rows at a time, so that no array of places is as long as all indices
+        for a in range(0, len(rows), 512):
+            part = slice(a, min(a + 512, len(rows)))
+            begin, end = first[part.start], first[part.stop]
+            at = np.arange(begin, end) + np.repeat(self.first[:-1][rows[part]] - first[part], n[part])
+            out[begin:end] = self.index[at]
+        return Sparse(out, first)
 
     def blocks(self, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, end row, indices) of runs of rows, so that no array over all indices is made."""

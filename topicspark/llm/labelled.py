@@ -37,7 +37,8 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, features: Features, t
     got = rows.mapInArrow(compute, "doc_id bigint, label int, x binary").toArrow()
     parts = [_indices(c) for c in got.column("x").chunks]
     whole = stack(parts)
-    ids, y = got.column("doc_id").to_numpy(), got.column("label").to_numpy().astype(float)
+    ids, y = got.column("doc_id").to_numpy().copy(), got.column("label").to_numpy().astype(float)
+    del parts, got
     ids, first = np.unique(ids, return_index=True)
     return whole.take(first), y[first], ids
 
