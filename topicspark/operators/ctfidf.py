@@ -28,7 +28,8 @@ def term_counts(
     empty = every.join(counts.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(EMPTY_WORD).alias("word"), F.lit(1).cast("bigint").alias("n"))
     counts = counts.where(F.col("topic").isNotNull()).unionByName(empty)
     if min_df > 1:
-        counts = counts.withColumn("_t", F.count("*").over(W.partitionBy("word"))).where(F.col("_t") >= min_df).drop("_t")
+        enough = counts.groupBy("word").agg(F.count("*").alias("_t")).where(F.col("_t") >= min_df)
+        counts = counts.join(enough, "word", "left_semi").select("topic", "word", "n")
     if max_features is not None:
         # max_features words at most, a parameter
         best = counts.groupBy("word").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "word").limit(max_features).select("word")
