@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as tx
+from topicspark.functions import vectors as vx
+from topicspark.operators.embed import Embedder
 from topicspark.sources.shared import written
 
 #: Numbers (words x topics) that are sent to every task, 8 bytes each; a larger table is joined to the tokens by word.
@@ -79,6 +81,22 @@ def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(size)), size), lists.flatten()
 
 
+def embedded_distribution(
+    docs: DataFrame, topic_vectors: DataFrame, embedder: Embedder, window: int = 4, stride: int = 1, min_similarity: float = 0.1, english: bool = True,
+) -> DataFrame:
+    """``doc_id, topic, weight`` of sum 1 a document, by the cosines of the vectors of its windows' texts with those of the
+    topics but -1; cosines under ``min_similarity`` count as 0. Each distinct window is embedded once."""
+    names, x = vx.matrix(topic_vectors.where("topic <> -1"), "topic", "embedding")
+    rows = token_windows(docs, window, stride, english=english)
+    each = rows.select("tokens").distinct().select(F.col("tokens").alias("doc_id"), F.col("tokens").alias("text"))
+    near = vx.similarities(embedder.embed(each), "doc_id", "embedding", x).withColumnRenamed("doc_id", "tokens")
+    topics = docs.sparkSession.createDataFrame([(i, int(t)) for i, t in enumerate(names)], "place int, topic int")
+    long = rows.join(near, "tokens").select("doc_id", F.posexplode("similarities").alias("place", "s")).where(F.col("s") >= min_similarity)
+    sums = long.groupBy("doc_id", "place").agg(F.sum("s").alias("s"))
+    total = sums.groupBy("doc_id").agg(F.sum("s").alias("total"))
+    return sums.join(total, "doc_id").where("total > 0").join(F.broadcast(topics), "place").select("doc_id", "topic", (F.col("s") / F.col("total")).alias("weight"))
+
+
 def approximate_distribution(
     docs: DataFrame, weighted: DataFrame, idf: DataFrame, window: int = 4, stride: int = 1, min_similarity: float = 0.1, padding: bool = False,
     by_token: bool = False, english: bool = True,

@@ -85,6 +85,28 @@ class MeanEmbedder:
         return a.join(b, "doc_id").select("doc_id", F.zip_with("embedding", "other", lambda x, y: (x + y) / 2).alias("embedding"))
 
 
+class WordDocEmbedder:
+    """One embedder for documents and another one for words, such as a topic's best terms."""
+
+    def __init__(self, docs: Embedder | Callable, words: Embedder | Callable):
+        self.docs, self.words = select_embedder(docs), select_embedder(words)
+
+    def embed(self, docs: DataFrame) -> DataFrame:
+        return self.docs.embed(docs)
+
+    def embed_words(self, words: DataFrame) -> DataFrame:
+        """``word, embedding`` of ``word``."""
+        return word_vectors(self.words, words)
+
+
+def word_vectors(embedder: Embedder, words: DataFrame) -> DataFrame:
+    """``word, embedding`` of the distinct words of ``words``, by the embedder's own way with words if it has one."""
+    if hasattr(embedder, "embed_words"):
+        return embedder.embed_words(words)
+    own = words.where("word IS NOT NULL").select("word").distinct()
+    return embedder.embed(own.select(F.col("word").alias("doc_id"), F.col("word").alias("text"))).withColumnRenamed("doc_id", "word")
+
+
 def select_embedder(what: Embedder | Callable | None) -> Embedder:
     """An embedder as it is, a function wrapped, nothing: the fallback."""
     if what is None:

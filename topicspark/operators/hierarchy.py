@@ -238,6 +238,39 @@ def levels(hierarchy: DataFrame, n: int = 10, log: bool = False) -> DataFrame:
     return spark.createDataFrame(out, "level int, topic int, ancestor int")
 
 
+def document_levels(hierarchy: DataFrame, docs: DataFrame, n: int = 10, log: bool = False) -> DataFrame:
+    """``level, doc_id, topic, ancestor``: where each document (``doc_id, topic``) is at each of ``n`` levels; outliers are -1 at
+    all of them."""
+    steps = levels(hierarchy, n, log)
+    every = steps.select("level").distinct()
+    known = docs.select("doc_id", "topic").join(F.broadcast(steps), "topic")
+    alone = docs.where("topic = -1").select("doc_id", "topic").crossJoin(F.broadcast(every)).withColumn("ancestor", F.lit(-1))
+    return known.select("level", "doc_id", "topic", "ancestor").unionByName(alone.select("level", "doc_id", "topic", "ancestor"))
+
+
+def dendrogram(hierarchy: DataFrame) -> DataFrame:
+    """``parent_id, side, x_from, y_from, x_to, y_to``: two lines for each merge, from a child up to its parent. Leaves stand
+    side by side at height 0, the left child's before the right one's; a parent stands over the middle of its children."""
+    rows = {r["parent_id"]: r for r in hierarchy.collect()}
+    spark = hierarchy.sparkSession
+    place: dict[int, tuple[float, float]] = {}
+    if rows:
+        todo, order = [max(rows.values(), key=lambda r: (r["distance"], r["parent_id"]))["parent_id"]], []
+        while todo:
+            at = todo.pop()
+            if at in rows:
+                todo += [rows[at]["child_right_id"], rows[at]["child_left_id"]]
+            else:
+                order.append(at)
+        place = {t: (float(i), 0.0) for i, t in enumerate(order)}
+    out = []
+    for p, r in sorted(rows.items(), key=lambda x: (x[1]["distance"], x[0])):
+        sides = [place[r["child_left_id"]], place[r["child_right_id"]]]
+        place[p] = ((sides[0][0] + sides[1][0]) / 2, float(r["distance"]))
+        out += [(p, side, *at, *place[p]) for side, at in zip(("left", "right"), sides)]
+    return spark.createDataFrame(out, "parent_id int, side string, x_from double, y_from double, x_to double, y_to double")
+
+
 def reduce_mapping(similarity: DataFrame, topics: list[int], n_topics: int) -> dict[int, int]:
     """To ``n_topics`` topics (-1 counts as one of them if it exists) by average linkage: each topic goes to the lowest
     number of its cluster."""

@@ -264,12 +264,19 @@ class TopicModel:
     def hierarchical_topics(self, method: str = "ward", use_ctfidf: bool = True) -> DataFrame:
         return hierarchy.hierarchical_topics(self._table("counts"), self._table("idf"), self._similarity(use_ctfidf), method)
 
+    def hierarchical_documents(self, docs: DataFrame, hierarchy_rows: DataFrame, n: int = 10) -> DataFrame:
+        """``level, doc_id, topic, ancestor`` of the documents at ``n`` levels of a hierarchy."""
+        return hierarchy.document_levels(hierarchy_rows, self._with_topics(docs), n)
+
     def _similarity(self, use_ctfidf: bool) -> DataFrame:
         if use_ctfidf or "topic_vectors" not in self.tables:
             return hierarchy.ctfidf_similarity(self._table("weights"))
         return assign.topic_similarity(self.tables["topic_vectors"])
 
-    def approximate_distribution(self, docs: DataFrame, **options: Any) -> DataFrame:
+    def approximate_distribution(self, docs: DataFrame, use_embedding: bool = False, **options: Any) -> DataFrame:
+        """By the topics' words or, with ``use_embedding``, by vectors of the windows' texts and of the topics."""
+        if use_embedding:
+            return distribution.embedded_distribution(docs, self._table("topic_vectors"), embed.select_embedder(self.embedder), english=self.settings.english, **options)
         return distribution.approximate_distribution(docs, self._table("weights"), self._table("idf"), english=self.settings.english, **options)
 
     def reduce_outliers(self, docs: DataFrame, strategy: str = "distributions", threshold: float = 0.0, embeddings: DataFrame | None = None, probabilities: DataFrame | None = None) -> DataFrame:
