@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -83,3 +84,16 @@ def test_labels_and_info(spark):
     assert topics.labels(words).first()["label"] == "0_aaa_bbb_ccc_ddd"
     assert topics.labels(words, 2, False, " ", 2).first()["label"] == "aa bb"
     assert topics.custom_labels(topics.labels(words), {0: "Name"}).first()["label"] == "Name"
+
+
+def test_written_tables_are_released(spark):
+    from topicspark.sources import shared
+
+    kept = list(shared._tables)
+    shared._tables.clear()
+    df = shared.written(spark.range(5).toDF("doc_id"), "test")
+    at = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert df.count() == 5 and os.path.isdir(at)
+    shared.release()
+    assert not os.path.exists(at)
+    shared._tables.extend(kept)

@@ -23,16 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A name in the shared folder that nothing else has; what is there is removed by release()."""
+    at = f"{shared_dir(spark)}/topicspark-{what}-{uuid.uuid4().hex}"
+    _tables.append((spark, at))
+    return at
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: its lineage ends there, and it outlives executors. The folder is
-    removed when the Python process ends."""
+    """``df`` as Parquet in the shared folder, read again: its lineage ends there, and it outlives executors. The table is
+    removed by release(), or when the Python process ends."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/topicspark-{what}-{uuid.uuid4().hex}"
+    at = new_folder(spark, what)
     df.write.parquet(at)
-    atexit.register(_remove, spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release() -> None:
+    """Removes all that written() has written so far, for long sessions: results that still read it must be stored before."""
+    while _tables:
+        _remove(*_tables.pop())
+
+
+_tables: list[tuple[SparkSession, str]] = []
+atexit.register(release)
+
+
 def _remove(spark: SparkSession, at: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)

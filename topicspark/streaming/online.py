@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicspark.functions import vectors as vx
 from topicspark.operators import ctfidf
-from topicspark.sources.shared import shared_dir
+from topicspark.sources.shared import new_folder
 
 
 def merge_counts(state: DataFrame | None, batch: DataFrame, decay: float = 0.0, delete_min_df: float | None = None) -> DataFrame:
@@ -151,7 +150,7 @@ def settled(stream: DataFrame, what: str) -> DataFrame:
     """All there is of a stream of totals run through: each micro-batch's totals are written to the shared folder, and the
     last ones read."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/topicspark-{what}-{uuid.uuid4().hex}"
+    at = new_folder(spark, what)
     numbers: list[int] = []
 
     def write(totals: DataFrame, number: int) -> None:
