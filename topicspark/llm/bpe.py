@@ -24,7 +24,7 @@ from topicspark.llm.common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a task remembers, and tokens of them; when there are more it begins anew.
-REMEMBERED, REMEMBERED_TOKENS = 500_000, 8_000_000
+REMEMBERED, REMEMBERED_TOKENS = 200_000, 2_000_000
 #: Bytes of a word up to which merging scans all pairs, and up to which the words of a batch are matched in step.
 SHORT, LONG = 64, 256
 U64 = np.uint64

@@ -204,7 +204,7 @@ def _checks(core: bytes) -> list[str]:
     return out
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 12)
 def names(word: bytes) -> tuple[str, ...]:
     """Features of a word. They depend on no more of it than its type (Tagger) does: on its letters by case, and on its
     keyword, if it has neither digits nor marks nor many bytes."""
@@ -232,7 +232,7 @@ def names(word: bytes) -> tuple[str, ...]:
     return tuple(out + _checks(raw))
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 12)
 def _context(word: bytes) -> tuple[str, ...]:
     """Features a word lends to its neighbours."""
     k, n = keyword(word), names(word)
@@ -464,7 +464,7 @@ class Tagger:
                 s = _sums(part if of is None else of[part])
                 out[own] = (s[edge[1:]] - s[edge[:-1]]) * inv[edge[:-1]] + tv.U64(salt)
         out = tv.mix(out) | tv.U64(1)
-        if len(self.rows) > 200_000:
+        if len(self.rows) > 50_000:
             self._forget()
         code = self.codes.find(out)
         unknown = np.flatnonzero(code < 0)

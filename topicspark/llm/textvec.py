@@ -6,6 +6,7 @@ supplement. A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,7 +70,7 @@ class Words:
         return mix((self.sums[end] - self.sums[self.start]) * inv[self.start])
 
 
-def chunks(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``max_bytes``; a longer text is a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -86,6 +87,16 @@ def chunks(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system after each batch: workers live on from one task to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def fold(data: np.ndarray) -> np.ndarray:
