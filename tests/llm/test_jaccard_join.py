@@ -118,6 +118,55 @@ def test_classes_like_brute_force(docs):
     assert got == links(rows)
 
 
+def family(n, seed, words=200, most=14):
+    """Different texts near to one another, though not each to each, and some near to few of them."""
+    rng = random.Random(seed)
+    base, out = [f"b{seed}_{i}" for i in range(words)], []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, most if k % 10 else 60)):
+            w[rng.randrange(words)] = f"e{rng.randrange(400)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_family_costs_rows_and_not_pairs(docs, monkeypatch, split):
+    """Pairs inside a family of 260 different texts are never rows, yet all its links count, copies one by one."""
+    monkeypatch.setattr(j, "TILE", 100)
+    if split:
+        monkeypatch.setattr(j, "TASK_SETS", 100)
+    both = family(260, 1) + family(130, 2)
+    rows = list(enumerate(both + both[:20] + [t for _, t in texts(60, 6)] + [None, ""]))
+    made, real = [], j.candidates
+    monkeypatch.setattr(j, "candidates", lambda *a: made.append(real(*a)) or made[-1])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in j.similar_classes(docs(rows)).collect()}
+    want = links(rows)
+    assert sum(n for _, n in want.values()) // 2 > 20_000
+    families, pairs = made[0]
+    assert pairs.count() < 2_000 and families.count() > 350
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    # what is near to few of a family is found with the recall of single pairs
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(n for _, n in got.values()) >= 0.995 * sum(n for _, n in want.values())
+    sure = {r["node"] for r in families.collect()}
+    pairs = found(j.join_similar(docs(rows)))
+    assert pairs <= brute(rows) and len(pairs) >= 0.995 * len(brute(rows))
+    assert {p for p in brute(rows) if p[0] < 260 and p[1] < 260 and p[0] in sure and p[1] in sure} <= pairs
+
+
+def test_shared_values_and_lowest_nodes():
+    rng = np.random.default_rng(2)
+    for n_l, n_r, size in ((300, 250, 40), (5, 3, 9), (1, 1, 1)):
+        a, b = rng.random((n_l, size)) < rng.random(size), rng.random((n_r, size)) < rng.random(size)
+        (x, p), (y, q) = np.nonzero(a), np.nonzero(b)
+        assert (j._shared(x, y, n_l, n_r, p, q) == a.astype(int) @ b.T.astype(int)).all()
+    near = np.zeros((4, 4), dtype=bool)
+    near[[0, 1, 1, 2], [0, 0, 1, 3]] = True
+    low_l, low_r = j._lowest(near, np.array([8, 5, 7, 1]), np.array([4, 9, 2, 6]))
+    assert low_l.tolist() == [4, 4, 6, 1] and low_r.tolist() == [4, 4, 2, 6]
+
+
 def test_several_texts_under_one_id(docs):
     base = " ".join(f"w{i}" for i in range(30))
     rows = [(1, base), (2, "z " + base), (2, base + " a"), (2, None), (3, "zz yy xx vv uu"), (None, base), (None, base)]

@@ -35,14 +35,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def link_classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_classes(members: DataFrame, pairs: DataFrame, sizes: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``id, class_id, n_links`` of every row of ``members`` (``id, node``: the id that stands for it) by links between
     nodes (``pairs``: ``a, b``, each once): the smallest node that links connect with its own, and how many other ids
-    have its node or one linked to it. No pair of ids is formed."""
-    sizes = write_table(members.groupBy("node").agg(F.count("*").alias("m")), "sizes")
+    have its node or one linked to it. No pair of ids is formed. ``sizes``: ``node, m``, the rows of each node, if it is
+    there already. ``counted``: ``node, near, low`` of links that aren't in ``pairs``: how many rows they lead to, and a
+    smaller or the same node that they connect it with; a node may have several such rows."""
+    if sizes is None:
+        sizes = write_table(members.groupBy("node").agg(F.count("*").alias("m")), "sizes")
     both = pairs.select(F.col("a").alias("to"), F.col("b").alias("node")).unionByName(pairs.select(F.col("b").alias("to"), F.col("a").alias("node")))
-    near = both.join(sizes, "node").groupBy("to").agg(F.sum("m").alias("near")).withColumnRenamed("to", "node")
-    found = sizes.where("m > 1").join(near, "node", "full").join(components(pairs).withColumnRenamed("root", "class_id"), "node", "left")
+    near = both.join(sizes, "node").select(F.col("to").alias("node"), F.col("m").alias("near"))
+    edges = pairs.select("a", "b")
+    if counted is not None:
+        near = near.unionByName(counted.select("node", "near"))
+        edges = edges.unionByName(counted.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    near = near.groupBy("node").agg(F.sum("near").alias("near"))
+    found = sizes.where("m > 1").join(near, "node", "full").join(components(edges).withColumnRenamed("root", "class_id"), "node", "left")
     found = write_table(found.select("node", "class_id", (F.coalesce("m", F.lit(1)) - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "linked")
     all_of = members.join(found, "node", "left")
     return all_of.select("id", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

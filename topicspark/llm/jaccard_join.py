@@ -4,6 +4,9 @@ Each set of n-grams is embedded as T min-hash values. From a root, a bucket of s
 pairs, each place of the sketch being chosen with probability 1 / (threshold x T) by a hash of the path so far, so all
 sets of a bucket choose alike and two sets stay together on a path in proportion to their similarity. Buckets of up to
 LIMIT sets are compared pair by pair; sets that are close to their whole bucket are compared with all of it and leave.
+Where that would be many pairs, the bucket's close sets are kept as a group instead, a row for each set. Groups that share
+a set are one family, whose sets are all compared with each other on the whole n-grams, block by block, and only links
+counted, so that a family of many different near copies costs rows in proportion to its size and not to its square.
 Runs are independent: how often the pairs near the threshold were found again gives the chance of one run, and runs are
 repeated until that chance means the target recall. Candidates are verified on the whole sets.
 """
@@ -28,8 +31,11 @@ T, SLACK = 64, 0.12
 FIRST_RUNS, NEAR, BITS = 5, 0.1, 6
 #: Pairs at the threshold on which a measured chance must rest; with fewer, LEAST_CHANCE stands for it.
 LEAST_PAIRS, LEAST_CHANCE = 20, 0.3
-#: Sets of a bucket that are compared at once; sets of a bucket that one task splits; levels that are split across tasks.
-LIMIT, TASK_SETS, LEVELS = 32, 4096, 4
+#: Sets of a bucket that are compared at once; sets that one task begins with; of one bucket, so many times that; levels that
+#: are split across tasks.
+LIMIT, TASK_SETS, BUCKET, LEVELS = 32, 4096, 16, 4
+#: Pairs of a bucket's close sets from which they are a group; pairs with a group up to which a set stays out of it.
+GROUP_PAIRS, FEW = 8192, 8
 #: Documents whose whole sets one task holds; candidates up to here are sent to every task, 16 bytes each.
 TILE, SENT = 1500, 4_000_000
 
@@ -143,8 +149,9 @@ def _sketches_of(column: pa.Array) -> np.ndarray:
 
 def _chosen(path: np.ndarray, threshold: float) -> np.ndarray:
     """For each path, which places of the sketch are split on."""
-    draw = tv.mix(path[:, None] + _SEEDS) >> U64(11)
-    return draw < U64(int((1 << 53) / (threshold * T)))
+    own, which = np.unique(path, return_inverse=True)
+    draw = tv.mix(own[:, None] + _SEEDS) >> U64(11)
+    return (draw < U64(int((1 << 53) / (threshold * T))))[which]
 
 
 def children(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +180,26 @@ def _all_pairs(first: np.ndarray, size: np.ndarray, order: np.ndarray, sk: np.nd
                 _compare(order[(s + i).ravel()], order[(s + j).ravel()], sk, least, out)
 
 
-def search(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _join_group(close: np.ndarray, rest: np.ndarray, sk: np.ndarray, least: float, out: list) -> np.ndarray:
+    """The sets of ``rest`` that come near more than FEW of the close ones; the pairs of the others go to ``out``."""
+    own, joined = np.ascontiguousarray(sk[close].T), [np.zeros(0, dtype=rest.dtype)]
+    step = max(1, (1 << 20) // len(close))
+    for at in range(0, len(rest), step):
+        some = rest[at : at + step]
+        agree = np.zeros((len(some), len(close)), dtype=np.uint8)
+        for i in range(T):
+            agree += sk[some, i][:, None] == own[i]
+        near = agree >= least * T
+        many = near.sum(axis=1) > FEW
+        joined.append(some[many])
+        x, y = np.nonzero(near & ~many[:, None])
+        out.append((some[x], close[y], agree[x, y].astype(np.int64)))
+    return np.concatenate(joined)
+
+
+def search(path: np.ndarray, sk: np.ndarray, threshold: float, groups: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets whose sketches come near the threshold, from the buckets named by ``path`` down, and in how many
-    places the two agree."""
+    places the two agree. If ``groups`` is given, it gets (sets, name) of those whose pairs are to be formed later."""
     least = threshold - SLACK
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     index = np.arange(len(path))
@@ -193,11 +217,14 @@ def search(path: np.ndarray, sk: np.ndarray, threshold: float) -> tuple[np.ndarr
                 counts = np.bincount(values[:, i])
                 mean += counts[values[:, i]] - 1
             close = mean / (T * (m - 1)) >= 0.9 * threshold
-            for k in np.flatnonzero(close):
-                # a close set meets the close ones after it, and all that aren't
-                others = own[(np.arange(m) > k) | ~close]
-                _compare(np.full(len(others), own[k]), others, sk, least, out)
             rest = own[~close]
+            if groups is not None and np.count_nonzero(close) ** 2 > GROUP_PAIRS:
+                groups.append((np.concatenate((own[close], _join_group(own[close], rest, sk, least, out))), path[order[f]]))
+            else:
+                for k in np.flatnonzero(close):
+                    # a close set meets the close ones after it, and all that aren't
+                    others = own[(np.arange(m) > k) | ~close]
+                    _compare(np.full(len(others), own[k]), others, sk, least, out)
             if len(rest) > 1:
                 down.append((rest, path[order[f : f + m]][~close]))
         if not down:
@@ -230,6 +257,8 @@ def _splitter(threshold: float):
 
 
 PAIR = "a bigint, b bigint, agree int, runs bigint"
+#: Stands for the places that agree where a row is a set and its group.
+GROUP = -1
 
 
 def _pairs(node: np.ndarray, path: np.ndarray, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.Table:
@@ -244,11 +273,12 @@ def _pairs(node: np.ndarray, path: np.ndarray, a: np.ndarray, b: np.ndarray, agr
     return pa.table({"a": low[first], "b": high[first], "agree": agree[first].astype(np.int32), "runs": every})
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of sets (``node, sketch, more``) that some run brings together and whose sketches agree.
+def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Of sets (``node, sketch, more``), families (``node, family``), all pairs of which are candidates; and distinct
+    ``a, b`` (a < b) of no one family that some run brings together and whose sketches agree.
 
     After FIRST_RUNS runs, as many are added as the measured chance of one run asks for, and it is measured again, until
-    the runs made are enough.
+    the runs made are enough. Pairs within families need no chance, so they don't count in it.
     """
     made, found = 0, None
     more = FIRST_RUNS
@@ -259,15 +289,30 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
             found = new if found is None else found.unionByName(new)
         made += more
         found = write_table(found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.sum("times").cast("int").alias("times")), "pairs")
-        near = found.where(F.col("agree").between(math.ceil(threshold * T), math.floor((threshold + NEAR) * T)))
+        families, apart = _families(found)
+        near = apart.where(F.col("agree").between(math.ceil(threshold * T), math.floor((threshold + NEAR) * T)))
         # as many rows as runs
         times = {r["times"]: r["n"] for r in near.groupBy("times").agg(F.count("*").alias("n")).collect()}
         more = n_runs(run_chance(times, made), recall, threshold) - made
-    return found.select("a", "b")
+    return families, apart.select("a", "b")
+
+
+def _families(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, family`` of the sets in groups, and the pairs without those inside a family."""
+    groups = found.where(F.col("agree") == GROUP).select("a", F.col("b").alias("group"))
+    least = groups.groupBy("group").agg(F.min("a").alias("b"))
+    families = write_table(components(groups.join(least, "group").select("a", "b")).withColumnRenamed("root", "family"), "families")
+    pairs = found.where(F.col("agree") != GROUP)
+    if not families.take(1):
+        return families, pairs
+    for c in ("a", "b"):
+        pairs = pairs.join(families.select(F.col("node").alias(c), F.col("family").alias(f"_{c}")), c, "left")
+    return families, pairs.where("_a IS NULL OR _b IS NULL OR _a <> _b").select(*found.columns)
 
 
 def some_runs(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
-    """``a, b, agree, runs`` of the pairs that the runs of these numbers find, each once."""
+    """``a, b, agree, runs`` of the pairs that the runs of these numbers find, each once. Rows with GROUP in ``agree`` are
+    sets a in groups b."""
     salt = (1 << BITS) - 1
     root = [F.xxhash64(F.lit(f"run {r}")).bitwiseAND(F.lit(~salt)).bitwiseOR(F.lit(r & salt)) for r in runs]
     roots = F.explode(F.array(*root))
@@ -276,8 +321,11 @@ def some_runs(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
         for group in whole_groups(batches, "path"):
             path = np.asarray(group.column("path")).view(U64)
             sk = _sketches_of(group.column("sketch").chunk(0))
-            got = _pairs(np.asarray(group.column("node")), path, *search(path, sk, threshold))
-            yield from got.to_batches()
+            node, groups = np.asarray(group.column("node")), []
+            yield from _pairs(node, path, *search(path, sk, threshold, groups)).to_batches()
+            for own, name in groups:
+                b, none = np.full(len(own), name).view(np.int64), np.zeros(len(own), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], b, (none + GROUP).astype(np.int32), none)], names=["a", "b", "agree", "runs"])
 
     total = sets.count()
     found = []
@@ -292,12 +340,12 @@ def some_runs(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
             rows = write_table(big.mapInArrow(_splitter(threshold), "path bigint, node bigint"), "paths")
             sizes = rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1")
             rows = write_table(rows.join(sizes, "path"), "buckets")
-            small = rows.where(F.col("m") <= TASK_SETS)
+            small = rows.where(F.col("m") <= TASK_SETS * BUCKET)
         inside = small.select("path", "node").join(sets.select("node", "sketch"), "node").select("path", "node", "sketch")
         found.append(inside.repartition("path").sortWithinPartitions("path").mapInArrow(find, PAIR))
         if big is None:
             break
-        large = rows.where(F.col("m") > TASK_SETS).select("path", "node")
+        large = rows.where(F.col("m") > TASK_SETS * BUCKET).select("path", "node")
         if not large.take(1):
             break
         level += 1
@@ -328,28 +376,9 @@ def _tiled(rows: DataFrame, threshold: float) -> DataFrame:
     return tiles(rows, "path", "node", TASK_SETS).groupBy("tile").applyInArrow(compare, PAIR)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """``a, b, jaccard`` of the pairs whose whole sets reach the threshold.
-
-    Each candidate's text goes once to the task of its component; a component of more than TILE documents is cut into
-    blocks, and blocks meet two by two.
-    """
+def grams_of(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """``tile, node, grams``: the n-grams of the documents in ``places`` (``node, tile``), for each of their tiles."""
     spark = docs.sparkSession
-    roots = write_table(components(pairs), "roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("g"))
-    n_tasks = max(1, math.ceil(roots.count() / TILE))
-    blocks = roots.join(sizes, "root")
-
-    def tile(lo, hi):
-        return F.when(F.col("g") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root", lo, hi))
-
-    def block(c):
-        return F.pmod(F.xxhash64(c), F.col("g"))
-
-    places = blocks.withColumn("_b", block("node")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    places = write_table(places.select("node", tile(F.least("_b", "_j"), F.greatest("_b", "_j")).alias("tile")), "places")
-    there = pairs.join(blocks, pairs["a"] == blocks["node"]).withColumn("_x", block("a")).withColumn("_y", block("b"))
-    there = there.select("a", "b", tile(F.least("_x", "_y"), F.greatest("_x", "_y")).alias("tile"))
     schema = "tile bigint, node bigint, grams binary"
     texts = docs.select("doc_id", "text")
 
@@ -375,14 +404,37 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: i
                 if len(which):
                     yield from rows_of(batch, ids[which], tile_of[at], which)
 
-        sets = texts.mapInArrow(pick, schema)
-    else:
+        return texts.mapInArrow(pick, schema)
 
-        def each(batches):
-            for batch in batches:
-                yield from rows_of(batch, np.asarray(batch.column("node")), np.asarray(batch.column("tile")), np.arange(batch.num_rows))
+    def each(batches):
+        for batch in batches:
+            yield from rows_of(batch, np.asarray(batch.column("node")), np.asarray(batch.column("tile")), np.arange(batch.num_rows))
+
+    return texts.join(places, F.col("doc_id") == F.col("node")).mapInArrow(each, schema)
 
-        sets = texts.join(places, F.col("doc_id") == F.col("node")).mapInArrow(each, schema)
+
+def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """``a, b, jaccard`` of the pairs whose whole sets reach the threshold.
+
+    Each candidate's text goes once to the task of its component; a component of more than TILE documents is cut into
+    blocks, and blocks meet two by two.
+    """
+    roots = write_table(components(pairs), "roots")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("g"))
+    n_tasks = max(1, math.ceil(roots.count() / TILE))
+    blocks = roots.join(sizes, "root")
+
+    def tile(lo, hi):
+        return F.when(F.col("g") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root", lo, hi))
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), F.col("g"))
+
+    places = blocks.withColumn("_b", block("node")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    places = write_table(places.select("node", tile(F.least("_b", "_j"), F.greatest("_b", "_j")).alias("tile")), "places")
+    there = pairs.join(blocks, pairs["a"] == blocks["node"]).withColumn("_x", block("a")).withColumn("_y", block("b"))
+    there = there.select("a", "b", tile(F.least("_x", "_y"), F.greatest("_x", "_y")).alias("tile"))
+    sets = grams_of(docs, places, n)
 
     def exact(sets, pairs):
         node = np.asarray(sets.column("node").combine_chunks())
@@ -412,16 +464,133 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: i
     return sets.groupBy("tile").cogroup(there.groupBy("tile")).applyInArrow(exact, "a bigint, b bigint, jaccard double").withColumn("jaccard", F.round("jaccard", 6))
 
 
-def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def _shared(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, code_l: np.ndarray, code_r: np.ndarray) -> np.ndarray:
+    """How many values each row of the left shares with each of the right; ``left`` and ``right`` are the rows of the codes.
+    Values that many rows have go through a product of matrices, the others pair by pair."""
+    size = int(max(code_l.max(initial=-1), code_r.max(initial=-1))) + 1
+    in_l, in_r = np.bincount(code_l, minlength=size), np.bincount(code_r, minlength=size)
+    out = np.zeros((n_left, n_right), dtype=np.float32)
+    cost = in_l * in_r
+    heavy = cost > 20_000
+    column = np.cumsum(heavy) - 1
+    own_l, own_r = heavy[code_l], heavy[code_r]
+    for at in range(0, int(heavy.sum()), 1024):
+        a, b = np.zeros((n_left, 1024), dtype=np.float32), np.zeros((n_right, 1024), dtype=np.float32)
+        for m, row, code, own in ((a, left, code_l, own_l), (b, right, code_r, own_r)):
+            k = column[code] - at
+            here = own & (k >= 0) & (k < 1024)
+            m[row[here], k[here]] = 1
+        out += a @ b.T
+    light = np.flatnonzero((cost > 0) & ~heavy)
+    order_l, order_r = np.argsort(code_l, kind="stable"), np.argsort(code_r, kind="stable")
+    first_l, first_r = np.concatenate(([0], np.cumsum(in_l))), np.concatenate(([0], np.cumsum(in_r)))
+    upto = np.concatenate(([0], np.cumsum(cost[light])))
+    flat, at = out.reshape(-1), 0
+    while at < len(light):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 20), "right")) - 1)
+        some = light[at:to]
+        which = np.repeat(np.arange(len(some)), cost[some])
+        k = np.arange(len(which)) - np.repeat(upto[at:to] - upto[at], cost[some])
+        c = some[which]
+        x, y = left[order_l[first_l[c] + k // in_r[c]]], right[order_r[first_r[c] + k % in_r[c]]]
+        np.add.at(flat, x * n_right + y, np.float32(1))
+        at = to
+    return out
+
+
+def _lowest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column the smallest node that links connect it with, its own without any."""
+    back, low_l, low_r = np.ascontiguousarray(near.T), left.copy(), right.copy()
+    new_l, new_r = near.any(axis=1), back.any(axis=1)
+    for s in np.flatnonzero(new_l):
+        if not new_l[s]:
+            continue
+        rows, all_rows, all_columns = np.array([s]), [], []
+        while len(rows):
+            new_l[rows] = False
+            columns = np.flatnonzero(near[rows].any(axis=0) & new_r)
+            new_r[columns] = False
+            all_rows.append(rows)
+            all_columns.append(columns)
+            rows = np.flatnonzero(back[columns].any(axis=0) & new_l) if len(columns) else columns
+        rows, columns = np.concatenate(all_rows), np.concatenate(all_columns)
+        low_l[rows] = low_r[columns] = min(left[rows].min(), right[columns].min())
+    return low_l, low_r
+
+
+def verify_families(docs: DataFrame, families: DataFrame, sizes: DataFrame | None, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """All pairs of each family that reach the threshold, as ``a, b, jaccard``. With ``sizes`` (``node, m``) no pair is
+    given but, for each tile, ``node, near, low``: how many documents its links there lead to, a node counting m times,
+    and the smallest node that they connect it with.
+
+    A family of more than TILE sets is cut into blocks, and blocks meet two by two.
+    """
+    counted = families.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("g"))
+    # bounds the tiles of small families: about TILE sets each
+    n_tasks = max(1, math.ceil(families.count() / TILE))
+    rows = families.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    rows = rows.join(sizes, "node") if sizes is not None else rows.withColumn("m", F.lit(1).cast("bigint"))
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("lo", F.least("block", "_j")).withColumn("hi", F.greatest("block", "_j"))
+    tile = F.when(F.col("g") == 1, F.pmod(F.xxhash64("family"), F.lit(n_tasks))).otherwise(F.xxhash64("family", "lo", "hi"))
+    rows = rows.select("node", "family", "block", "lo", "hi", "m", tile.alias("tile"))
+    grams = write_table(grams_of(docs, families.select("node", F.lit(0).cast("bigint").alias("tile")), n).select("node", "grams"), "grams")
+    as_pairs = sizes is None
+
+    def compare(group):
+        family = np.asarray(group.column("family").combine_chunks())
+        out = []
+        for at in (np.flatnonzero(family == f) for f in np.unique(family)):
+            own = group.take(pa.array(at)).combine_chunks()
+            node, block, m = (np.asarray(own.column(c).combine_chunks()) for c in ("node", "block", "m"))
+            lo, hi = own.column("lo")[0].as_py(), own.column("hi")[0].as_py()
+            raw = [np.frombuffer(x, dtype=U64) for x in own.column("grams").to_pylist()]
+            size = np.array([len(x) for x in raw], dtype=np.int64)
+            code = np.unique(np.concatenate(raw), return_inverse=True)[1]
+            row = np.repeat(np.arange(len(node)), size)
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            if not len(left) or not len(right):
+                continue
+            place = np.zeros(len(node), dtype=np.int64)
+            place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+            is_l, is_r = (block == lo)[row], (block == hi)[row]
+            both = _shared(place[row[is_l]], place[row[is_r]], len(left), len(right), code[is_l], code[is_r])
+            near = np.zeros(both.shape, dtype=bool)
+            for k in range(0, len(left), 256):
+                x = both[k : k + 256].astype(np.float64)
+                near[k : k + 256] = x / (size[left[k : k + 256], None] + size[right][None, :] - x) >= threshold
+            if lo == hi:
+                near[np.arange(len(left)), np.arange(len(left))] = False
+            if as_pairs:
+                x, y = np.nonzero(np.triu(near) if lo == hi else near)
+                a, b = node[left[x]], node[right[y]]
+                share = both[x, y].astype(np.float64)
+                out.append(pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": share / (size[left[x]] + size[right[y]] - share)}))
+                continue
+            low_l, low_r = _lowest(near, node[left], node[right])
+            sides = [(left, near, m[right], low_l)] + ([(right, near.T, m[left], low_r)] if lo != hi else [])
+            for side, there, weight, low in sides:
+                count = np.array([weight[x].sum() for x in there], dtype=np.int64)
+                has = count > 0
+                out.append(pa.table({"node": node[side[has]], "near": count[has], "low": low[has]}))
+        names = ("a", "b", "jaccard") if as_pairs else ("node", "near", "low")
+        kinds = (pa.int64(), pa.int64(), pa.float64() if as_pairs else pa.int64())
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
+
+    schema = "a bigint, b bigint, jaccard double" if as_pairs else "node bigint, near bigint, low bigint"
+    return rows.join(grams, "node").groupBy("tile").applyInArrow(compare, schema)
+
+
+def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``id, node`` of every document with an id: the smallest id with the same set stands for it (its own without words);
-    and ``a, b, jaccard`` of the pairs of those whose sets are similar. Both are written to the shared folder."""
-    docs = one_row_an_id(docs.select("doc_id", "text"), "doc_id")
+    ``a, b, jaccard`` of the pairs of those whose sets are similar, without pairs inside families; and ``node, family``,
+    for verify_families(). All are written to the shared folder."""
     sketched = write_table(sketch_table(docs, n), "sketches")
     named = sketched.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("more").alias("more"))
     sets = write_table(named, "sets")
     members = sketched.select("k1", "k2", "doc_id").join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left")
     members = write_table(members.select(F.col("doc_id").alias("id"), F.coalesce("node", "doc_id").alias("node")), "members")
-    return members, write_table(verify(docs, candidates(sets, threshold, recall), threshold, n), "similar")
+    families, pairs = candidates(sets, threshold, recall)
+    return members, write_table(verify(docs, pairs, threshold, n), "similar"), families
 
 
 def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL) -> DataFrame:
@@ -433,7 +602,10 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     and rows without an id, pair with nothing. Of several rows with one id the one with the smallest text counts, null
     last. A tie at the threshold is a pair. An empty table gives no rows. Other columns are ignored.
     """
-    members, near = similar_sets(docs, threshold, n, recall)
+    docs = one_row_an_id(docs.select("doc_id", "text"), "doc_id")
+    members, near, families = similar_sets(docs, threshold, n, recall)
+    if families.take(1):
+        near = near.unionByName(write_table(verify_families(docs, families, None, threshold, n).withColumn("jaccard", F.round("jaccard", 6)), "similar"))
     copies = members.where("id <> node").select(F.col("node").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
     return near.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "jaccard").unionByName(copies)
 
@@ -444,8 +616,11 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
 
     The pairs are those of join_similar, with the same treatment of nulls, short texts and repeated ids.
     """
-    members, near = similar_sets(docs, threshold, n, recall)
-    return link_classes(members, near).withColumnRenamed("id", "doc_id")
+    docs = one_row_an_id(docs.select("doc_id", "text"), "doc_id")
+    members, near, families = similar_sets(docs, threshold, n, recall)
+    sizes = write_table(members.groupBy("node").agg(F.count("*").alias("m")), "sizes")
+    inside = write_table(verify_families(docs, families, sizes, threshold, n), "inside") if families.take(1) else None
+    return link_classes(members, near, sizes, inside).withColumnRenamed("id", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
