@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from topicspark.llm import queries
+from topicspark.llm import jaccard_join, queries
 
 from .conftest import HARD
 
@@ -40,3 +42,20 @@ def test_hard_rows(docs, spark, data):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0
+
+
+def test_near_duplicates_of_a_family_without_its_pairs(docs, spark, monkeypatch):
+    """Of 250 different near copies the smallest id stays, and no task or table holds their 31,125 pairs."""
+    rng = random.Random(7)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for k in range(250):
+        w = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(400)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join(f"o{k}_{i}" for i in range(50))) for k in range(20)]
+    given, real = [], jaccard_join.link_classes
+    monkeypatch.setattr(jaccard_join, "link_classes", lambda members, pairs, *more: given.append(pairs.count()) or real(members, pairs, *more))
+    kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(1000, 1020)]
+    assert given[0] < 1_000

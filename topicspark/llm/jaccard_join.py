@@ -326,6 +326,7 @@ def some_runs(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
             for own, name in groups:
                 b, none = np.full(len(own), name).view(np.int64), np.zeros(len(own), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[own], b, (none + GROUP).astype(np.int32), none)], names=["a", "b", "agree", "runs"])
+            tv.give_back()
 
     total = sets.count()
     found = []
@@ -459,6 +460,8 @@ def verify(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: i
                 share[k] = both / max(len(own) + size[ib[k]] - both, 1)
             mark[own] = False
         near = share >= threshold
+        del every, values, code, mark
+        tv.give_back()
         return pa.table({"a": a[near], "b": b[near], "jaccard": share[near]})
 
     return sets.groupBy("tile").cogroup(there.groupBy("tile")).applyInArrow(exact, "a bigint, b bigint, jaccard double").withColumn("jaccard", F.round("jaccard", 6))
@@ -572,6 +575,7 @@ def verify_families(docs: DataFrame, families: DataFrame, sizes: DataFrame | Non
                 count = np.array([weight[x].sum() for x in there], dtype=np.int64)
                 has = count > 0
                 out.append(pa.table({"node": node[side[has]], "near": count[has], "low": low[has]}))
+        tv.give_back()
         names = ("a", "b", "jaccard") if as_pairs else ("node", "near", "low")
         kinds = (pa.int64(), pa.int64(), pa.float64() if as_pairs else pa.int64())
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})

@@ -87,10 +87,10 @@ def chunks(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system after each batch: workers live on from one task to the next."""
     pa.default_memory_pool().release_unused()
     try:
