@@ -110,3 +110,26 @@ def test_hard_rows(docs):
     back = {r["doc_id"]: r["text"] for r in bpe.decode_tokens(df).collect()}
     assert back == {r[0]: r[1] for r in HARD}
     assert bpe.encode_texts(docs([])).count() == 0
+
+
+def test_frequent_pieces_outlive_rare_ones(monkeypatch):
+    """When too many are known, rare pieces go and frequent ones aren't learnt again; tokens are those of a new encoder."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    encoder = bpe.Encoder(bpe.vocabulary())
+    often = [f"word{chr(97 + i)} Größe{chr(97 + i)}" for i in range(20)]
+    learnt, learn = [], encoder._learn
+
+    def spy(data, start, end, *rest):
+        learnt.extend(data[a:b].tobytes().strip() for a, b in zip(start, end))
+        learn(data, start, end, *rest)
+
+    monkeypatch.setattr(encoder, "_learn", spy)
+    for k in range(12):
+        rare = [f" rare{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)} x-{k}-{i}" for i in range(60)]
+        given = [" ".join(often * 2), *rare, "", "  "]
+        tokens, first = encoder.encode(given)
+        want, begin = bpe.Encoder(encoder.v).encode(given)
+        assert np.array_equal(tokens, want) and np.array_equal(first, begin)
+    assert encoder.codes.n <= 300 + 150 and len(learnt) > 1000
+    # the first word has no space before it, so it is another piece
+    assert all(learnt.count(w.encode()) <= 2 for t in often for w in t.split())

@@ -23,8 +23,8 @@ from topicspark.llm.common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a task remembers, and tokens of them; when there are more it begins anew.
-REMEMBERED, REMEMBERED_TOKENS = 200_000, 2_000_000
+#: Pieces that a task remembers, and tokens of them; when there are more it keeps those of the most used that fill half of that.
+REMEMBERED, REMEMBERED_TOKENS = 400_000, 4_000_000
 #: Bytes of a word up to which merging scans all pairs, and up to which the words of a batch are matched in step.
 SHORT, LONG = 64, 256
 U64 = np.uint64
@@ -100,6 +100,7 @@ class Vocabulary:
     data: np.ndarray
     bytes: np.ndarray
     ranks: dict[bytes, int] = field(default_factory=dict)
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Token of each mixed hash, or -1."""
@@ -107,9 +108,14 @@ class Vocabulary:
         there = np.flatnonzero(self.maybe[h >> U64(42)])
         if len(there):
             own = h[there]
-            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-            ok = self.hashes[at] == own
-            out[there[ok]] = self.ids[at[ok]]
+            top = (own >> U64(46)).astype(np.int64)
+            at, upto = self.begin[top], self.begin[top + 1]
+            # hashes of the same upper 18 bits are few and side by side
+            while len(there):
+                ok = self.hashes[at] == own
+                out[there[ok]] = self.ids[at[ok]]
+                more = np.flatnonzero(~ok & (at + 1 < upto))
+                there, own, at, upto = there[more], own[more], at[more] + 1, upto[more]
         return out
 
 
@@ -147,9 +153,10 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
         raise ValueError("two tokens have one hash")
     maybe = np.zeros(1 << 22, dtype=bool)
     maybe[mixed >> U64(42)] = True
+    begin = np.concatenate(([0], np.cumsum(np.bincount((mixed >> U64(46)).astype(np.int64), minlength=1 << 18)))).astype(np.int32)
     single = np.zeros(256, dtype=np.int64)
     single[[t[0] for t in tokens[:256]]] = np.arange(256)
-    return Vocabulary(tokens, left, right, length, raw, mixed[order], order.astype(np.int64), reachable, maybe, first, data, single, ranks)
+    return Vocabulary(tokens, left, right, length, raw, mixed[order], order.astype(np.int64), reachable, maybe, first, data, single, ranks, begin)
 
 
 def compatible(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -269,8 +276,12 @@ def greedy(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray)
 def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens of all words one after the other, where each word's begin, and how many words had to be merged."""
     size = np.array([len(w) for w in words], dtype=np.int64)
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    first = np.concatenate(([0], np.cumsum(size)))
+    return encode_runs(v, np.frombuffer(b"".join(words), dtype=np.uint8), np.concatenate(([0], np.cumsum(size))))
+
+
+def encode_runs(v: Vocabulary, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """encode_words() of words that lie one after the other."""
+    size = np.diff(first)
     sums = _raw_sums(data)
     _, inv = tv._powers(len(data) + 1)
     whole = v.find(tv.mix((sums[first[1:]] - sums[first[:-1]]) * inv[first[:-1]]))
@@ -287,7 +298,7 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     bad[word[:-1][bad_pair]] = True
     failed = rest[bad]
     long = failed[size[failed] > SHORT].tolist()
-    merged = [[v.ranks[t] for t in merge(words[i], v.ranks)] for i in long]
+    merged = [[v.ranks[t] for t in merge(data[first[i] : first[i + 1]].tobytes(), v.ranks)] for i in long]
     short = failed[size[failed] <= SHORT]
     short_word, short_token = merge_many(v, data[spread(first[short], size[short])], np.concatenate(([0], np.cumsum(size[short]))))
     ones = np.flatnonzero(whole >= 0)
@@ -295,7 +306,7 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     at = np.concatenate((ones, rest[word[keep]], short[short_word], np.repeat(np.array(long, dtype=np.int64), [len(m) for m in merged])))
     tokens = np.concatenate((whole[ones], token[keep], short_token, np.array([t for m in merged for t in m], dtype=np.int64)))
     order = np.argsort(at, kind="stable")
-    return tokens[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(words))))), len(failed)
+    return tokens[order].astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(size))))), len(failed)
 
 
 def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -307,6 +318,11 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 #: Bytes before which a piece may begin if the next one is no white space, and bytes that are white space or may begin one.
 _CUT, _MAYBE_SPACE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _CUT[[10, 32]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII marks without the apostrophe, which may begin a word of letters.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _MAYBE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
@@ -373,11 +389,21 @@ class Encoder:
         self.v, self.pattern = v, regex.compile(pattern)
         self.failed = 0
         self.plain = pattern == PATTERN
-        self._forget()
+        self.codes = Codes()
+        self.first, self.size, self.tokens, self.used = (np.zeros(0, np.int32) for _ in range(4))
 
     def _forget(self) -> None:
+        """Keeps the pieces most used, without those met once, up to half of what may be remembered."""
+        h, there = np.zeros(len(self.first), dtype=U64), self.codes.keys != 0
+        h[self.codes.values[there]] = self.codes.keys[there]
+        keep = np.argsort(-self.used, kind="stable")[: REMEMBERED // 2]
+        keep = keep[(self.used[keep] > 1) & (np.cumsum(self.size[keep]) <= REMEMBERED_TOKENS // 2)]
+        size = self.size[keep]
+        self.tokens = self.tokens[spread(self.first[keep].astype(np.int64), size.astype(np.int64))]
+        # what was used long ago counts less
+        self.first, self.size, self.used = (np.cumsum(size) - size).astype(np.int32), size, self.used[keep] // 2
         self.codes = Codes()
-        self.first, self.size, self.tokens = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.codes.add(h[keep], np.arange(len(keep)))
 
     def _words(self, text: str) -> list[str]:
         # letters after a space are one word of the pattern
@@ -396,12 +422,25 @@ class Encoder:
         upto = np.concatenate(([0], np.cumsum([len(c) for c in cut]))).astype(np.int64)
         return tokens[spread(first[which], size[which])], edge[upto]
 
-    def _learn(self, new: list[bytes], h: np.ndarray) -> None:
-        own, edge = self._tokens_of([x.decode("utf-8", "surrogatepass") for x in new])
-        self.codes.add(h, np.arange(len(self.first), len(self.first) + len(new)))
-        self.first = np.concatenate((self.first, (edge[:-1] + len(self.tokens)).astype(np.int32)))
-        self.size = np.concatenate((self.size, np.diff(edge).astype(np.int32)))
-        self.tokens = np.concatenate((self.tokens, own))
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        # ASCII letters, with or without a space before them, are one word and marks after them another, without the pattern
+        other = np.append(np.flatnonzero(~_LETTER[data]), len(data))
+        marks = np.concatenate(([0], np.cumsum(_MARK[data])))
+        inner = start + (data[start] == 32)
+        cut = np.minimum(other[np.searchsorted(other, inner)], end)
+        plain = (inner < cut) & (marks[end] - marks[cut] == end - cut)
+        size = np.stack(((cut - start)[plain], (end - cut)[plain]), axis=1).ravel()
+        own, edge, failed = encode_runs(self.v, data[spread(start[plain], (end - start)[plain])], np.concatenate(([0], np.cumsum(size))))
+        edge = edge[::2]
+        self.failed += failed
+        raw = data.tobytes()
+        rest, upto = self._tokens_of([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[~plain].tolist(), end[~plain].tolist())])
+        new = np.concatenate((np.diff(edge), np.diff(upto))).astype(np.int32)
+        self.codes.add(np.concatenate((h[plain], h[~plain])), np.arange(len(self.first), len(self.first) + len(new)))
+        self.first = np.concatenate((self.first, (np.cumsum(new) - new + len(self.tokens)).astype(np.int32)))
+        self.size = np.concatenate((self.size, new))
+        self.used = np.concatenate((self.used, np.zeros(len(new), np.int32)))
+        self.tokens = np.concatenate((self.tokens, own, rest))
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts (UTF-8, one after the other) one after the other, and where each text's begin. Pieces are
@@ -419,9 +458,9 @@ class Encoder:
         unknown = np.flatnonzero(code < 0)
         if len(unknown):
             new, at = np.unique(h[unknown], return_index=True)
-            raw = data.tobytes()
-            self._learn([raw[a:b] for a, b in zip(start[unknown[at]].tolist(), end[unknown[at]].tolist())], new)
+            self._learn(data, start[unknown[at]], end[unknown[at]], new)
             code[unknown] = self.codes.find(h[unknown])
+        self.used += np.bincount(code, minlength=len(self.used)).astype(np.int32)
         size = self.size[code].astype(np.int64)
         tokens = self.tokens[spread(self.first[code], size)]
         edge = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, offsets)]
