@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from topicspark.llm import jaccard_join, packing, pii, quality_rules, toxicity
-from topicspark.llm.common import table, write_table
+from topicspark.llm.common import small_batches, table, write_table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _sparing(stage: Stage) -> Stage:
+    """The stage with small batches: one worker after the other has all models in it, and executors hold several workers."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 #: (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents.
 STAGES = [
-    ("quality rules", quality_rules.stage),
-    ("toxicity", toxicity.stage),
-    ("near duplicates", jaccard_join.stage),
-    ("personal data", pii.stage),
-    ("packing", packing.stage),
+    ("quality rules", _sparing(quality_rules.stage)),
+    ("toxicity", _sparing(toxicity.stage)),
+    ("near duplicates", _sparing(jaccard_join.stage)),
+    ("personal data", _sparing(pii.stage)),
+    ("packing", _sparing(packing.stage)),
 ]
 
 #: SQL can't express the estimates, the classifier and the tagger; tests compare the stages with brute force.

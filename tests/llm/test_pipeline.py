@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from topicspark.llm import jaccard_join, queries
+from topicspark.llm import jaccard_join, packing, queries
+from topicspark.llm.common import BATCH_ROWS
 
 from .conftest import HARD
 
@@ -59,3 +62,27 @@ def test_near_duplicates_of_a_family_without_its_pairs(docs, spark, monkeypatch)
     kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs(rows), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(1000, 1020)]
     assert given[0] < 1_000
+
+
+def test_stages_take_little_memory_of_workers(docs, spark, monkeypatch):
+    """Whatever batches the session sends to Python, those of the stages are small; a smaller bound of the session stays."""
+    name, stages = "spark.sql.execution.arrow.maxRecordsPerBatch", dict(corpus_pipeline.STAGES)
+    rows, before = docs([(k, f"text {k} of some words") for k in range(30)]), spark.conf.get(name)
+    try:
+        for given, want in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("7", 7)):
+            for stage in (stages["packing"], stages["near duplicates"]):
+                spark.conf.set(name, given)
+                stage(spark, rows, "")
+                assert int(spark.conf.get(name)) == want
+        # no table goes through Python workers other than those of the batches
+        monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("a list became an RDD"))
+        got = stages["packing"](spark, rows, "").collect()
+        assert sum(len(r["doc_ids"]) for r in got) == 30
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_small_chunks_give_the_same_sequences(docs):
+    rows = docs([(k, f"piece{k} " * (k + 1) + "\u00e9\u00e9") for k in range(40)])
+    for got, want in zip(*(sorted(map(tuple, packing.sequences(rows, capacity=64, chunk=c).collect()), key=lambda r: r[0]) for c in (64, packing.CHUNK_BYTES)), strict=True):
+        assert got == want

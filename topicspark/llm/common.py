@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from topicspark.sources.shared import shared_dir, spread
 from topicspark.sources.shared import written as write_table
 
-__all__ = ["fresh", "one_row_an_id", "shared_dir", "table", "tiles", "whole_groups", "wider", "write_table"]
+__all__ = ["fresh", "one_row_an_id", "shared_dir", "small_batches", "table", "tiles", "whole_groups", "wider", "write_table"]
+
+#: Rows of a batch on its way to Python, at most. The JVM holds one going and one coming for each task, Python some copies.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by BATCH_ROWS, for what the session runs from now on; a lower bound stays. Rows
+    are read when a result is written, so the setting must outlast the call that plans it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def one_row_an_id(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``rows`` with one row for each value of ``key``, that with the smallest text, null last; ties fall to the smallest
     other columns. Rows without a key all stay. Only keys are shuffled where none is repeated."""

@@ -18,6 +18,9 @@ from topicspark.llm.common import table, whole_groups, write_table
 CAPACITY = 2048
 #: Tokens of the pieces of one length that are numbered in one task, about.
 PART_TOKENS = 16_000_000
+#: Bytes of text that are encoded at once, and where memory is scarcer than time: learning new pieces takes several hundred
+#: times that for the moment.
+CHUNK_BYTES, SMALL_CHUNK = 1 << 19, 1 << 18
 
 
 def complement(count: np.ndarray, gap: int, pairs: np.ndarray) -> tuple[int, ...] | None:
@@ -137,7 +140,7 @@ def _kind(n_tokens: int) -> type:
     return np.uint16 if n_tokens <= 1 << 16 else np.uint32
 
 
-def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str, with_tokens: bool) -> DataFrame:
+def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str, with_tokens: bool, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``uid, doc_id, piece, first_token, n_tokens`` and, if asked for, ``raw``: the tokens as numbers of 16 or 32 bits,
     compressed piece by piece, as they are shuffled twice. Written to the shared folder, so that ``uid`` stays."""
     v = bpe.vocabulary(path)
@@ -148,7 +151,7 @@ def pieces_table(docs: DataFrame, key: str, text: str, capacity: int, path: str,
     def cut(batches):
         encoder, codec = bpe.encoder_of(sent.value, path, bpe.PATTERN), pa.Codec("zstd", 1)
         for batch in batches:
-            for at, to, data, offsets in tv.chunks(batch.column("text")):
+            for at, to, data, offsets in tv.chunks(batch.column("text"), chunk):
                 tokens, edge = encoder.encode_bytes(data, offsets)
                 n = np.diff(edge)
                 k = np.maximum(-(-n // capacity), 1)
@@ -174,7 +177,8 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
     # capacity rows at most, here and broadcast
     histogram = {int(r["n_tokens"]): int(r["c"]) for r in some.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
     parts = {k: -(-c * k // PART_TOKENS) for k, c in histogram.items()}
-    table_of_parts = spark.createDataFrame([(k, n) for k, n in parts.items()], "length int, parts int")
+    # made of a list it would go through Python on the executors, in workers of another kind that stay there
+    table_of_parts = spark.createDataFrame(pa.table({"length": pa.array(list(parts), pa.int32()), "parts": pa.array(list(parts.values()), pa.int32())}))
     some = some.join(F.broadcast(table_of_parts), F.col("n_tokens") == F.col("length")).withColumn("part", F.pmod(F.xxhash64("uid", "piece"), F.col("parts")).cast("int"))
     # a row for each PART_TOKENS tokens and each length
     cells = some.groupBy("n_tokens", "part").agg(F.count("*").alias("c")).toPandas().sort_values(["n_tokens", "part"])
@@ -221,13 +225,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     return placed(pieces, capacity).unionByName(none)
 
 
-def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str = bpe.VOCABULARY) -> DataFrame:
+def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str = bpe.VOCABULARY, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``bin_id, n_tokens, tokens, doc_ids, first_tokens, lengths``, a row for each training sequence: the tokens of its
     pieces one after the other, and of each piece the document, its first token there and its length.
 
-    Packed as by pack(); documents without a token are in no sequence.
+    Packed as by pack(); documents without a token are in no sequence. ``chunk``: bytes of text that are encoded at once.
     """
-    pieces = pieces_table(docs, key, text, capacity, path, True)
+    pieces = pieces_table(docs, key, text, capacity, path, True, chunk)
     kind = _kind(len(bpe.vocabulary(path).tokens))
     own = placed(pieces, capacity).drop("piece")
     own = own.repartition("bin_id").sortWithinPartitions("bin_id", "bin_start")
@@ -258,4 +262,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences of all the documents, as sequences() gives them."""
-    return sequences(docs)
+    return sequences(docs, chunk=SMALL_CHUNK)
