@@ -48,6 +48,22 @@ def test_fit_and_read(model, corpus):
     assert "n_clusters=4" in str(model)
 
 
+def test_documents_of_the_fit_keep_their_topic(spark, tmp_path):
+    """Clusters that lie in one direction, which the cosine can't tell apart, and again after loading; not after a change."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"word{i % 3} more", [float(x) for x in np.array([(1.0, 0.2), (6.0, 1.2), (0.0, 9.0)][i % 3]) + rng.normal(size=2) * 0.1]) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, embedding array<double>")
+    m = TopicModel(n_clusters=3, n_components=None).fit(docs, vectors)
+    want = {r["doc_id"]: r["topic"] for r in m.assignments.collect()}
+    m.save(f"file://{tmp_path}/saved")
+    for one in (m, TopicModel.load(spark, f"file://{tmp_path}/saved")):
+        got = one.transform(docs, vectors).collect()
+        assert {r["doc_id"]: r["topic"] for r in got} == want and all(r["similarity"] > 0.9 for r in got)
+    m.merge_topics(docs, [0, 1])
+    assert {r["topic"] for r in m.transform(docs, vectors).collect()} == {0, 1}
+
+
 def test_questions(model, corpus):
     docs, _ = corpus
     over = model.topics_over_time(docs, "slot")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicspark.functions import vectors as vx
 
@@ -17,6 +19,28 @@ def nearest_topic(docs: DataFrame, topic_vectors: DataFrame, key: str = "doc_id"
     return vx.nearest(docs, key, vector, names, x)
 
 
+def nearest_center(docs: DataFrame, centers: DataFrame, topic_vectors: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """``doc_id, topic, similarity``: the topic of the nearest of ``centers`` (``topic, embedding``), as k-means assigns rows,
+    and the similarity with that topic's vector. Rows with a null vector are left out; NaN is 0 for the distance."""
+    got = sorted((r["topic"], r["embedding"]) for r in centers.collect())
+    names, x = vx.matrix(topic_vectors, "topic", "embedding")
+    own = docs.where(F.col(vector).isNotNull()).select(key, vector)
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([t for t, _ in got]), np.array([c for _, c in got]), np.stack([x[names.index(t)] for t, _ in got])))
+
+    def compute(batches):
+        topic, center, unit = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                v = vx.rows_of(part.column(1))
+                w = np.where(np.isnan(v), 0.0, v)
+                best = ((center**2).sum(axis=1) - 2 * w @ center.T).argmin(axis=1)
+                similarity = (vx.unit(v) * unit[best]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(topic[best].astype(np.int32)), pa.array(similarity)], names=[key, "topic", "similarity"])
+
+    return own.mapInArrow(compute, T.StructType([own.schema[key], *T.StructType.fromDDL("topic int, similarity double").fields]))
+
+
 def find_topics(topic_vectors: DataFrame, query: list[float], n: int = 5) -> DataFrame:
     """``topic, similarity`` of the ``n`` topics most similar to a vector, ties by number."""
     asked = F.array(*[F.lit(float(x)) for x in query])

@@ -29,13 +29,19 @@ def reduce_dimensions(rows: DataFrame, k: int = 5, vector: str = "embedding", ke
 
 def cluster(rows: DataFrame, k: int = 10, method: str = "kmeans", vector: str = "embedding", key: str = "doc_id", seed: int = 42) -> DataFrame:
     """``doc_id, topic``; methods: kmeans, bisecting, mixture (which adds ``probabilities``)."""
+    return cluster_and_centers(rows, k, method, vector, key, seed)[0]
+
+
+def cluster_and_centers(rows: DataFrame, k: int = 10, method: str = "kmeans", vector: str = "embedding", key: str = "doc_id", seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    """What cluster() gives and, for kmeans, the center of each topic: rows have the topic of the nearest one."""
     own = as_vector(rows.select(key, vector), vector)
     kinds = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}
     if method not in kinds:
         raise ValueError(f"unknown method {method}")
     model = kinds[method](k=k, seed=seed, featuresCol="features", predictionCol="topic").fit(own)
     out = model.transform(own)
-    return out.select(key, "topic", vector_to_array("probability").alias("probabilities")) if method == "mixture" else out.select(key, "topic")
+    centers = [c.tolist() for c in model.clusterCenters()] if method == "kmeans" else []
+    return (out.select(key, "topic", vector_to_array("probability").alias("probabilities")) if method == "mixture" else out.select(key, "topic")), centers
 
 
 def classify(rows: DataFrame, labelled: DataFrame, vector: str = "embedding", key: str = "doc_id") -> DataFrame:

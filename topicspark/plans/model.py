@@ -94,6 +94,7 @@ class TopicModel:
             embeddings = embed.select_embedder(self.embedder).embed(docs)
         if embeddings is not None:
             embeddings = self.vectors = self._kept(embeddings, "embeddings")
+        self.tables.pop("centers", None)
         self.assignments = self._kept(self._assign(docs, embeddings, y), "assignments")
         if s.method != "given" and not s.zero_shot_topics and s.nr_topics is None:
             self._rank()
@@ -133,7 +134,11 @@ class TopicModel:
         elif s.method == "density":
             found = cluster.density(rows, s.min_topic_size)
         else:
-            found = cluster.cluster(rows, s.n_clusters, s.method)
+            found, centers = cluster.cluster_and_centers(rows, s.n_clusters, s.method)
+            # centers of vectors that were moved before, or of a part of them, are no topics of other documents
+            if centers and rows is vectors:
+                made = vectors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centers)], "topic int, embedding array<double>")
+                self.tables["centers"] = made
             if "probabilities" in found.columns:
                 found = found.withColumn("probability", F.array_max("probabilities"))
         own = F.col("probability").cast("double") if "probability" in found.columns else F.lit(None).cast("double")
@@ -165,7 +170,10 @@ class TopicModel:
         return whole
 
     def _rank(self) -> None:
-        self._move({})
+        whole = self._move({})
+        if "centers" in self.tables:
+            # a center without rows is no topic
+            self.tables["centers"] = self._kept(lineage.apply(self.tables["centers"].where(F.col("topic").isin(*whole)), whole), "centers")
 
     def _represent(self, docs: DataFrame, vectors: DataFrame | None = None) -> None:
         s = self.settings
@@ -240,8 +248,11 @@ class TopicModel:
     # asking
 
     def transform(self, docs: DataFrame, embeddings: DataFrame | None = None, keep_outlier: bool = True) -> DataFrame:
-        """``doc_id, topic, similarity`` of other documents, by the topics' vectors."""
+        """``doc_id, topic, similarity`` of other documents, by the topics' vectors; of a model of k-means on the vectors as
+        they are, whose topics haven't been changed since, by the distance to its centers, as it was fitted."""
         vectors = embeddings if embeddings is not None else embed.select_embedder(self.embedder).embed(docs)
+        if "centers" in self.tables:
+            return assign.nearest_center(vectors, self.tables["centers"], self._table("topic_vectors"))
         return assign.nearest_topic(vectors, self._table("topic_vectors"), keep_outlier=keep_outlier)
 
     def find_topics(self, query: str | Sequence[float], n: int = 5) -> DataFrame:
@@ -318,10 +329,12 @@ class TopicModel:
             name = "new_topic" if "new_topic" in new_topics.columns else "topic"
             self.assignments = self._kept(new_topics.select("doc_id", F.col(name).cast("int").alias("topic")), "assignments")
             self.tables.pop("topic_vectors", None)
+            self.tables.pop("centers", None)
         self._represent(docs, embeddings if embeddings is not None else self.vectors)
 
     def _change(self, docs: DataFrame, mapping: Mapping[int, int]) -> None:
         old = self.tables.get("topic_vectors")
+        self.tables.pop("centers", None)
         whole = self._move(mapping)
         self.custom = {whole[t]: name for t, name in self.custom.items() if t in whole and mapping.get(t, t) == t}
         self._represent(docs)
