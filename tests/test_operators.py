@@ -270,3 +270,23 @@ def test_decay_step_by_step_equals_closed_form(spark):
     one = {(r["topic"], r["word"]): round(r["n"], 9) for r in state.collect()}
     assert one == {(r["topic"], r["word"]): round(r["n"], 9) for r in online.closed_form(df, 2, 0.25).collect()}
     assert online.new_topic_numbers([0, 1], [1, 7, 5]) == {5: 2, 7: 3}
+
+
+def test_distribution_in_blocks_joins_distinct_words(spark, monkeypatch):
+    """Beyond SENT_NUMBERS neither tokens nor documents are rows of a shuffle, and blocks, slices and columns leave no trace."""
+    from topicspark.operators import ctfidf
+
+    rows = [(i, None if i == 7 else " ".join(f"w{i * k % 11} the" for k in range(i % 9)), f"t{i % 4}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, topic string")
+    counts = ctfidf.term_counts(docs)
+    args = docs, ctfidf.weights(counts), ctfidf.idf(counts)
+    for options in ({}, {"by_token": True}, {"window": 3, "stride": 2, "padding": True}, {"window": 40, "min_similarity": 0.0, "by_token": True}):
+        one = sorted((*r[:-1], round(r[-1], 9)) for r in distribution.approximate_distribution(*args, **options).collect())
+        for name, value in (("SENT_NUMBERS", 0), ("BLOCK_BYTES", 64), ("SLICE", 10), ("HELD_NUMBERS", 20)):
+            monkeypatch.setattr(distribution, name, value)
+        found = distribution.approximate_distribution(*args, **options)
+        two = sorted((*r[:-1], round(r[-1], 9)) for r in found.collect())
+        monkeypatch.undo()
+        assert one == two and one
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan

@@ -48,7 +48,7 @@ def ngrams(by_doc: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
     """``topic, word`` with n-grams of low..high words from ``topic, doc_id, w``. The texts of a topic count as one, in the
     order of doc_id, so an n-gram may span documents; each document has a word at least.
 
-    N-grams within a document come from its array of words. Only the first and last words of documents travel.
+    N-grams within a document come from its array of words.
     """
 
     def runs(w: str, n: Column, k: int) -> Column:
@@ -64,6 +64,13 @@ def ngrams(by_doc: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
         return inside
     span = high - 1
     ends = by_doc.select("topic", "doc_id", F.slice("w", 1, span).alias("h"), F.slice("w", -F.least(F.size("w"), F.lit(span)), F.lit(span)).alias("e"))
+    return inside.unionByName(borders(ends, low, high))
+
+
+def borders(ends: DataFrame, low: int, high: int) -> DataFrame:
+    """``topic, word``: the n-grams of up to ``high`` words that span documents, from ``topic, doc_id, h, e``, the first and
+    last high - 1 words of each document. Only these travel."""
+    span = high - 1
     # parts of neighbouring documents, so that no task has a whole topic
     ends = written(ends.repartitionByRange("topic", "doc_id").withColumn("part", F.spark_partition_id()), "ends")
     inner = W.partitionBy("topic", "part").orderBy("doc_id")
@@ -82,8 +89,7 @@ def ngrams(by_doc: DataFrame, low: int = 1, high: int = 1) -> DataFrame:
         at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.concat_ws(" ", *(F.element_at("x", i + j) for j in range(k))))
 
-    borders = ends.select("topic", F.explode(F.concat(*(across(k) for k in range(max(low, 2), high + 1)))).alias("word"))
-    return inside.unionByName(borders)
+    return ends.select("topic", F.explode(F.concat(*(across(k) for k in range(max(low, 2), high + 1)))).alias("word"))
 
 
 def truncate_words(text: Column, n: int, unit: str = "whitespace") -> Column:

@@ -9,24 +9,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as tx
+from topicspark.functions.batches import count_words, document_ends
+from topicspark.sources.shared import written
 
 EMPTY_WORD = "emptydoc"
 
 
 def term_counts(
     docs: DataFrame, topic: str = "topic", text: str = "text", key: str = "doc_id", english: bool = True,
-    ngram_range: tuple[int, int] = (1, 1), stop_words: Sequence[str] = (), min_df: int = 1, max_features: int | None = None,
+    ngram_range: tuple[int, int] = (1, 1), stop_words: Sequence[str] = (), min_df: int = 1, max_features: int | None = None, once: bool = True,
 ) -> DataFrame:
     """``topic, word, n``. ``min_df`` is the number of topics a word must be in; ``max_features`` keeps the most frequent
-    words over all topics, ties by name. A topic without any word has the one word ``emptydoc``."""
-    if ngram_range == (1, 1):
-        terms = tx.drop_stop_words(tx.tokens(docs, topic, text, key, english), stop_words).select("topic", "word")
-    else:
-        terms = tx.ngrams(tx.document_words(docs, topic, text, key, english, stop_words), *ngram_range)
-    counts = terms.groupBy("topic", "word").agg(F.count("*").alias("n"))
+    words over all topics, ties by name. A topic without any word has the one word ``emptydoc``.
+
+    The texts are read once: their counts are written, and what topics have none is asked of these. Without ``once``, for
+    the batches of a stream, nothing is written and the texts are read twice.
+    """
+    low, high = ngram_range
+    counts = count_words(docs, {"topic": F.col(topic)}, text, english, stop_words, low, high)
+    if high > 1:
+        across = tx.borders(document_ends(docs, high - 1, topic, text, key, english, stop_words), low, high).where("topic IS NOT NULL")
+        counts = counts.unionByName(across.groupBy("topic", "word").agg(F.count("*").alias("n"))).groupBy("topic", "word").agg(F.sum("n").alias("n"))
+    if once:
+        counts = written(counts, "counts")
     every = docs.select(F.col(topic).alias("topic")).where(F.col(topic).isNotNull()).distinct()
     empty = every.join(counts.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(EMPTY_WORD).alias("word"), F.lit(1).cast("bigint").alias("n"))
-    counts = counts.where(F.col("topic").isNotNull()).unionByName(empty)
+    if not once or not empty.isEmpty():
+        counts = counts.unionByName(empty)
     if min_df > 1:
         enough = counts.groupBy("word").agg(F.count("*").alias("_t")).where(F.col("_t") >= min_df)
         counts = counts.join(enough, "word", "left_semi").select("topic", "word", "n")
@@ -64,9 +73,10 @@ def weights(counts: DataFrame, bm25: bool = False, reduce_frequent_words: bool =
     """``topic, word, n, df, weight``: the share of the word in its topic (or the root of it) times its idf.
 
     The counts of a word are summed before the shuffle and joined back to it, so that a word of very many topics is never
-    one task's alone; the totals, a row for each topic, are joined too.
+    one task's alone; the totals, a row for each topic, are joined too. These are written, so that Spark knows their size
+    and doesn't shuffle the counts by topic for a few of them.
     """
-    totals = counts.groupBy("topic").agg(F.sum("n").alias("s"))
+    totals = written(counts.groupBy("topic").agg(F.sum("n").alias("s")), "totals")
     totals = totals.crossJoin(F.broadcast(totals.agg(F.floor(F.avg("s")).alias("a"))))
     rows = counts.join(counts.groupBy("word").agg(F.sum("n").alias("df")), "word").join(totals, "topic")
     tf = F.col("n") / F.col("s")

@@ -6,32 +6,37 @@ topic, and windows need no vectors of their own: running sums over the tokens ar
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from topicspark.functions import text as tx
 from topicspark.functions import vectors as vx
+from topicspark.functions.batches import pieces, words_of
 from topicspark.operators.embed import Embedder
 from topicspark.sources.shared import written
 
-#: Numbers (words x topics) that are sent to every task, 8 bytes each; a larger table is joined to the tokens by word.
-SENT_NUMBERS = 6_000_000
-EMPTY = np.zeros(0, dtype=np.int64)
+#: Numbers (words x topics) that are sent to every task, 8 bytes each; of a larger table each block of texts gets its words'.
+SENT_NUMBERS = 1_000_000
+#: Bytes of text of a block, tokens whose windows are computed at once, and numbers (words or documents x topics) held.
+BLOCK_BYTES, SLICE, HELD_NUMBERS = 2 << 20, 1 << 16, 1 << 23
 
 
-def windows_of(n: int, window: int, stride: int, padding: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First and end token of each window of a text of n tokens. A text within one window is one window. With ``padding``
-    windows also hang over both ends."""
-    if not n:
-        return EMPTY, EMPTY
-    if padding:
-        first = np.arange(1 - window, n, stride)
-    else:
-        first = np.arange(0, max(n - window, 0) + 1, stride)
-    return np.maximum(first, 0), np.minimum(first + window, n)
+def windows_of(sizes: np.ndarray, window: int, stride: int, padding: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end token of each window, and the number of windows of each text, of texts of so many tokens that follow each
+    other. A text within one window is one window. With ``padding`` windows also hang over both ends of a text."""
+    over = sizes + window - 2 if padding else np.maximum(sizes - window, 0)
+    n = np.where(sizes > 0, over // stride + 1, 0)
+    first = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride + (1 - window if padding else 0)
+    start = np.repeat(np.cumsum(sizes) - sizes, n)
+    return start + np.maximum(first, 0), start + np.minimum(first + window, np.repeat(sizes, n)), n
 
 
 def token_windows(docs: DataFrame, window: int = 4, stride: int = 1, topic: str = "topic", english: bool = True) -> DataFrame:
@@ -42,10 +47,11 @@ def token_windows(docs: DataFrame, window: int = 4, stride: int = 1, topic: str
     return rows.select("doc_id", "window", F.array_join(F.slice("w", F.col("first") + 1, window), " ").alias("tokens"))
 
 
-def shares(words: np.ndarray, gains: np.ndarray, idf: np.ndarray, window: int, stride: int, padding: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, similarity of each window to each topic) of one document, values under ``least`` as 0. ``words`` are
-    codes, -1 for unknown; ``gains`` has a row for each token: idf x weight / length of the topic."""
-    first, end = windows_of(len(words), window, stride, padding)
+def shares(words: np.ndarray, gains: np.ndarray, idf: np.ndarray, window: int, stride: int, padding: bool, least: float, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, similarity of each window to each topic) of one document, or of several of ``sizes`` tokens, values under
+    ``least`` as 0. ``words`` are codes, -1 for unknown; ``gains`` has a row for each token: idf x weight / length of the topic."""
+    sizes = np.array([len(words)]) if sizes is None else sizes
+    first, end, _ = windows_of(sizes, window, stride, padding)
     if not len(first):
         return first, end, np.zeros((0, gains.shape[1]))
     own = np.concatenate((np.zeros((1, gains.shape[1])), np.cumsum(gains, axis=0)))
@@ -53,24 +59,28 @@ def shares(words: np.ndarray, gains: np.ndarray, idf: np.ndarray, window: int, s
     # squared length: every pair of equal tokens in the window, at each distance
     square = np.concatenate(([0.0], np.cumsum(idf * idf)))
     total = square[end] - square[first]
-    for k in range(1, min(window, len(words))):
-        same = np.where((words[k:] == words[:-k]) & (words[k:] >= 0), idf[k:] * idf[:-k], 0.0)
-        upto = np.concatenate(([0.0], np.cumsum(same)))
-        inside = end - k > first
-        total[inside] += 2 * (upto[end[inside] - k] - upto[first[inside]])
+    for k in range(1, min(window, int(sizes.max()))):
+        same = np.flatnonzero((words[k:] == words[:-k]) & (words[k:] >= 0))
+        if len(same):
+            both = np.zeros(len(words) - k + 1)
+            both[same + 1] = idf[same + k] * idf[same]
+            upto = np.cumsum(both)
+            inside = end - k > first
+            total[inside] += 2 * (upto[end[inside] - k] - upto[first[inside]])
     length = np.sqrt(np.maximum(total, 0))
     s = np.divide(products, length[:, None], out=np.zeros_like(products), where=length[:, None] > 1e-12)
     s[s < least] = 0
     return first, end, s
 
 
-def _gains(weighted: DataFrame, idf: DataFrame) -> DataFrame:
-    """``word, idf, topics, gains``: of each word, the topics but -1 that have it, and idf x weight / length of the topic."""
-    own = weighted.where("topic IS NOT NULL AND cast(topic as string) <> '-1'")
-    length = own.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    rows = own.join(length, "topic").where("length > 0").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("topic", (F.col("weight") / F.col("length")).alias("x")))).alias("own"))
-    each = idf.select("word", "idf").join(rows, "word", "left")
-    return each.select("word", "idf", F.transform("own", lambda t: t["topic"]).alias("topics"), F.transform("own", lambda t: t["x"] * F.col("idf")).alias("gains"))
+def _gains(weighted: DataFrame, idf: DataFrame) -> tuple[DataFrame, dict]:
+    """``word, idf, topics, weights``, written: of each word, the topics but -1 that have it and its weights there. And the
+    length of each topic that has any."""
+    own = weighted.where("topic IS NOT NULL AND cast(topic as string) <> '-1'").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("topic", "weight"))).alias("own"))
+    each = idf.select("word", "idf").join(own, "word", "left")
+    gains = written(each.select("word", "idf", F.transform("own", lambda t: t["topic"]).alias("topics"), F.transform("own", lambda t: t["weight"]).alias("weights")), "gains")
+    long = gains.select(F.explode(F.arrays_zip("topics", "weights")).alias("r")).groupBy("r.topics").agg(F.sqrt(F.sum(F.col("r.weights") * F.col("r.weights"))).alias("length"))
+    return gains, {r[0]: r[1] for r in long.where("length > 0").collect()}
 
 
 def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -81,6 +91,25 @@ def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(size)), size), lists.flatten()
 
 
+def _blocks(texts: DataFrame, rows: int) -> DataFrame:
+    """``block, docs, sizes, words, codes``, written: the texts block by block, as codes of the block's distinct words."""
+    kept = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(texts.schema["doc_id"].dataType)), *T.StructType.fromDDL("sizes array<int>, words array<string>, codes binary").fields])
+
+    def cut(batches):
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in pieces(batch, 1, BLOCK_BYTES, rows):
+                sizes, words = words_of(piece.column(1))
+                some = sizes > 0
+                if some.any():
+                    codes = np.asarray(words.indices).astype(np.uint16 if len(words.dictionary) <= 1 << 16 else np.uint32)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (piece.column(0).filter(pa.array(some)), pa.array(sizes[some], pa.int32()), words.dictionary)]
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), *lists, pa.array([codes.tobytes()])], names=kept.names)
+                    at += 1
+
+    return written(texts.mapInArrow(cut, kept), "blocks")
+
+
 def embedded_distribution(
     docs: DataFrame, topic_vectors: DataFrame, embedder: Embedder, window: int = 4, stride: int = 1, min_similarity: float = 0.1, english: bool = True,
 ) -> DataFrame:
@@ -105,88 +134,105 @@ def approximate_distribution(
     ``doc_id, pos, token, topic, weight``: the sum over the windows that hold the token.
 
     Similarities under ``min_similarity`` count as 0. Documents without words or similar windows have no rows. While words
-    x topics fit in SENT_NUMBERS the table goes to every task and the texts aren't shuffled; beyond, it is joined by word.
+    x topics fit in SENT_NUMBERS the table goes to every task; beyond, the texts are cut into blocks, which are joined to
+    the table by their distinct words and not by each token. The texts aren't shuffled, and a block is computed as a whole.
     """
     spark = docs.sparkSession
-    kind = dict(weighted.dtypes)["topic"]
+    kind = weighted.schema["topic"].dataType
     # words x topics numbers at most, computed once
-    gains = written(_gains(weighted, idf), "gains")
-    topics = sorted(r[0] for r in gains.select(F.explode("topics").alias("topic")).distinct().collect())
-    number = {t: i for i, t in enumerate(topics)}
-    key = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {key}, pos int, token string, topic {kind}, weight double" if by_token else f"doc_id {key}, topic {kind}, weight double"
-    names = np.array(topics, dtype=object)
-    texts = docs.select("doc_id", tx.words(F.col("text"), english).alias("w"))
-
-    def emit(doc: int, tokens, codes: np.ndarray, g: np.ndarray, i: np.ndarray, out: list[list]) -> None:
-        first, end, s = shares(codes, g, i, window, stride, padding, min_similarity)
-        if by_token:
-            step = np.zeros((len(tokens) + 1, len(topics)))
-            np.add.at(step, first, s)
-            np.add.at(step, end, -s)
-            each = np.cumsum(step[:-1], axis=0)
-            p, t = np.nonzero(each > 1e-9)
-            for column, values in zip(out, ([doc] * len(p), p.tolist(), [tokens[x] for x in p], names[t].tolist(), each[p, t].tolist())):
-                column += values
-        else:
-            total = s.sum(axis=0)
-            if total.sum() > 0:
-                t = np.flatnonzero(total)
-                for column, values in zip(out, ([doc] * len(t), names[t].tolist(), (total[t] / total.sum()).tolist())):
-                    column += values
-
-    def frame(out: list[list]) -> pa.RecordBatch:
-        columns = ["doc_id", "pos", "token", "topic", "weight"] if by_token else ["doc_id", "topic", "weight"]
-        types = {"doc_id": pa.int64() if key == "bigint" else pa.int32() if key == "int" else pa.string(), "pos": pa.int32(), "token": pa.string(), "weight": pa.float64()}
-        types["topic"] = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in zip(columns, out)], names=columns)
-
-    n_columns = 5 if by_token else 3
+    gains, length = _gains(weighted, idf)
+    topics = sorted(length)
+    lengths = np.array([length[t] for t in topics])
+    texts = docs.select("doc_id", (F.col("text") if english else tx.words(F.col("text"), False)).alias("w"))
+    place = T.StructField("topic", kind), T.StructField("weight", T.DoubleType())
+    schema = T.StructType([texts.schema["doc_id"], *(T.StructType.fromDDL("pos int, token string").fields if by_token else ()), *place])
+    # documents x topics are held by the block
+    most = max(1, HELD_NUMBERS // max(len(topics), 1))
+
+    def given(names: pa.Array, ids: pa.Array, words: pa.Array, sizes: np.ndarray, codes: np.ndarray, each: np.ndarray, dense: Callable[[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The rows of documents of ``sizes`` tokens; ``each`` is the idf of the words, 0 if unknown, ``dense`` gives columns
+        of the words' gains."""
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        totals = None if by_token else np.zeros((len(sizes), len(topics)))
+        width = max(1, HELD_NUMBERS // max(len(each), SLICE))
+        for low in range(0, len(topics), width):
+            high = min(low + width, len(topics))
+            table, a = dense(low, high), 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(edges, edges[a] + SLICE, side="right")) - 1)
+                own = codes[edges[a] : edges[b]]
+                first, end, s = shares(own, table[own], each[own], window, stride, padding, min_similarity, sizes[a:b])
+                upto = np.concatenate((np.zeros((1, high - low)), np.cumsum(s, axis=0)))
+                if by_token:
+                    # the windows that have begun by the token, without those that have ended
+                    at = np.arange(len(own))
+                    sums = upto[np.searchsorted(first, at, side="right")] - upto[np.searchsorted(end, at, side="right")]
+                    p, t = np.nonzero(sums > 1e-9)
+                    doc = np.repeat(np.arange(a, b), sizes[a:b])[p]
+                    columns = [ids.take(pa.array(doc)), pa.array(p + edges[a] - edges[doc], pa.int32()), words.take(pa.array(own[p])), names.take(pa.array(t + low)), pa.array(sums[p, t])]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                else:
+                    n = windows_of(sizes[a:b], window, stride, padding)[2]
+                    last = np.cumsum(n)
+                    totals[a:b, low:high] = upto[last] - upto[last - n]
+                a = b
+        if not by_token:
+            whole = totals.sum(axis=1)
+            doc, t = np.nonzero(totals)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), names.take(pa.array(t)), pa.array(totals[doc, t] / whole[doc])], names=schema.names)
+
+    def columns(n: int, rows: np.ndarray, places: np.ndarray, values: np.ndarray) -> Callable[[int, int], np.ndarray]:
+        """Columns of a table of ``n`` rows, given by its numbers."""
+
+        def dense(low: int, high: int) -> np.ndarray:
+            table = np.zeros((n, high - low))
+            own = (places >= low) & (places < high)
+            table[rows[own], places[own] - low] = values[own]
+            return table
+
+        return dense
+
+    def placed(lists: pa.Array, weights: pa.Array, each: np.ndarray, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of the topic, idf x weight / length of the topic) from lists of topics and weights."""
+        rows, flat = _flat(lists)
+        places = np.asarray(pc.fill_null(pc.index_in(flat, value_set=names), -1))
+        some = places >= 0
+        return rows[some], places[some], np.asarray(_flat(weights)[1])[some] * each[rows[some]] / lengths[places[some]]
+
+    arrow_kind = {"int": pa.int32(), "bigint": pa.int64()}.get(kind.simpleString(), pa.string())
     if gains.count() * max(len(topics), 1) <= SENT_NUMBERS:
         got = gains.toArrow()
-        rows, flat = _flat(got.column("topics"))
-        table = np.zeros((got.num_rows + 1, len(topics)))
-        if len(rows):
-            coded = pc.index_in(flat, value_set=pa.array(topics, flat.type))
-            table[rows, np.asarray(coded)] = np.asarray(_flat(got.column("gains"))[1])
-        sent = spark.sparkContext.broadcast((got.column("word").combine_chunks(), table, np.append(got.column("idf").to_numpy(), 0.0)))
+        idfs = np.append(got.column("idf").to_numpy(), 0.0)
+        sent = spark.sparkContext.broadcast((got.column("word").combine_chunks(), idfs, placed(got.column("topics"), got.column("weights"), idfs, pa.array(topics, arrow_kind))))
 
         def compute(batches):
-            words, table, each = sent.value
-            vocabulary = dict(zip(words.to_pylist(), range(len(words))))
+            known, each, (rows, places, values) = sent.value
+            names = pa.array(topics, arrow_kind)
+            table = columns(len(each), rows, places, values)(0, len(topics))
+            vocabulary = dict(zip(known.to_pylist(), range(len(known))))
             for batch in batches:
-                out: list[list] = [[] for _ in range(n_columns)]
-                row, flat = _flat(batch.column(1))
-                if len(row):
-                    # each distinct word of the batch is looked up once
-                    coded = flat.dictionary_encode()
-                    known = np.array([vocabulary.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-                    codes = known[np.asarray(coded.indices)]
-                    edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                    tokens = flat.to_pylist() if by_token else None
-                    for doc, a, b in zip(batch.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist()):
-                        if b > a:
-                            own = codes[a:b]
-                            emit(doc, tokens[a:b] if by_token else own, own, table[own], each[own], out)
-                yield frame(out)
+                for piece in pieces(batch, 1, rows=most):
+                    sizes, words = words_of(piece.column(1))
+                    of = np.array([vocabulary.get(w, -1) for w in words.dictionary.to_pylist()], dtype=np.int64)
+                    own = table[of]
+                    yield from given(names, piece.column(0), words.dictionary, sizes, np.asarray(words.indices), each[of], lambda low, high: own[:, low:high])
 
         return texts.mapInArrow(compute, schema)
 
-    rows = gains.select(F.col("word").alias("token"), "idf", F.map_from_arrays(F.coalesce("topics", F.array().cast(dict(gains.dtypes)["topics"])), F.coalesce("gains", F.array().cast("array<double>"))).alias("g"))
-    placed = texts.select("doc_id", F.posexplode("w").alias("pos", "token")).join(rows, "token", "left")
-
-    def compute_group(group: pa.Table) -> pa.Table:
-        group = group.sort_by("pos")
-        tokens = group.column("token").to_pylist()
-        code: dict[str, int] = {}
-        known = group.column("idf").to_pylist()
-        codes = np.array([code.setdefault(w, len(code)) if k is not None else -1 for w, k in zip(tokens, known)], dtype=np.int64)
-        g = np.zeros((len(tokens), len(topics)))
-        for i, m in enumerate(group.column("g").to_pylist()):
-            for t, x in m or []:
-                g[i, number[t]] = x
-        out: list[list] = [[] for _ in range(n_columns)]
-        emit(group.column("doc_id")[0].as_py(), tokens, codes, g, np.array([k or 0.0 for k in known]), out)
-        return pa.Table.from_batches([frame(out)])
-
-    return placed.groupBy("doc_id").applyInArrow(compute_group, schema)
+    blocks = _blocks(texts, most)
+    found = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("code", "word")).join(gains, "word").select("of", "code", "idf", "topics", "weights")
+
+    def compute_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, out = pa.array(topics, arrow_kind), []
+        if left.num_rows:
+            ids, sizes, words, codes = (left.column(c).combine_chunks() for c in ("docs", "sizes", "words", "codes"))
+            words = words.flatten()
+            n, code = len(words), right.column("code").to_numpy()
+            each = np.zeros(n)
+            each[code] = right.column("idf").to_numpy()
+            rows, places, values = placed(right.column("topics"), right.column("weights"), each[code], names)
+            codes = np.frombuffer(codes[0].as_buffer(), np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64)
+            out = list(given(names, ids.flatten(), words, np.asarray(sizes.flatten()).astype(np.int64), codes, each, columns(n, code[rows], places, values)))
+        return pa.Table.from_batches(out) if out else pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, to_arrow_schema(schema).types)})
+
+    return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(compute_block, schema)

@@ -107,7 +107,7 @@ class OnlineTopics:
             sums[r["topic"]], n[r["topic"]] = np.array(r["embedding"]) * r["size"], r["size"]
         moved, total = update_centroids(at, sizes, sums, n, self.decay)
         rows = [(i, float(s), v.tolist()) for i, (v, s) in enumerate(zip(moved, total))]
-        counts = ctfidf.term_counts(docs, english=self.english)
+        counts = ctfidf.term_counts(docs, english=self.english, once=False)
         self.counts.write(merge_counts(self.counts.read(number), counts, self.decay, self.delete), number)
         self.centroids.write(self.spark.createDataFrame(rows, "topic int, size double, embedding array<double>").coalesce(1), number)
 
