@@ -92,3 +92,16 @@ def test_maps_and_trees(spark, docs):
     assert at == {(0, 1): 3, (0, 2): 3, (0, 3): 2, (0, 4): -1, (0, 5): -1, (1, 1): 4, (1, 2): 4, (1, 3): 4, (1, 4): -1, (1, 5): -1}
     empty = spark.createDataFrame([], hierarchy.HIERARCHY)
     assert hierarchy.dendrogram(empty).count() == 0
+
+
+def test_hashed_terms_are_those_of_spark_and_read_the_texts_once(spark):
+    from pyspark.ml.feature import HashingTF
+
+    rows = [(i, " ".join("abcdefghijk0123456789"[k % 7 : k % 7 + k % 13] + str(k) for k in range(i, 3 * i))) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = embed.TermEmbedder(4, 64)._hashed(df)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    from topicspark.functions import text as tx
+
+    want = HashingTF(numFeatures=64, inputCol="w", outputCol="tf").transform(df.select("doc_id", tx.words(F.col("text")).alias("w")))
+    assert {r["doc_id"]: r["tf"] for r in got.collect()} == {r["doc_id"]: r["tf"] for r in want.select("doc_id", "tf").collect()}

@@ -7,13 +7,18 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, PCA, HashingTF, Word2Vec
+import pyarrow as pa
+from pyspark.ml.feature import IDF, PCA, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicspark.functions import text as tx
 from topicspark.functions import vectors as vx
+from topicspark.functions.batches import pieces, words_of
+from topicspark.sources.shared import new_folder
 
 
 class Embedder(Protocol):
@@ -62,18 +67,67 @@ class WordVectorEmbedder:
 
 
 class TermEmbedder:
-    """The light fallback: hashed terms, inverse document frequencies, principal components."""
+    """The light fallback: hashed terms, inverse document frequencies, principal components. The texts are read once; what
+    follows is learnt from their written counts, those that Spark's HashingTF gives."""
 
     def __init__(self, dim: int = 64, features: int = 1024, english: bool = True):
         self.dim, self.features, self.english = dim, features, english
 
     def embed(self, docs: DataFrame) -> DataFrame:
-        rows = docs.select("doc_id", tx.words(F.col("text"), self.english).alias("w"))
-        counted = HashingTF(numFeatures=self.features, inputCol="w", outputCol="tf").transform(rows)
+        counted = self._hashed(docs)
         scaled = IDF(inputCol="tf", outputCol="x").fit(counted).transform(counted)
         return PCA(k=self.dim, inputCol="x", outputCol="v").fit(scaled).transform(scaled).select("doc_id", vector_to_array("v").alias("embedding"))
 
 
+    def _hashed(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, tf``, written."""
+        n, rows = self.features, docs.select("doc_id", (F.col("text") if self.english else tx.words(F.col("text"), False)).alias("w"))
+        vector = T.StructType.fromDDL("type tinyint, size int, indices array<int>, values array<double>")
+
+        def count(batches):
+            for batch in batches:
+                for piece in pieces(batch, 1):
+                    sizes, words = words_of(piece.column(1))
+                    place = (murmur3(words.dictionary).astype(np.int32).astype(np.int64) % n)[np.asarray(words.indices)]
+                    pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + place, return_counts=True)
+                    edges = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) * n), pa.int32())
+                    lists = [pa.ListArray.from_arrays(edges, x) for x in (pa.array(pair % n, pa.int32()), pa.array(times, pa.float64()))]
+                    tf = pa.StructArray.from_arrays([pa.array(np.zeros(len(sizes)), pa.int8()), pa.array(np.full(len(sizes), n), pa.int32()), *lists], names=vector.names)
+                    yield pa.RecordBatch.from_arrays([piece.column(0), tf], names=["doc_id", "tf"])
+
+        at = new_folder(docs.sparkSession, "hashed")
+        rows.mapInArrow(count, T.StructType([rows.schema["doc_id"], T.StructField("tf", vector)])).write.parquet(at)
+        return docs.sparkSession.read.schema(T.StructType([rows.schema["doc_id"], T.StructField("tf", VectorUDT())])).parquet(at)
+
+
+def murmur3(words: pa.StringArray, seed: int = 42) -> np.ndarray:
+    """The 32 bits of Murmur3 of each word's bytes, words of one length at once."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8) if len(words) else np.zeros(0, np.uint8)
+    size, out = np.diff(offsets), np.zeros(len(words), np.uint32)
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    for length in np.unique(size):
+        own = np.flatnonzero(size == length)
+        raw = np.zeros((len(own), -(-length // 4) * 4), np.uint8)
+        raw[:, :length] = data[offsets[own][:, None] + np.arange(length)]
+        blocks = raw.view("<u4").astype(np.uint32)
+        h = np.full(len(own), seed, np.uint32)
+        for i in range(length // 4):
+            h = h ^ mixed(blocks[:, i])
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        if length % 4:
+            h = h ^ mixed(blocks[:, -1])
+        h = h ^ np.uint32(length)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+        out[own] = h ^ h >> np.uint32(16)
+    return out
+
+
 class MeanEmbedder:
     """The mean of what two embedders give for one document, such as its text and its image's caption."""
 
