@@ -290,3 +290,35 @@ def test_distribution_in_blocks_joins_distinct_words(spark, monkeypatch):
         assert one == two and one
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def test_outliers_by_ctfidf_join_no_tokens(spark):
+    from topicspark.operators import ctfidf
+
+    docs = spark.createDataFrame([(0, "aa bb aa", 0), (1, "cc dd", 1), (2, "aa zz aa", -1), (3, "dd cc aa dd", -1), (4, "yy", -1)], "doc_id bigint, text string, topic int")
+    counts = ctfidf.term_counts(docs)
+    found = outliers.by_ctfidf(docs, ctfidf.weights(counts), ctfidf.idf(counts))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["new_topic"] for r in found.collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: -1}
+
+
+def test_slices_with_global_weights_give_the_best_words_of_all(spark):
+    """The words that a slice lacks are not all joined to it, also where weights are below 0."""
+    from topicspark.operators import dynamic
+
+    rng = np.random.default_rng(3)
+    sign = {f"w{i}": -1 if i % 6 == 0 else 1 for i in range(30)}
+    every = {(t, w): s * float(rng.random()) for t in (0, 1) for w, s in sign.items()}
+    rows = {(b, t, w): sign[w] * float(rng.random()) for b in range(4) for t, w in every if rng.random() < 0.2}
+    weighted = spark.createDataFrame([(t, w, x) for (t, w), x in every.items()], "topic int, word string, weight double")
+    own = dynamic._normal(spark.createDataFrame([(*k, x) for k, x in rows.items()], "slice int, topic int, word string, weight double"), "slice", "topic")
+    found = dynamic._with_global(own, weighted, 5).collect()
+    assert len(found) < 4 * len(every)
+    size = {t: sum(abs(x) for (k, _), x in every.items() if k == t) for t in (0, 1)}
+    for b in range(4):
+        for t in (0, 1):
+            total = sum(abs(x) for k, x in rows.items() if k[:2] == (b, t))
+            want = {w: (rows.get((b, t, w), 0) / total + every[t, w] / size[t]) / 2 for w in sign}
+            got = {r["word"]: r["weight"] for r in found if (r["slice"], r["topic"]) == (b, t)}
+            assert all(got[w] == pytest.approx(want[w]) for w in got)
+            assert sorted(got, key=lambda w: -got[w])[:5] == sorted(want, key=lambda w: -want[w])[:5]

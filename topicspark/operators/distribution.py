@@ -73,6 +73,20 @@ def shares(words: np.ndarray, gains: np.ndarray, idf: np.ndarray, window: int, s
     return first, end, s
 
 
+def whole_shares(sizes: np.ndarray, codes: np.ndarray, gains: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
+    """Similarities of documents of ``sizes`` tokens as a whole to each topic; ``gains`` and ``idf`` have a row for each code."""
+    pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + codes, return_counts=True)
+    doc, code = np.divmod(pair, len(idf))
+    start = np.flatnonzero(np.diff(doc, prepend=-1))
+    s = np.zeros((len(sizes), gains.shape[1]))
+    if len(start):
+        length = np.sqrt(np.add.reduceat((n * idf[code]) ** 2, start))[:, None]
+        products = np.add.reduceat(n[:, None] * gains[code], start)
+        s[doc[start]] = np.divide(products, length, out=np.zeros_like(products), where=length > 1e-12)
+    s[s < least] = 0
+    return s
+
+
 def _gains(weighted: DataFrame, idf: DataFrame) -> tuple[DataFrame, dict]:
     """``word, idf, topics, weights``, written: of each word, the topics but -1 that have it and its weights there. And the
     length of each topic that has any."""
@@ -127,11 +141,12 @@ def embedded_distribution(
 
 
 def approximate_distribution(
-    docs: DataFrame, weighted: DataFrame, idf: DataFrame, window: int = 4, stride: int = 1, min_similarity: float = 0.1, padding: bool = False,
+    docs: DataFrame, weighted: DataFrame, idf: DataFrame, window: int | None = 4, stride: int = 1, min_similarity: float = 0.1, padding: bool = False,
     by_token: bool = False, english: bool = True,
 ) -> DataFrame:
     """``doc_id, topic, weight`` of every document and topic with a weight (of sum 1 a document), or, ``by_token``,
-    ``doc_id, pos, token, topic, weight``: the sum over the windows that hold the token.
+    ``doc_id, pos, token, topic, weight``: the sum over the windows that hold the token. Without ``window`` a document is
+    one window as a whole, and its weights are the similarities as they are.
 
     Similarities under ``min_similarity`` count as 0. Documents without words or similar windows have no rows. While words
     x topics fit in SENT_NUMBERS the table goes to every task; beyond, the texts are cut into blocks, which are joined to
@@ -161,6 +176,10 @@ def approximate_distribution(
             while a < len(sizes):
                 b = max(a + 1, int(np.searchsorted(edges, edges[a] + SLICE, side="right")) - 1)
                 own = codes[edges[a] : edges[b]]
+                if window is None:
+                    totals[a:b, low:high] = whole_shares(sizes[a:b], own, table, each, min_similarity)
+                    a = b
+                    continue
                 first, end, s = shares(own, table[own], each[own], window, stride, padding, min_similarity, sizes[a:b])
                 upto = np.concatenate((np.zeros((1, high - low)), np.cumsum(s, axis=0)))
                 if by_token:
@@ -177,7 +196,7 @@ def approximate_distribution(
                     totals[a:b, low:high] = upto[last] - upto[last - n]
                 a = b
         if not by_token:
-            whole = totals.sum(axis=1)
+            whole = totals.sum(axis=1) if window is not None else np.ones(len(sizes))
             doc, t = np.nonzero(totals)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), names.take(pa.array(t)), pa.array(totals[doc, t] / whole[doc])], names=schema.names)
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicspark.functions import text as tx
 from topicspark.operators import assign
 from topicspark.operators.distribution import approximate_distribution
 
@@ -37,15 +36,9 @@ def by_distributions(docs: DataFrame, weighted: DataFrame, idf: DataFrame, thres
 
 
 def by_ctfidf(docs: DataFrame, weighted: DataFrame, idf: DataFrame, threshold: float = 0.0, english: bool = True) -> DataFrame:
-    """By the cosine of a document's c-TF-IDF vector with each topic's, joined on the words they share."""
-    own = docs.where("topic = -1").select("doc_id", F.explode(tx.words(F.col("text"), english)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    own = own.join(idf.select("word", "idf"), "word").select("doc_id", "word", (F.col("n") * F.col("idf")).alias("x"))
-    length = own.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    topics = weighted.where("topic <> -1")
-    topics = topics.join(topics.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("t")), "topic").where("t > 0").select("topic", "word", (F.col("weight") / F.col("t")).alias("y"))
-    products = own.join(topics, "word").groupBy("doc_id", "topic").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    scores = products.join(length.where("l > 0"), "doc_id").select("doc_id", "topic", (F.col("d") / F.col("l")).alias("similarity"))
-    return _replace(docs, _best(scores, "similarity", threshold))
+    """By the cosine of a document's c-TF-IDF vector with each topic's, over the outliers' texts only."""
+    found = approximate_distribution(docs.where("topic = -1"), weighted, idf, None, min_similarity=0.0, english=english)
+    return _replace(docs, _best(found, "weight", threshold))
 
 
 def by_embeddings(docs: DataFrame, topic_vectors: DataFrame, vectors: DataFrame, threshold: float = 0.0) -> DataFrame:
