@@ -97,3 +97,27 @@ def test_written_tables_are_released(spark):
     shared.release()
     assert not os.path.exists(at)
     shared._tables.extend(kept)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (2, 3)])
+def test_texts_are_read_once_for_counts(spark, ngrams):
+    """No part of the result is counted from the texts again, whether a topic has no words or all have some."""
+    for rows in (ROWS, ROWS[:3]):
+        counts = ctfidf.term_counts(spark.createDataFrame(rows, DOCS), ngram_range=ngrams)
+        assert "Generate" not in _plan(counts) and "MapInArrow" not in _plan(counts)
+        assert sum(r["n"] for r in counts.where("topic = 1 AND word IN ('date', 'date date')").collect()) == {1: 2, 2: 1}[ngrams[0]] + (ngrams == (1, 2))
+
+
+def test_ngrams_and_stop_words_like_counting_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["aa", "Bb!", "the", "c", "dé"]) for _ in range(rng.randrange(0, 6))) or None, i % 3) for i in range(50)]
+    got = {(r["topic"], r["word"]): r["n"] for r in ctfidf.term_counts(spark.createDataFrame(rows, DOCS), ngram_range=(1, 3), stop_words=["the"]).collect()}
+    want = Counter()
+    for t in range(3):
+        words = [w for _, text, topic in rows if topic == t for w in (text or "").lower().replace("!", "").replace("é", "").split() if len(w) > 1 and w != "the"]
+        want.update((t, " ".join(words[i : i + k])) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    assert got == dict(want)

@@ -104,12 +104,12 @@ def _counted(piece: pa.RecordBatch, stop_words: pa.Array, low: int, high: int) -
             yield pa.table([*(c.take(of) for c in keys), names.take(pa.array(found % len(names))), pa.array(n)], names=[*(f"k{i}" for i in range(len(keys))), "word", "n"])
 
 
-def count_words(docs: DataFrame, keys: dict[str, Column], text: str = "text", english: bool = True, stop_words: Sequence[str] = (), low: int = 1, high: int = 1) -> DataFrame:
-    """``*keys, word, n``: how often each word, or n-gram within a document, of ``low`` to ``high`` words occurs. Rows with a
-    null key are left out. Tasks count their own texts first, so that only counts are shuffled."""
+def partial_counts(docs: DataFrame, keys: dict[str, Column], text: str = "text", english: bool = True, stop_words: Sequence[str] = (), low: int = 1, high: int = 1) -> DataFrame:
+    """``*keys, word, n``: how often each word, or n-gram within a document, of ``low`` to ``high`` words occurs in the texts of
+    a task, so that only counts are shuffled. A task may give several counts of a word, which are to be summed."""
     names = list(keys)
     words = F.col(text) if english else tx.words(F.col(text), False)
-    rows = docs.select(*(c.alias(k) for k, c in keys.items()), words.alias("_text")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in names))
+    rows = docs.select(*(c.alias(k) for k, c in keys.items()), words.alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
     gone = pa.array(list(stop_words), pa.string())
 
@@ -138,7 +138,7 @@ def count_words(docs: DataFrame, keys: dict[str, Column], text: str = "text", en
         if held:
             yield from given(summed(held))
 
-    return rows.mapInArrow(count, schema).groupBy(*names, "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, schema)
 
 
 def document_ends(docs: DataFrame, span: int, topic: str = "topic", text: str = "text", key: str = "doc_id", english: bool = True, stop_words: Sequence[str] = ()) -> DataFrame:

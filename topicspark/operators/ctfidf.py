@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicspark.functions import text as tx
-from topicspark.functions.batches import count_words, document_ends
+from topicspark.functions.batches import document_ends, partial_counts
 from topicspark.sources.shared import written
 
 EMPTY_WORD = "emptydoc"
@@ -26,16 +26,11 @@ def term_counts(
     the batches of a stream, nothing is written and the texts are read twice.
     """
     low, high = ngram_range
-    counts = count_words(docs, {"topic": F.col(topic)}, text, english, stop_words, low, high)
+    counts = partial_counts(docs.where(F.col(topic).isNotNull()), {"topic": F.col(topic)}, text, english, stop_words, low, high)
     if high > 1:
         across = tx.borders(document_ends(docs, high - 1, topic, text, key, english, stop_words), low, high).where("topic IS NOT NULL")
-        counts = counts.unionByName(across.groupBy("topic", "word").agg(F.count("*").alias("n"))).groupBy("topic", "word").agg(F.sum("n").alias("n"))
-    if once:
-        counts = written(counts, "counts")
-    every = docs.select(F.col(topic).alias("topic")).where(F.col(topic).isNotNull()).distinct()
-    empty = every.join(counts.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(EMPTY_WORD).alias("word"), F.lit(1).cast("bigint").alias("n"))
-    if not once or not empty.isEmpty():
-        counts = counts.unionByName(empty)
+        counts = counts.unionByName(across.select("topic", "word", F.lit(1).cast("bigint").alias("n")))
+    counts = _with_empty(counts.groupBy("topic", "word").agg(F.sum("n").alias("n")), docs, topic, once)
     if min_df > 1:
         enough = counts.groupBy("word").agg(F.count("*").alias("_t")).where(F.col("_t") >= min_df)
         counts = counts.join(enough, "word", "left_semi").select("topic", "word", "n")
@@ -46,6 +41,23 @@ def term_counts(
     return counts
 
 
+def _with_empty(counts: DataFrame, docs: DataFrame, topic: str, once: bool) -> DataFrame:
+    """The counts, written if ``once``, and ``emptydoc`` for the topics that have none."""
+    if once:
+        counts = written(counts, "counts")
+    every = docs.select(F.col(topic).alias("topic")).where(F.col(topic).isNotNull()).distinct()
+    empty = every.join(counts.select("topic").distinct(), "topic", "left_anti").select("topic", F.lit(EMPTY_WORD).alias("word"), F.lit(1).cast("bigint").alias("n"))
+    if not once or not empty.isEmpty():
+        counts = counts.unionByName(empty)
+    return counts
+
+
+def summed(sliced: DataFrame, docs: DataFrame, topic: str = "topic") -> DataFrame:
+    """``topic, word, n`` from ``slice, topic, word, n`` of the same documents, whose texts aren't read again."""
+    counts = sliced.where("topic IS NOT NULL").groupBy("topic", "word").agg(F.sum("n").alias("n"))
+    return _with_empty(counts, docs, topic, True)
+
+
 def idf(
     counts: DataFrame, bm25: bool = False, seeds: Mapping[str, float] | None = None,
 ) -> DataFrame:
@@ -86,9 +98,9 @@ def weights(counts: DataFrame, bm25: bool = False, reduce_frequent_words: bool =
 
 def under_idf(counts: DataFrame, known: DataFrame, by: Sequence[str] = ("topic",)) -> DataFrame:
     """``*by, word, n, weight`` of other counts under an existing idf table; words without idf are left out, though they
-    count in the share."""
-    total = F.sum("n").over(W.partitionBy(*by))
-    return counts.withColumn("s", total).join(known.select("word", "idf"), "word").select(*by, "word", "n", (F.col("n") / F.col("s") * F.col("idf")).alias("weight"))
+    count in the share. ``counts`` are read twice, so they should be written."""
+    counts = counts.join(written(counts.groupBy(*by).agg(F.sum("n").alias("s")), "totals"), list(by))
+    return counts.join(known.select("word", "idf"), "word").select(*by, "word", "n", (F.col("n") / F.col("s") * F.col("idf")).alias("weight"))
 
 
 def top_words(weighted: DataFrame, n: int = 10, by: Sequence[str] = ("topic",), score: str = "weight") -> DataFrame:

@@ -187,7 +187,7 @@ def hierarchical_topics(counts: DataFrame, idf: DataFrame, similarity: DataFrame
 def node_names(counts: DataFrame, idf: DataFrame, members: list[tuple[int, int]], n_words: int) -> dict[int, str]:
     """The best words of each node, joined by underscores; (node, topic) pairs are as many as the topics squared at most."""
     nodes = counts.sparkSession.createDataFrame(members, "node int, topic int")
-    summed = counts.join(nodes, "topic").groupBy("node", "word").agg(F.sum("n").alias("n"))
+    summed = written(counts.join(F.broadcast(nodes), "topic").groupBy("node", "word").agg(F.sum("n").alias("n")), "nodes")
     best = ctfidf.top_words(ctfidf.under_idf(summed, idf, ("node",)).withColumn("score", F.round("weight", 12)), n_words, ("node",), "score")
     return {r["node"]: "_".join(r["words"]) for r in ctfidf.word_lists(best, ("node",)).collect()}
 

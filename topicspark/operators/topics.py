@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicspark.functions import text as tx
 from topicspark.operators import ctfidf
+from topicspark.sources.shared import written
 
 OUTLIER = -1
 
@@ -58,9 +59,10 @@ def document_info(docs: DataFrame, info: DataFrame, representative: DataFrame, t
 
 def sample_per_topic(docs: DataFrame, topic: str, n: int, key: str = "doc_id") -> DataFrame:
     """Up to ``n`` documents of each topic, a draw by the MD5 of their ids. Each partition's rows are cut to n a topic before
-    the shuffle."""
+    the shuffle. Only ids are ranked; the texts of the drawn ones, which are written, are fetched."""
     rank = F.row_number().over(W.partitionBy(topic).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
-    return docs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    drawn = docs.select(topic, key).withColumn("_rank", rank).where(F.col("_rank") <= n).select(topic, key)
+    return docs.join(written(drawn, "drawn"), [topic, key], "left_semi")
 
 
 def document_similarity(docs: DataFrame, weighted: DataFrame, idf: DataFrame, topic: str = "topic", english: bool = True) -> DataFrame:

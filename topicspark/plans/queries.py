@@ -45,7 +45,8 @@ def _docs(spark: SparkSession, d: str, topic: str = "source") -> DataFrame:
 
 def _counts(docs: DataFrame, **options) -> DataFrame:
     """``topic, word, n``, written: the texts are read once, all that follows comes from the counts."""
-    return written(ctfidf.term_counts(docs, **options), "counts")
+    counts = ctfidf.term_counts(docs, **options)
+    return written(counts, "counts") if "min_df" in options or "max_features" in options else counts
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +168,7 @@ _N = f"WITH {_cte('number')}{W12}, top AS ({_top('w12')}), {_SIZES}, lists AS (S
 def _described(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs = _docs(spark, d, "number")
     counts = _counts(docs)
-    weighted = ctfidf.weights(counts)
+    weighted = written(ctfidf.weights(counts), "weights")
     words = written(ctfidf.word_lists(_ranked(weighted)), "words")
     return {"docs": docs, "counts": counts, "weights": weighted, "words": words, "labels": topics.labels(words), "sizes": topics.sizes(docs)}
 
@@ -210,7 +211,7 @@ rep AS (SELECT topic, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM (SE
 def representative_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
     counts = _counts(docs)
-    return topics.representative_docs(docs, ctfidf.weights(counts), ctfidf.idf(counts)).select("topic", "rank", "doc_id", _r("similarity"))
+    return topics.representative_docs(docs, written(ctfidf.weights(counts), "weights"), ctfidf.idf(counts)).select("topic", "rank", "doc_id", _r("similarity"))
 
 
 @query("document_info", f"""{_REPR}{W12}, top AS ({_top('w12')}), lists AS (SELECT topic, list(word ORDER BY rank) AS ws FROM top GROUP BY 1)
@@ -383,8 +384,9 @@ def _time_sql(of: str, by: str = "slot", name: str = "timestamp") -> str:
 
 def _over_time(spark: SparkSession, d: str, **options: bool) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = _counts(docs)
-    return dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "slot", **options)
+    sliced = dynamic.slice_counts(docs, "slot")
+    counts = ctfidf.summed(sliced, docs)
+    return dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "slot", sliced=sliced, **options)
 
 
 @query("topics_over_time", _time_sql("mix"))
@@ -417,23 +419,26 @@ _BINS = """b AS (SELECT doc_id, CASE WHEN k = 0 THEN lo - (hi - lo) * 0.001 ELSE
 @query("topics_over_time_binned", f"WITH {_BINS} SELECT CAST({NUMBER} AS INTEGER) AS topic, round(edge, 9) AS timestamp, count(*) AS frequency FROM documents JOIN b USING (doc_id) GROUP BY ALL")
 def topics_over_time_binned(spark: SparkSession, d: str) -> DataFrame:
     docs = dynamic.equal_bins(_docs(spark, d, "number"), "slot", 4)
-    counts = _counts(docs)
-    found = dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "bin", global_tuning=False)
+    sliced = dynamic.slice_counts(docs, "bin")
+    counts = ctfidf.summed(sliced, docs)
+    found = dynamic.topics_over_time(docs, ctfidf.weights(counts), ctfidf.idf(counts), "bin", global_tuning=False, sliced=sliced)
     return found.select("topic", "timestamp", "frequency")
 
 
 @query("topics_per_class", _time_sql("mix", "lang", "class"))
 def topics_per_class(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = _counts(docs)
-    return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang")
+    sliced = dynamic.slice_counts(docs, "lang")
+    counts = ctfidf.summed(sliced, docs)
+    return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang", sliced=sliced)
 
 
 @query("topics_per_class_local", _time_sql("raw", "lang", "class"))
 def topics_per_class_local(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d, "number")
-    counts = _counts(docs)
-    return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang", global_tuning=False)
+    sliced = dynamic.slice_counts(docs, "lang")
+    counts = ctfidf.summed(sliced, docs)
+    return dynamic.topics_per_class(docs, ctfidf.weights(counts), ctfidf.idf(counts), "lang", global_tuning=False, sliced=sliced)
 
 
 # windows of tokens
@@ -536,7 +541,7 @@ def _numbered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """Counts, idf and weights with the sources as topics 0, 1, ..."""
     docs = _docs(spark, d).withColumn("topic", F.regexp_extract("topic", r"(\d+)$", 1).cast("int"))
     counts = _counts(docs)
-    return counts, ctfidf.idf(counts), ctfidf.weights(counts)
+    return counts, ctfidf.idf(counts), written(ctfidf.weights(counts), "weights")
 
 
 @query("hierarchical_topics")
@@ -558,7 +563,7 @@ def reduce_topics(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.topic AS topic_a, b.topic AS topic_b, round(sum(a.weight * b.weight) / (any_value(x.l) * any_value(y.l)), 8) AS similarity
 FROM w a JOIN w b USING (word) JOIN l x ON x.topic = a.topic JOIN l y ON y.topic = b.topic GROUP BY ALL""")
 def ctfidf_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.ctfidf_similarity(ctfidf.weights(_counts(_docs(spark, d)))).select("topic_a", "topic_b", _r("similarity"))
+    return hierarchy.ctfidf_similarity(written(ctfidf.weights(_counts(_docs(spark, d))), "weights")).select("topic_a", "topic_b", _r("similarity"))
 
 
 @query("kmeans_topics")
